@@ -7,16 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import bpe, licenses, mixing, topk, warc
+from helixframe.llm import bpe, licenses, merkle, mixing, secrets, topk, warc
 from helixframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.secret_spans(table(spark, sf_dir, "documents")))
+
+
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.edited_pairs(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(mixing.sized(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
@@ -36,7 +44,9 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_secrets": op1_secrets,
     "op3_topk": op3_topk,
+    "op4_fingerprints": op4_fingerprints,
     "op6_mixing": op6_mixing,
     "op7_warc": op7_warc,
     "op8_licenses": op8_licenses,
