@@ -34,7 +34,7 @@ PREFIXES = (4, 5)
 MARKERS = (3, 6)
 GRADES = 1 + len(MARKERS) + 1
 SEED = 5
-RIDGE, STEPS, RATE = 3e-5, 600, 0.1
+RIDGE, STEPS, RATE = 2e-4, 400, 0.1
 Z = 1.64
 
 _WORD = re.compile(r"[^\W\d_]+")
