@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import bpe, html_extract, licenses, merkle, mixing, secrets, topk, toxicity, warc
+from helixframe.llm import bpe, html_extract, licenses, merkle, minhash, mixing, secrets, topk, toxicity, warc
 from helixframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.edited_pairs(table(spark, sf_dir, "documents"))
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.groups(table(spark, sf_dir, "documents"), k=4)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(mixing.sized(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Query] = {
     "op2_html": op2_html,
     "op3_topk": op3_topk,
     "op4_fingerprints": op4_fingerprints,
+    "op5_minhash": op5_minhash,
     "op6_mixing": op6_mixing,
     "op7_warc": op7_warc,
     "op8_licenses": op8_licenses,
