@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import kept, table
+from helixframe.llm.common import kept
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of sources in code-point order, repeating (fixed values of the contract).
@@ -105,5 +105,12 @@ def sized(docs: DataFrame, labels: DataFrame | None, text_col: str = "text") ->
     return rows.withColumn("weight", F.lit(UNKNOWN)) if labels is None else rows.join(quality(labels), "doc_id", "left")
 
 
-def labels_of(spark, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "labels")
+def mixed_docs(docs: DataFrame, labels: DataFrame | None, total_share: float = TOTAL_SHARE, max_epochs: float = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
+    """docs (all columns), each row as often as the mix takes it; only whole documents are taken.
+
+    Rows with the same doc_id, source and size are taken equally often. Null text: size 0.
+    """
+    chosen = mix(sized(docs, labels), False, total_share, max_epochs, seed).filter("copies > 0").groupBy("doc_id", "source", "size").agg(F.max("copies").alias("__copies"))
+    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
+    rows = docs.withColumn("__size", size).alias("d").join(chosen.alias("c"), F.expr("d.doc_id <=> c.doc_id AND d.source <=> c.source AND d.__size = c.size"))
+    return rows.select("d.*", "__copies").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).drop("__size", "__copies", "__copy")

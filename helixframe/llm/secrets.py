@@ -192,25 +192,26 @@ def _runs(rows: Column) -> Column:
     return F.transform(F.array(rows), lambda r: F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(r), F.lit(1)) - 1) / RUN).cast("int")), lambda i: F.slice(r, i * RUN + 1, RUN)))[0]
 
 
-def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text, spans: array<struct<start long, kind_no int, end long>> by start, then rule.
+def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text, the columns in keep, spans: array<struct<start long, kind_no int, end long>> by start, then rule.
 
     kind_no is the rule's place in rules; start and end count code points, end exclusive. Matches
     of one rule don't overlap, those of different rules may. Null text: empty, no spans. Null ids
     and repeated ids or rows: each row is scanned by itself (rows with the same id share
-    candidates, which only adds scans). Other columns are left out.
+    candidates, which only adds scans). Columns that are neither id,
+    text nor in keep are left out.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    found = candidates(rows, rules)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *(F.col(c).alias(f"__keep{i}") for i, c in enumerate(keep)))
+    found = candidates(rows.select("doc_id", "text"), rules)
     if found is not None:
-        rows = rows.alias("d").join(found.hint("shuffle_hash").alias("c"), F.expr("d.doc_id <=> c.doc_id"), "left").select("d.doc_id", "text", "kinds")
+        rows = rows.alias("d").join(found.hint("shuffle_hash").alias("c"), F.expr("d.doc_id <=> c.doc_id"), "left").select("d.*", "kinds")
     parts = []
     for i, r in enumerate(rules):
         spans = spans_of(F.col("text"), r, i)
         scan_all = trigram_query(r.pattern) == [[]]
         parts.append(spans if scan_all else F.when(F.array_contains("kinds", r.kind), spans))
     empty = F.array().cast("array<struct<start:long,kind_no:int,end:long>>")
-    return rows.select("doc_id", "text", F.array_sort(F.concat(*[F.coalesce(p, empty) for p in parts])).alias("spans"))
+    return rows.select("doc_id", "text", *(F.col(f"__keep{i}").alias(c) for i, c in enumerate(keep)), F.array_sort(F.concat(*[F.coalesce(p, empty) for p in parts])).alias("spans"))
 
 
 def joined(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
