@@ -5,10 +5,12 @@
 2. Equal sets form a class; its smallest doc_id stands for it from here on.
 3. In each bucket (equal band key) every class is paired with the smallest: a star, not all pairs.
    Pairs whose signatures may reach the threshold are verified on full sets of whole texts.
-4. Links are merged into components. Buckets that still hold several components get all pairs
-   across components compared, in blocks of BLOCK classes, so that a bucket of any size is many
-   small tasks; survivors are verified, and the new links merged again.
-Every pair that shares a bucket thus ends in one component or is compared. With BANDS bands of ROWS
+4. Links are merged into components. Where buckets still hold several, components with classes whose
+   signatures may reach the threshold form a cluster (again by union-find; only a spanning forest
+   of each group of signatures leaves its task). All pairs of classes across the components of a
+   cluster are then compared on full sets, and the new links, a spanning forest too, merged.
+   Buckets and clusters are cut into blocks, each two of which meet in a group of bounded size.
+Every pair that shares a bucket thus ends in one component or is compared on full sets. With BANDS bands of ROWS
 slots a pair at similarity 0.8 shares none with probability (1 - 0.8**4)**26, about 1 in 900,000.
 """
 
@@ -28,7 +30,10 @@ from helixframe.llm.common import kept, prepare
 SLOTS, BANDS, ROWS = 128, 26, 4
 #: Signatures that agree in fewer slots aren't verified: five standard deviations below what 0.8 gives.
 LEAST_SLOTS = 80
-BLOCK = 128
+#: Classes of a block where signatures meet, and where texts meet; shingles that the texts of a block may have in all.
+SIGNATURES, TEXTS, TEXT_SHINGLES = 512, 128, 200_000
+#: Bits of the filter of doc_ids that spares most texts a shuffle: its size is fixed, and once full it only spares nothing.
+FILTER_BITS = 1 << 23
 #: Words hashed at once; what a task holds of one text beyond the text itself is bounded by it and the set.
 WORDS_AT_ONCE = 100_000
 
@@ -135,10 +140,23 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, text of the documents in ids (doc_id), as a table.
+
+    A bitmap of hashed ids, FILTER_BITS in all, is broadcast and tested as texts are read; those that pass are joined.
+    """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    maps = ids.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    rows = docs.withColumn("p", place).withColumn("part", F.bitmap_bucket_number("p")).withColumn("bit", F.bitmap_bit_position("p"))
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(F.col("bit") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.expr("shiftright(byte, cast(bit % 8 as int)) & 1") == 1
+    rows = rows.join(F.broadcast(maps), "part").withColumn("byte", byte).filter(hit).select("doc_id", "text")
+    return kept(rows.join(ids, "doc_id", "left_semi"), "dedup-texts")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole texts' sets are alike; docs: doc_id, text."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = kept(docs.join(ids, "doc_id", "left_semi"), "dedup-texts")
+    texts = texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory: OrderedDict[tuple[int, str], np.ndarray] = OrderedDict()
@@ -153,13 +171,16 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
         for b in batches:
             rows = zip(*(c.to_pylist() for c in b.columns))
             good = [(p, q) for p, q, s, t in rows if alike(of(p, s), of(q, t), percent)]
-            yield pa.RecordBatch.from_pydict({"a": [p for p, _ in good], "b": [q for _, q in good]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+            yield pa.RecordBatch.from_pydict({"a": [p for p, _ in good], "b": [q for _, q in good]}, _PAIRS)
 
     side = lambda c, t: texts.select(F.col("doc_id").alias(c), F.col("text").alias(t))
     both = pairs.join(side("b", "text_b"), "b").join(side("a", "text_a"), "a").select("a", "b", "text_a", "text_b")
     return kept(both.mapInArrow(run, "a long, b long"), "dedup-links")
 
 
+_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, component (the smallest node it reaches) of every node of links (a, b).
 
@@ -207,53 +228,139 @@ def promising(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return kept(rows.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct(), "dedup-pairs")
 
 
-def cross_pairs(buckets: DataFrame, classes: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes in one bucket but different components whose signatures agree in LEAST_SLOTS slots.
+class Forest:
+    """Union-find within a task; links() are the unions that joined something."""
 
-    A bucket of n classes is cut into n / BLOCK blocks by a hash; each two blocks meet in a group.
-    """
-    rows = buckets.join(found, buckets["rep"] == found["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    open_ = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = rows.join(open_.select("key", blocks.alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    rows = rows.join(classes.select("rep", "slots", "n_shingles"), "rep")
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component", "n_shingles", "slots")
-    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-
-    def compared(g: list[tuple]) -> Iterator[tuple[int, int]]:
-        i, j = g[0][1], g[0][2]
-        one = [r for r in g if r[3] == i]
-        two = one if i == j else [r for r in g if r[3] == j]
-        if not one or not two:
-            return
-        s, t = (np.frombuffer(b"".join(r[7] for r in x), np.uint8).reshape(-1, SLOTS) for x in (one, two))
-        c, d = (np.array([r[5] for r in x]) for x in (one, two))
-        m, n = (np.array([r[6] for r in x]) for x in (one, two))
-        fits = np.minimum(m[:, None], n) * 100 >= np.maximum(m[:, None], n) * percent
-        for p, q in zip(*np.nonzero((near(s, t) >= LEAST_SLOTS) & (c[:, None] != d) & fits)):
-            yield one[p][4], two[q][4]
+    def __init__(self):
+        self.up: dict[int, int] = {}
+        self.made: list[tuple[int, int]] = []
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(pairs: set) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"a": [min(p) for p in pairs], "b": [max(p) for p in pairs]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+    def root(self, x: int) -> int:
+        up = self.up
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
 
-        group: list[tuple] = []
-        pairs: set[tuple[int, int]] = set()
-        for b in batches:
-            for r in zip(*(c.to_pylist() for c in b.columns)):
-                if group and group[0][:3] != r[:3]:
-                    pairs.update(compared(group))
-                    group = []
-                    if len(pairs) > 50_000:
-                        yield out(pairs)
-                        pairs = set()
-                group.append(r)
-        if group:
-            pairs.update(compared(group))
-        yield out(pairs)
+    def join(self, x: int, y: int, link: tuple[int, int]) -> None:
+        p, q = self.root(x), self.root(y)
+        if p != q:
+            self.up[max(p, q)] = min(p, q)
+            self.made.append((min(link), max(link)))
 
-    return kept(rows.mapInArrow(run, "a long, b long").filter("a < b").distinct(), "dedup-pairs")
+
+def in_blocks(rows: DataFrame, group: str, blocks: DataFrame) -> DataFrame:
+    """rows (group, rep, ...) once for each pair of blocks i <= j of their group that they belong to, dealt out and sorted by (group, i, j)."""
+    rows = rows.join(blocks, group).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "blocks")
+    return rows.repartition(group, "i", "j").sortWithinPartitions(group, "i", "j")
+
+
+def by_group(batches: Iterator[pa.RecordBatch], keys: int, links) -> Iterator[pa.RecordBatch]:
+    """links(rows) of each run of rows that agree in their first columns, as pairs."""
+    group: list[tuple] = []
+    made: list[tuple[int, int]] = []
+    for b in batches:
+        for r in zip(*(c.to_pylist() for c in b.columns)):
+            if group and group[0][:keys] != r[:keys]:
+                made += links(group)
+                group = []
+                if len(made) > 20_000:
+                    yield pa.RecordBatch.from_pydict({"a": [p for p, _ in made], "b": [q for _, q in made]}, _PAIRS)
+                    made = []
+            group.append(r)
+    if group:
+        made += links(group)
+    yield pa.RecordBatch.from_pydict({"a": [p for p, _ in made], "b": [q for _, q in made]}, _PAIRS)
+
+
+def sides(g: list[tuple]) -> tuple[list[tuple], list[tuple]]:
+    """A group's rows (key, i, j, own, ...) of block i and of block j."""
+    i, j = g[0][1], g[0][2]
+    one = [r for r in g if r[3] == i]
+    return one, one if i == j else [r for r in g if r[3] == j]
+
+
+def may_link(one: list[tuple], two: list[tuple], percent: int) -> np.ndarray:
+    """Which pairs of rows (.., component, n_shingles, slots) of two components may reach the threshold."""
+    s, t = (np.frombuffer(b"".join(r[7] for r in x), np.uint8).reshape(-1, SLOTS) for x in (one, two))
+    c, d = (np.array([r[5] for r in x]) for x in (one, two))
+    m, n = (np.array([r[6] for r in x]) for x in (one, two))
+    fits = (np.minimum(m[:, None], n) * 100 >= np.maximum(m[:, None], n) * percent) & (c[:, None] != d)
+    same = np.concatenate([near(s[i : i + 32], t) for i in range(0, len(s), 32)]) if fits.any() else 0
+    return fits & (same >= LEAST_SLOTS)
+
+
+def clusters(buckets: DataFrame, classes: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """cluster, rep, component, n_shingles, slots of the classes in clusters of several components."""
+    one = classes.select("rep", "n_shingles", "slots").join(found, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("component"), "n_shingles", "slots")
+    one = kept(one, "dedup-members")
+    rows = buckets.join(one.select("rep", "component"), "rep")
+    open_ = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
+    rows = rows.join(open_.select("key"), "key", "left_semi").join(one.select("rep", "n_shingles", "slots"), "rep")
+    rows = in_blocks(rows, "key", open_.select("key", F.ceil(F.col("n") / SIGNATURES).cast("int").alias("blocks")))
+
+    def links(g: list[tuple]) -> list[tuple[int, int]]:
+        one, two = sides(g)
+        f = Forest()
+        if one and two:
+            for p, q in zip(*np.nonzero(may_link(one, two, percent))):
+                a, b = one[p][5], two[q][5]
+                f.join(a, b, (a, b))
+        return f.made
+
+    cols = rows.select("key", "i", "j", "own", "rep", "component", "n_shingles", "slots")
+    touching = cols.mapInArrow(lambda batches: by_group(batches, 3, links), "a long, b long").distinct()
+    joined = components(touching).select("node", F.col("component").alias("cluster"))
+    return one.join(joined, F.col("component") == F.col("node")).select("cluster", "rep", "component", "n_shingles", "slots")
+
+
+def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set of x with each of y, by products of slices of their incidence matrices."""
+    out = np.zeros((len(x), len(y)), np.int64)
+    values, column = np.unique(np.concatenate([*x, *y]), return_inverse=True)
+    row = np.repeat(np.arange(len(x) + len(y)), [len(s) for s in (*x, *y)])
+    left = row < len(x)
+    both = np.zeros(len(values), np.int8)
+    both[column[left]] |= 1
+    both[column[~left]] |= 2
+    shared = both == 3
+    place = np.cumsum(shared) - 1
+    keep = shared[column]
+    row, column = row[keep], place[column[keep]]
+    for at in range(0, int(shared.sum()), 8192):
+        inside = (column >= at) & (column < at + 8192)
+        m = np.zeros((len(x) + len(y), 8192), np.float32)
+        m[row[inside], column[inside] - at] = 1
+        out += (m[: len(x)] @ m[len(x) :].T).astype(np.int64)
+    return out
+
+
+def cross_links(members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between components of one cluster, on full sets of whole texts: of each group a spanning forest."""
+    members = kept(members, "dedup-clusters")
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    blocks = sizes.select("cluster", F.greatest(F.ceil(F.col("n") / TEXTS), F.ceil(F.col("s") / TEXT_SHINGLES)).cast("int").alias("blocks"))
+    texts = texts_of(docs, members.select(F.col("rep").alias("doc_id")).distinct())
+    rows = in_blocks(members.join(texts, F.col("rep") == F.col("doc_id")).drop("doc_id"), "cluster", blocks)
+
+    def links(g: list[tuple]) -> list[tuple[int, int]]:
+        one, two = sides(g)
+        f = Forest()
+        if not one or not two or not (may := may_link(one, two, percent)).any():
+            return f.made
+        left, right = np.flatnonzero(may.any(1)), np.flatnonzero(may.any(0))
+        x, y = [shingles(one[p][8], k) for p in left], [shingles(two[q][8], k) for q in right]
+        both = overlaps(x, y)
+        m, n = np.array([len(s) for s in x]), np.array([len(s) for s in y])
+        good = may[np.ix_(left, right)] & (100 * both >= percent * (m[:, None] + n - both)) & (both > 0)
+        for p, q in zip(*np.nonzero(good)):
+            r, s = one[left[p]], two[right[q]]
+            f.join(r[5], s[5], (r[4], s[4]))
+        return f.made
+
+    cols = rows.select("cluster", "i", "j", "own", "rep", "component", "n_shingles", "slots", "text")
+    return kept(cols.mapInArrow(lambda batches: by_group(batches, 3, links), "a long, b long"), "dedup-links")
 
 
 def groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -274,7 +381,7 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id
     tried = promising(star_pairs(buckets), classes, percent)
     links = verified(tried, docs, k, percent)
     found = kept(components(links), "dedup-components")
-    more = verified(cross_pairs(buckets, classes, found, percent).join(tried, ["a", "b"], "left_anti"), docs, k, percent)
+    more = cross_links(clusters(buckets, classes, found, percent), docs, k, percent)
     if more.limit(1).count():
         found = components(links.unionByName(more))
     by_set = classes.select("set_key", "rep").join(found, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
