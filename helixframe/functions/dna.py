@@ -14,6 +14,11 @@ CODONS = {a + b + c: RESIDUES[16 * i + 4 * j + k] for i, a in enumerate(CODE_ORD
 _LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with value worked out once, however often use and its lambdas read it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def ascii_upper(s: Column) -> Column:
     """a-z to A-Z and nothing else, so that offsets stay."""
     return F.translate(s, _LOWER, _UPPER)
@@ -58,14 +63,14 @@ def _differences(a: Column, b: Column, one) -> Column:
 def describe_coding_edit(wt: Column, mutant: Column) -> Column:
     """c.=, c.6T>C, c.[4G>T;6T>G], insertion or deletion (by length)."""
     found = _differences(ascii_upper(wt), ascii_upper(mutant), lambda i, x, y: F.concat(i, x, F.lit(">"), y))
-    same = F.when(F.size(found) == 0, F.lit("c.=")).when(F.size(found) == 1, F.concat(F.lit("c."), found[0])).otherwise(F.concat(F.lit("c.["), F.array_join(found, ";"), F.lit("]")))
+    same = let(found, lambda d: F.when(F.size(d) == 0, F.lit("c.=")).when(F.size(d) == 1, F.concat(F.lit("c."), d[0])).otherwise(F.concat(F.lit("c.["), F.array_join(d, ";"), F.lit("]"))))
     return F.when(F.char_length(mutant) > F.char_length(wt), F.lit("insertion")).when(F.char_length(mutant) < F.char_length(wt), F.lit("deletion")).when(wt.isNotNull() & mutant.isNotNull(), same)
 
 
 def describe_residue_changes(wt: Column, mutant: Column) -> Column:
     """p.=, M1I:A2V, insertion or deletion (by length)."""
     found = _differences(wt, mutant, lambda i, x, y: F.concat(x, i, y))
-    same = F.when(F.size(found) == 0, F.lit("p.=")).otherwise(F.array_join(found, ":"))
+    same = let(found, lambda d: F.when(F.size(d) == 0, F.lit("p.=")).otherwise(F.array_join(d, ":")))
     return F.when(F.char_length(mutant) > F.char_length(wt), F.lit("insertion")).when(F.char_length(mutant) < F.char_length(wt), F.lit("deletion")).when(wt.isNotNull() & mutant.isNotNull(), same)
 
 
@@ -89,15 +94,18 @@ def apply_substitutions(s: Column, mutation: Column) -> Column:
 def segments(s: Column) -> Column:
     """array<struct<start long, sequence>> of the maximal runs of A, C, G, T in upper-case text, starts from 0."""
     runs = F.regexp_extract_all(s, F.lit("[ACGT]+|[^ACGT]+"), F.lit(0))
-    starts = running_starts(F.transform(runs, lambda r: F.char_length(r).cast("long")))
-    both = F.arrays_zip(starts.alias("start"), runs.alias("sequence"))
-    return F.filter(both, lambda x: F.rlike(x["sequence"], F.lit("^[ACGT]")))
+
+    def placed(r: Column) -> Column:
+        starts = running_starts(F.transform(r, lambda x: F.char_length(x).cast("long")))
+        return F.filter(F.arrays_zip(starts.alias("start"), r.alias("sequence")), lambda x: F.rlike(x["sequence"], F.lit("^[ACGT]")))
+
+    return let(runs, placed)
 
 
 def running_starts(lengths: Column, run: int = 256) -> Column:
     """array<long>: for each entry the sum of those before it. Summed in runs, so no array grows one by one for long."""
     none = F.array().cast("array<long>")
-    runs = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(lengths) - 1, F.lit(0)) / run).cast("int")), lambda i: F.slice(lengths, i * run + 1, run))
+    runs = let(lengths, lambda all_: F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(all_) - 1, F.lit(0)) / run).cast("int")), lambda i: F.slice(all_, i * run + 1, run)))
 
     def step(acc, n):
         return F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))

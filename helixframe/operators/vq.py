@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.functions.dna import let
+
 #: Codebooks are model parameters, not data; a larger one than this isn't shipped to every task.
 MOST_CODEBOOK_VALUES = 1 << 26
 
@@ -122,12 +124,10 @@ def linear_upsample(values: Column, size: int) -> Column:
 
 def layer_norm(values: Column, eps: float = 1e-5) -> Column:
     """(x - mean) / sqrt(variance + eps), without learned scale."""
-    n = F.size(values)
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    x = F.transform(values, lambda v: v.cast("double"))
-    mean = total(x) / n
-    var = total(F.transform(x, lambda v: (v - mean) * (v - mean))) / n
-    return F.transform(x, lambda v: (v - mean) / F.sqrt(var + eps))
+    centred = lambda x: let(total(x) / F.size(x), lambda m: F.transform(x, lambda v: v - m))
+    scaled = lambda c: let(F.sqrt(total(F.transform(c, lambda v: v * v)) / F.size(c) + eps), lambda d: F.transform(c, lambda v: v / d))
+    return let(let(values.cast("array<double>"), centred), scaled)
 
 
 def learning_rate(step: Column, warmup: int, decay_end: int, top: float, floor: float) -> Column:
