@@ -52,7 +52,10 @@ CLOSES = {
     "body": ({"head"}, set()),
 }
 
-_TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>|[^<]+|<""", re.S)
+# Quantifiers are possessive: a tag that never ends costs one pass, not one for each way to divide it.
+_TOKEN = re.compile(
+    r"""<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>|[^<]++|<""", re.S
+)
 _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _NAME = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -111,9 +114,11 @@ def parsed(html: str) -> Page:
     while pos < end:
         m = _TOKEN.match(html, pos)
         pos = m.end()
-        tag = m[2]
+        closing, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])  # the latter: quotes that don't match
         if tag is None:
             piece = m[0]
+            if piece == "<" and html[pos : pos + 1].isalpha():
+                break  # a tag that the page ends in
             if piece[0] != "<" or len(piece) == 1:
                 piece = unescape(piece)
                 run.append(piece)
@@ -124,7 +129,7 @@ def parsed(html: str) -> Page:
                     page.linked[node] += n
             continue
         tag = tag.lower()
-        if m[1]:
+        if closing:
             if tag in BLOCK or tag == "a":
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i][0] == tag:
@@ -139,7 +144,7 @@ def parsed(html: str) -> Page:
                 close(len(stack) - 1)
             continue
         if tag in HIDDEN:
-            if not m[3].endswith("/") or tag not in ("svg", "math"):
+            if not attributes.endswith("/") or tag not in ("svg", "math"):
                 at = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, pos)
                 pos = at.end() if at else end
             continue
@@ -165,7 +170,7 @@ def parsed(html: str) -> Page:
             flush()
             if tag == "hr":
                 continue
-            words, label = attribute_words(m[3]) if m[3] else ((), "")
+            words, label = attribute_words(attributes) if attributes else ((), "")
             page.parent.append(stack[-1][1])
             page.kind.append((tag, *words))
             page.own.append(0)
@@ -175,8 +180,8 @@ def parsed(html: str) -> Page:
         else:
             if tag == "a":
                 links += 1
-            if m[3] and "hidden" in m[3]:
-                words, _ = attribute_words(m[3])
+            if attributes and "hidden" in attributes:
+                words, _ = attribute_words(attributes)
                 if "@hidden" in words:
                     at = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, pos)
                     pos = at.end() if at else pos
