@@ -223,7 +223,8 @@ def joined(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 def digest(found: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of secret_spans' rows; rules begins with BASE."""
     kept = found.withColumn("base", F.filter("spans", lambda s: s["kind_no"] < len(BASE)))
-    counts = [F.size(F.filter("base", lambda s, i=i: s["kind_no"] == i)).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(BASE)]
+    number = lambda i: F.size(F.filter("base", lambda s: s["kind_no"] == i)).cast("long")
+    counts = [number(i).alias(f"n_{r.kind}") for i, r in enumerate(BASE)]
     return kept.select("doc_id", *counts, F.sha2(joined(F.col("base"), rules), 256).alias("base_sha256"), joined(F.col("spans"), rules).alias("spans"))
 
 
