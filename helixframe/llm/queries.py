@@ -69,4 +69,16 @@ QUERIES: dict[str, Query] = {
     "op10_bpe": op10_bpe,
 }
 
-ORACLE: dict[str, str] = {}
+#: Queries that SQL expresses in full. The others add spans, labels, fingerprints, samples, models or token ids that it
+#: can't; tests hold those against brute force, round trips or held-out labels.
+ORACLE: dict[str, str] = {
+    "op3_topk": """WITH v AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: floor(256*x)::BIGINT) AS t FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.t)+1), lambda i: q.t[i]*c.t[i]))::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+SELECT query_id, n::INT AS rank, vec_id, score FROM r WHERE n <= 5""",
+    "op7_warc": """WITH p AS (SELECT page_id, url, sha256(coalesce(html,'')) AS d, octet_length(encode(coalesce(html,'')))::BIGINT AS n FROM pages),
+f AS (SELECT d, min(page_id) AS m FROM p WHERE n >= 100 GROUP BY d)
+SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN m IS NOT NULL AND page_id IS DISTINCT FROM m THEN 'revisit' ELSE 'response' END AS record_type,
+CASE WHEN m IS NOT NULL AND page_id IS DISTINCT FROM m THEN m END AS refers_to, TRUE AS digest_ok, url FROM p LEFT JOIN f USING (d)""",
+}
