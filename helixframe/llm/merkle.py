@@ -132,13 +132,15 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     columns are left out. near values are likeness() of fingerprints.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("tree", leaves(F.col("text"))).withColumn("fingerprint", fingerprint(F.col("text"), F.col("tree"))).drop("tree")
-    rows = with_next(rows, ["text", "fingerprint"]).withColumn("n_chars", F.char_length("text").cast("long"))
+    rows = with_next(rows, ["text"]).withColumn("n_chars", F.char_length("text").cast("long"))  # texts travel; fingerprints are made where they arrive
     cut = F.floor(F.col("n_chars") / 4).cast("int")
-    rows = rows.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - cut), F.substring(F.col("next.text"), F.lit(1), cut)))
-    rows = rows.withColumn("edited_tree", leaves(F.col("edited"))).withColumn("edited_fingerprint", fingerprint(F.col("edited"), F.col("edited_tree")))
+    rows = rows.withColumn("next", F.col("next.text")).withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - cut), F.substring(F.col("next"), F.lit(1), cut)))
+    for c in ("text", "next", "edited"):
+        rows = rows.withColumn(f"{c}_tree", leaves(F.col(c)))
+    for c, name in (("text", "fingerprint"), ("next", "next_fingerprint"), ("edited", "edited_fingerprint")):
+        rows = rows.withColumn(name, fingerprint(F.col(c), F.col(f"{c}_tree")))
     return rows.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.col("next.fingerprint")).alias("near_next"),
+        likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
     )
