@@ -37,6 +37,7 @@ SEED = 5
 RIDGE, STEPS, RATE = 2e-4, 400, 0.1
 Z = 1.64
 
+COUNTED = pa.schema([("feature", pa.string()), ("bad", pa.int64()), ("n", pa.int64())])
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -129,10 +130,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
                 texts[y] += 1
                 if y:
                     bad.update(f)
-        keys = [f for f in all_ if bad[f]]
-        yield pa.RecordBatch.from_pydict({"feature": ["", *keys], "bad": [texts[1], *(bad[f] for f in keys)], "n": [sum(texts), *(all_[f] for f in keys)]})
-        rest = [f for f in all_ if not bad[f]]
-        yield pa.RecordBatch.from_pydict({"feature": rest, "bad": [0] * len(rest), "n": [all_[f] for f in rest]})
+        keys = list(all_)
+        yield pa.RecordBatch.from_pydict({"feature": ["", *keys], "bad": [texts[1], *(bad[f] for f in keys)], "n": [sum(texts), *(all_[f] for f in keys)]}, COUNTED)
 
     counts = chosen.mapInArrow(count, "feature string, bad long, n long").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
     total = counts.filter("feature = ''").first()
