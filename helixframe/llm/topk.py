@@ -20,7 +20,7 @@ from helixframe.llm.common import prepare
 
 SCALE = 256
 #: Rows of a block, blocks of a shard (what one task holds at once) and queries that meet it together.
-BLOCK, SHARD_BLOCKS, CHUNK = 256, 16, 256
+BLOCK, SHARD_BLOCKS, CHUNK = 256, 16, 4096
 #: Sums of products below this are exact in float64.
 EXACT = float(1 << 53)
 
