@@ -34,6 +34,16 @@ def either_case(word: str) -> str:
 
 
 _NAMES = "|".join([*map(either_case, ("password", "passwd", "secret", "token")), f"{either_case('api')}_?{either_case('key')}"])
+# What follows a private key's BEGIN line: all up to its END line or, where that is missing, headers (lines of their own, or
+# in text without line ends single words) and key lines as far as they go. Key lines are runs of 20 or more base64
+# characters, shorter ones that no word looks like, and whole lines; they may be quoted or indented, their ends written as
+# backslash and n. Loops over groups are possessive: Java runs them without recursion, and no length is bounded.
+_TO_END = r"[^-]*+(?:-(?!----(?:BEGIN|END)\x20)[^-]*+)*+-----END [A-Z ]{0,40}PRIVATE KEY-----"
+_SKIP, _PAD, _EOL = r"""(?:[\x20\t\r\n"'`,;>#*|]|\\++[nrt])*+""", r"""[\x20\t"'`,;>#*|+]*+""", r"(?:\r?\n|\r|\\++n)"
+_PIECE = r"""(?:[A-Za-z0-9+/=]{20,}+|(?=[A-Za-z/]*+[0-9+=]|[A-Z]*+[a-z]++[A-Z/])[A-Za-z0-9+/=]++(?![^\x20\t\r\n"'`,;\\]))"""
+_LINES = rf"(?:{_SKIP}{_PIECE}|{_PAD}{_EOL}{_PAD}[A-Za-z0-9+/=]++(?={_PAD}(?:{_EOL}|(?![\s\S]))))++"
+_HEADED = [rf"(?:{_SKIP}[A-Z][A-Za-z0-9-]*+:\x20{value})*+{_LINES}" for value in (r"[^\r\n\\]*+", r"[^\x20\t\r\n\\]*+")]
+_AFTER_BEGIN = rf"(?:{_TO_END}|{'|'.join(_HEADED)})?+"
 # The base kinds, in the order in which they are listed.
 BASE = (
     Rule("assign", rf"""({_NAMES})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
@@ -42,7 +52,7 @@ BASE = (
 )
 # Further kinds.
 MORE = (
-    Rule("private", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("private", rf"-----BEGIN [A-Z ]{{0,40}}PRIVATE KEY-----{_AFTER_BEGIN}"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
