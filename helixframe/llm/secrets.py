@@ -58,7 +58,7 @@ MORE = (
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("stripe", r"[sr]k_(?:live|test)_[0-9a-zA-Z]{16,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}"),
-    Rule("login", r"://[^\s:/@]{1,64}:[^\s:/@]{1,64}@"),
+    Rule("login", r"://[^\s:/@]++:[^\s:/@]++@"),
     Rule("bearer", r"[Bb]earer [A-Za-z0-9._~+/-]{20,}"),
 )
 RULES = BASE + MORE

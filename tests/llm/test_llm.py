@@ -92,6 +92,13 @@ def test_private_keys_are_redacted_whole(spark):
     assert [re.sub(rule.pattern, "[SECRET]", t) for t, _ in cases] == [w for _, w in cases]
 
 
+def test_long_logins_are_found(spark):
+    long = "github_pat_" + "aB3_" * 20 + "xy"
+    texts = [f"git clone https://x:{long}@host/r now", f"see ftp://{'u' * 65}:p@h", f"at s3://u:{'p' * 100_000}@h", "at http://h:80/a@b", "http://" * 20_000]
+    got = {x.doc_id: x.text for x in secrets.redacted(secrets.secret_spans(docs(spark, texts))).collect()}
+    assert [got[i] for i in range(5)] == ["git clone https[SECRET]host/r now", "see ftp[SECRET]h", "at s3[SECRET]h", *texts[3:]]
+
+
 def test_trigram_queries_are_mandatory():
     for r in secrets.RULES:
         q = secrets.trigram_query(r.pattern)
