@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.llm.common import kept, prepare
@@ -392,8 +392,19 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs (all columns) without near copies: of each group the document with the smallest doc_id, once."""
-    stay = groups(docs, k, percent).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__stay")).distinct()
-    once = Window.partitionBy("doc_id").orderBy("text")
-    rows = docs.filter("doc_id IS NOT NULL").join(stay, F.col("doc_id") == F.col("__stay")).drop("__stay").withColumn("__n", F.row_number().over(once)).filter("__n = 1").drop("__n")
-    return rows.unionByName(docs.filter("doc_id IS NULL"))
+    """docs (all columns) without near copies: of each group of alike texts the row with the smallest doc_id.
+
+    Where rows repeat a doc_id, each row is compared by itself, so a text stays unless a row with one alike does; a doc_id's
+    texts without words (null, empty) are alike, and null goes first. Rows with a null doc_id stay.
+    """
+    named, rest = docs.filter("doc_id IS NOT NULL"), docs.filter("doc_id IS NULL")
+    if not named.groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        stay = groups(named, k, percent).filter("kept").select(F.col("doc_id").alias("__stay"))
+        return named.join(stay, F.col("doc_id") == F.col("__stay"), "left_semi").unionByName(rest)
+    rows = kept(named.withColumn("__row", F.monotonically_increasing_id()), "dedup-rows")
+    found = groups(rows, k, percent, "__row").select(F.col("doc_id").alias("__of"), "n_shingles", "component_id")
+    order = F.struct("doc_id", F.col("text").isNull().alias("none"), F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256).alias("text"), F.sha2(F.to_json(F.struct(*docs.columns)), 256).alias("all"), "__row")
+    some = F.col("n_shingles") > 0
+    one = rows.select(F.col("doc_id").alias("__id"), "__row", order.alias("order")).join(found, F.col("__row") == F.col("__of"))
+    stay = one.groupBy(F.when(some, F.col("component_id")).alias("group"), F.when(~some, F.col("__id")).alias("own")).agg(F.min("order").alias("first"))
+    return rows.join(stay.select(F.col("first")["__row"].alias("__stay")), F.col("__row") == F.col("__stay"), "left_semi").drop("__row").unionByName(rest)

@@ -283,6 +283,23 @@ def test_near_duplicates_match_brute_force(spark):
     assert one.columns == df.columns and {x.doc_id for x in one.collect()} == {i for i, c in brute_groups(rows, 5, 80).items() if c == i}
 
 
+def test_texts_of_repeated_ids_are_kept(spark):
+    r = random.Random(13)
+    a, b, c, d, e = (words(80, r, 10**6) for _ in range(5))
+    near = lambda t: t + " more"
+    rows = [(1, a), (2, None), (2, ""), (2, b), (2, b.upper()), (2, near(b)), (2, c), (3, near(c)), (4, near(a)), (4, d), (5, near(d)), (6, None), (7, " "), (7, None), (8, e), (8, e), (None, e), (None, None)]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, place int")
+    for part in (df, df.repartition(5)):
+        out = minhash.one_of_each(part, 5, 80)
+        got = [(x.doc_id, x.text) for x in out.collect()]
+        assert out.columns == df.columns and len(got) == 10
+        left = sorted((x for x in got if x[0] != 2 or not x[1] or x[1] == c), key=str)
+        assert left == sorted([(1, a), (2, ""), (2, c), (4, d), (6, None), (7, " "), (8, e), (None, e), (None, None)], key=str)
+        assert {x for x in got} - set(left) <= {(2, b), (2, b.upper()), (2, near(b))}
+    alone = df.filter("place IN (0, 2, 7, 11, 16)")
+    assert {(x.doc_id, x.text) for x in minhash.one_of_each(alone, 5, 80).collect()} == {(1, a), (2, ""), (3, near(c)), (6, None), (None, e)}
+
+
 def test_near_duplicates_across_blocks(spark, monkeypatch):
     """Copies near the threshold: many components in one bucket, cut into blocks of a few."""
     monkeypatch.setattr(minhash, "SIGNATURES", 16)
