@@ -45,7 +45,8 @@ TAG = "spdx license identifier"
 # Identifiers (lower case) whose terms let a text be trained on.
 OPEN = {"mit", "isc", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "bsl-1.0", "cc0-1.0", "cc-by-4.0", "cc-by-3.0", "unlicense", "zlib", "0bsd", "psf-2.0"}
 
-TAG_LINE = re.compile(r"spdx-license-identifier:[ \t]*([^\r\n]{0,400})")
+#: A tag and what follows it up to the end of its line or the line's next tag.
+TAG_LINE = re.compile(r"spdx-license-identifier:[ \t]*([^\r\ns]*+(?:s(?!pdx-license-identifier:)[^\r\ns]*+)*+)")
 TOKEN = re.compile(r"[()]|[a-z0-9][a-z0-9.+:-]*")
 RANK = {"or": 1, "and": 2, "with": 3}
 
@@ -97,7 +98,12 @@ def evaluated(tokens: list[str], allowed: set[str]) -> tuple[bool, set[str]]:
             stack.append((t.removesuffix("+") in allowed, {t}))
             continue
         (b, nb), (a, na) = stack.pop(), stack.pop()
-        stack.append((a or b, na | nb) if t == "or" else (a and b, na | nb) if t == "and" else (a, {f"{min(na)} with {min(nb)}"} if len(na) == len(nb) == 1 else na | nb))
+        if t == "with" and len(na) == len(nb) == 1:
+            names = {f"{min(na)} with {min(nb)}"}
+        else:
+            names, few = (na, nb) if len(na) >= len(nb) else (nb, na)
+            names |= few  # the smaller set into the larger: long expressions stay linear
+        stack.append((a or b if t == "or" else a and b if t == "and" else a, names))
     return stack[0]
 
 

@@ -472,6 +472,22 @@ def test_expressions(expression, tokens, fine):
         assert licenses.evaluated(tokens, licenses.OPEN)[0] is fine
 
 
+def test_long_expressions_are_read_whole(spark):
+    many = [f"x-{i}.0" for i in range(200)]
+    texts = [
+        f"// SPDX-License-Identifier: {' AND '.join(['mit'] * 150)} AND closed-1.0\nmore",
+        f"SPDX-License-Identifier: {' OR '.join(many)} OR MIT",
+        f"SPDX-License-Identifier: {'(' * 150}MIT{' AND isc)' * 150}\r\nx",
+        f"SPDX-License-Identifier: MIT {'word ' * 100} SPDX-License-Identifier: gpl-2.0-only {'s ' * 300} SPDX-License-Identifier: isc",
+    ]
+    got = {g.doc_id: g for g in licenses.license_scan(docs(spark, texts)).collect()}
+    assert [got[i].permitted for i in range(4)] == [False, True, True, False] and all(got[i].score == 1 for i in range(4))
+    for i in range(3):
+        assert got[i].expressions == [" ".join(licenses.postfix(texts[i].split(": ")[1].splitlines()[0]))]
+    assert got[0].labels == "spdx:closed-1.0,spdx:mit" and got[3].expressions == ["mit", "gpl-2.0-only", "isc"]
+    assert {f"spdx:{x}" for x in [*many, "mit"]} == set(got[1].labels.split(","))
+
+
 # 9 toxicity ----------------------------------------------------------------------------------
 
 
