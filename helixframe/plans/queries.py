@@ -390,3 +390,104 @@ def pending_rows(spark, sf_dir):
 @query("SELECT l_returnflag, sqrt(avg(l_discount*l_discount)) AS rms FROM lineitem GROUP BY 1".replace("sqrt(avg(l_discount*l_discount))", "round(sqrt(avg(l_discount*l_discount)),9)"))
 def rms_by_group(spark, sf_dir):
     return vq.rms(table(spark, sf_dir, "lineitem"), F.array("l_discount"), ["l_returnflag"]).withColumn("rms", F.round("rms", 9))
+
+
+# The operators on DNA text over whole texts: two bases a byte, trimmed to whole codons. The queries above keep the 30 bases
+# that their SQL is about.
+TEXT_MUTANT = BASES[:7] + "A" + BASES[8:]
+
+
+def _text_dna(spark, sf_dir) -> DataFrame:
+    """doc_id, wt, mutant of the whole text; mutant has A where the text's hexadecimal digit is 7."""
+    h = F.hex(F.col("text").cast("binary"))
+    seq = lambda bases: F.translate(F.substring(h, F.lit(1), F.length(h) - F.length(h) % 3), HEX.upper(), bases)
+    return table(spark, sf_dir, "documents").select("doc_id", seq(BASES).alias("wt"), seq(TEXT_MUTANT).alias("mutant"))
+
+
+_TRIMMED_SQL = "left(hex(text),length(hex(text))-length(hex(text))%3)"
+TEXT_DNA_SQL = f"(SELECT doc_id, translate({_TRIMMED_SQL},'{HEX.upper()}','{BASES}') AS wt, translate({_TRIMMED_SQL},'{HEX.upper()}','{TEXT_MUTANT}') AS mutant FROM documents)"
+_TEXT_AA_SQL = "array_to_string(list_transform(regexp_extract_all({s},'...'), lambda c: " + CODON_SQL.format(c="c") + "),'')"
+
+
+@query(f"SELECT doc_id, {_TEXT_AA_SQL.format(s='wt')} AS wt_aa, {_TEXT_AA_SQL.format(s='mutant')} AS mutant_aa FROM {TEXT_DNA_SQL}")
+def dna_translate_text(spark, sf_dir):
+    return _text_dna(spark, sf_dir).select("doc_id", dna.translate_dna(F.col("wt")).alias("wt_aa"), dna.translate_dna(F.col("mutant")).alias("mutant_aa"))
+
+
+@query()
+def coding_edit_text(spark, sf_dir):
+    return _text_dna(spark, sf_dir).select("doc_id", dna.describe_coding_edit(F.col("wt"), F.col("mutant")).alias("nt_edit"))
+
+
+@query()
+def aa_changes_text(spark, sf_dir):
+    return _text_dna(spark, sf_dir).select("doc_id", dna.describe_residue_changes(dna.translate_dna(F.col("wt")), dna.translate_dna(F.col("mutant"))).alias("aa_change"))
+
+
+@query(f"SELECT doc_id, reverse(translate(wt,'ACGT','TGCA')) AS rc FROM {TEXT_DNA_SQL}")
+def revcomp_text(spark, sf_dir):
+    return _text_dna(spark, sf_dir).select("doc_id", dna.reverse_complement(F.col("wt")).alias("rc"))
+
+
+def _coding(spark, sf_dir) -> DataFrame:
+    """_text_dna's rows with a codon at least, and n, their length."""
+    return _text_dna(spark, sf_dir).withColumn("n", F.length("wt")).filter("n > 0")
+
+
+@query()
+def replace_codon_text(spark, sf_dir):
+    place = (F.pmod("doc_id", F.expr("cast(n / 3 as int)")) + 1).cast("int")
+    return _coding(spark, sf_dir).select("doc_id", dna.replace_codon(F.col("wt"), place, F.lit("tag")).alias("edited"))
+
+
+@query()
+def apply_substitutions_text(spark, sf_dir):
+    """The middle base becomes A, then the last one T."""
+    base = lambda at: F.concat(F.substring(F.col("wt"), at, F.lit(1)), at.cast("string"))
+    m = F.concat(base(F.expr("cast(n / 2 as int)")), F.lit("A_"), base(F.col("n")), F.lit("T"))
+    return _coding(spark, sf_dir).select("doc_id", F.col("wt").alias("original"), dna.apply_substitutions(F.col("wt"), m).alias("edited"))
+
+
+@query()
+def hgvs_apply_text(spark, sf_dir):
+    """Edits at the sequence's end, by doc_id: none, substitution, deletion, insertion, two edits."""
+    k, s = F.pmod("doc_id", F.lit(5)), lambda back: (F.col("n") - back).cast("string")
+    edit = F.when(k == 0, F.lit("c.=")).when(k == 1, F.concat(F.lit("c."), s(0), F.lit("G>T"))).when(k == 2, F.concat(F.lit("c."), s(2), F.lit("_"), s(0), F.lit("del")))
+    edit = edit.when(k == 3, F.concat(F.lit("c."), s(0), F.lit("_"), s(-1), F.lit("insAAA"))).otherwise(F.concat(F.lit("c.[1A>G;"), s(1), F.lit("_"), s(0), F.lit("delinsTAA]")))
+    return _coding(spark, sf_dir).select("doc_id", hgvs.apply_edit(F.col("wt"), edit).alias("mutant_nt"))
+
+
+@query()
+def designed_codon_text(spark, sf_dir):
+    """The middle codon is designed to code for F, in tiles of the whole text; reversed tiles on odd ids."""
+    at = F.expr("3 * cast(n / 6 as int) + 1")
+    rows = _coding(spark, sf_dir).withColumn("wt_codon", F.substring(F.col("wt"), at, F.lit(3)))
+    rows = rows.withColumn("tile", F.overlay("wt", F.when(F.col("wt_codon") == "TTC", F.lit("TTT")).otherwise(F.lit("TTC")), at, F.lit(3)))
+    flip = lambda c: F.when(F.pmod("doc_id", F.lit(2)) == 1, dna.reverse_complement(F.col(c))).otherwise(F.col(c))
+    return rows.select("doc_id", "wt_codon", hgvs.mutant_codon(flip("wt"), flip("tile"), F.col("wt_codon"), F.lit("F")).alias("codon"))
+
+
+def _text_windows(spark, sf_dir) -> DataFrame:
+    return corpus.sequence_windows(_text_dna(spark, sf_dir).select("doc_id", F.col("wt").alias("sequence")), corpus.CHUNK)
+
+
+@query(f"SELECT doc_id, (o//{corpus.CHUNK})::INT AS window_no, substring(wt, o+1, {corpus.CHUNK}) AS \"window\" FROM (SELECT doc_id, wt, unnest(range(0,length(wt),{corpus.CHUNK})) AS o FROM {TEXT_DNA_SQL})")
+def window_split_text(spark, sf_dir):
+    return _text_windows(spark, sf_dir)
+
+
+@query(f"SELECT doc_id, list_transform(regexp_extract_all(wt,'.'), lambda c: (instr('ACGT',c)-1)::BIGINT) AS input_ids FROM {TEXT_DNA_SQL}")
+def tokenize_text(spark, sf_dir):
+    return _text_dna(spark, sf_dir).select("doc_id", dna.tokens(F.col("wt")).alias("input_ids"))
+
+
+@query()
+def token_batches_text(spark, sf_dir):
+    """Eight windows of a text a batch; a shorter last window is a batch of its own. A text has fewer than 2**18 windows."""
+    place = F.col("doc_id") * (1 << 19) + F.when(F.length("window") < corpus.CHUNK, F.lit(1 << 18)).otherwise(F.col("window_no"))
+    return corpus.token_batches(_text_windows(spark, sf_dir).select("window", place.alias("place")), 8, "place")
+
+
+@query(f"""SELECT doc_id, CASE WHEN n=0 THEN 0.0 ELSE round(list_sum(list_transform(['A','C','G','T'], lambda b: CASE WHEN contains(wt,b) THEN (n-length(replace(wt,b,'')))*ln((n-length(replace(wt,b,'')))/n::DOUBLE) ELSE 0 END))/n,9) END AS evo_log_likelihood FROM (SELECT *, length(wt) AS n FROM {TEXT_DNA_SQL})""")
+def model_scores_text(spark, sf_dir):
+    return evaluation.scored(_text_dna(spark, sf_dir).select("doc_id", "wt"), "wt", evaluation.base_frequency_scorer).select("doc_id", F.round("evo_log_likelihood", 9).alias("evo_log_likelihood"))

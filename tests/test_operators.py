@@ -236,3 +236,52 @@ def test_stream(spark, tmp_path):
         df = streaming.chunk_stream(spark.readStream.schema("id string, sequence string").parquet(str(src)), 3)
         streaming.append_to(df, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_dna_queries_read_whole_texts(spark, tmp_path):
+    import random
+
+    import duckdb
+
+    from helixframe.functions.dna import CODONS
+    from helixframe.plans.queries import ORACLE, QUERIES
+
+    r = random.Random(3)
+    texts = ["", "a", "é b", "short text", *(" ".join(f"w{r.randint(0, 999)}" for _ in range(n)) for n in (200, 1000, 3000, 9000, 20_000))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = lambda name: {x[0]: x for x in QUERIES[name](spark, str(tmp_path)).collect()}
+    h = [t.encode().hex().upper() for t in texts]
+    h = [x[: len(x) - len(x) % 3] for x in h]
+    a, b = ([x.translate(str.maketrans("0123456789ABCDEF", bases)) for x in h] for bases in ("ACGT" * 4, "ACGTACGAACGTACGT"))
+    aa = lambda s: "".join(CODONS[s[i : i + 3]] for i in range(0, len(s), 3))
+    got = {n: out(n) for n in ("dna_translate_text", "coding_edit_text", "aa_changes_text", "revcomp_text", "replace_codon_text", "apply_substitutions_text", "hgvs_apply_text", "designed_codon_text", "tokenize_text", "model_scores_text")}
+    assert len(a[-1]) == 2 * len(texts[-1]) - 2 * len(texts[-1]) % 3
+    for i, (w, m) in enumerate(zip(a, b)):
+        n = len(w)
+        assert got["dna_translate_text"][i][1:] == (aa(w), aa(m)) and got["revcomp_text"][i].rc == w.translate(str.maketrans("ACGT", "TGCA"))[::-1]
+        d = [f"{k + 1}{x}>{y}" for k, (x, y) in enumerate(zip(w, m)) if x != y]
+        assert got["coding_edit_text"][i].nt_edit == ("c.=" if not d else f"c.{d[0]}" if len(d) == 1 else f"c.[{';'.join(d)}]")
+        d = [f"{x}{k + 1}{y}" for k, (x, y) in enumerate(zip(aa(w), aa(m))) if x != y]
+        assert got["aa_changes_text"][i].aa_change == (":".join(d) or "p.=")
+        assert got["tokenize_text"][i].input_ids == ["ACGT".index(x) for x in w]
+        p = [w.count(x) / n for x in "ACGT" if x in w]
+        assert abs(got["model_scores_text"][i][1] - sum(x * np.log(x) for x in p)) < 1e-8
+        if not n:
+            continue
+        k = 3 * (i % (n // 3))
+        assert got["replace_codon_text"][i].edited == w[:k] + "TAG" + w[k + 3 :]
+        k = n // 2
+        assert got["apply_substitutions_text"][i].edited == (w[: k - 1] + "A" + w[k:])[:-1] + "T"
+        assert got["hgvs_apply_text"][i].mutant_nt == [w, w[:-1] + "T", w[:-3], w + "AAA", "G" + w[1:-2] + "TAA"][i % 5]
+        k = 3 * (n // 6)
+        assert got["designed_codon_text"][i][1:] == (w[k : k + 3], "TTT" if w[k : k + 3] == "TTC" else "TTC")
+    want = [(i, k // 8192, w[k : k + 8192]) for i, w in enumerate(a) for k in range(0, len(w), 8192)]
+    assert sorted(map(tuple, QUERIES["window_split_text"](spark, str(tmp_path)).collect())) == want
+    batches = [x.input_ids for x in QUERIES["token_batches_text"](spark, str(tmp_path)).orderBy("batch_no").collect()]
+    assert all(len(x) <= 8 and len(set(map(len, x))) == 1 for x in batches)
+    assert [["ACGT"[t] for t in x] for y in batches for x in y] == [list(w) for _, _, w in want]
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    for name in ("dna_translate_text", "revcomp_text", "window_split_text", "tokenize_text", "model_scores_text"):
+        rows = lambda x: sorted(map(str, (tuple(y) for y in x)))
+        assert rows(db.execute(ORACLE[name]).fetchall()) == rows(QUERIES[name](spark, str(tmp_path)).collect()), name
