@@ -7,21 +7,21 @@ last break); the tail, the next head and any chunk without a break between them
 encoded again as one piece: that is where the token sequence depends on both sides.
 
 A break is a blank or line feed. The tokenizers this serves normalise white space to single blanks
-and split words there, so tokens never span a break and depend on nothing beyond it: once a join is
-widened to the breaks around it, its tokens agree exactly with the whole text's. Coder.agrees()
-checks this for a given tokenizer and refuses one for which it doesn't hold.
+and split words there. Every join is encoded once more with a word of the chunk on either side; where
+the tokens don't agree with those of join and chunks, the part is encoded whole, the widest join there
+is. Coder.agrees() refuses tokenizers that would end there always.
 
 Within an inner part pieces between breaks are looked up in the same way. Both memories belong to the
-Python worker, live across its tasks and forget what wasn't asked for lately at a fixed size, so they are
-bounded whatever the input.
+Python worker, live across its tasks and forget what wasn't asked for lately once they hold PIECE_BYTES
+and CHUNK_BYTES (twice that at most), and long texts are encoded in parts, so a worker needs about
+100 MB beyond the tokenizer, whatever the input; only a stretch without breaks is held whole.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
-from collections.abc import Iterator
-from itertools import chain
+import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +34,12 @@ from helixframe.llm.common import prepare
 WINDOW = 16
 #: A byte ends a chunk with probability 2**-MASK_BITS; bytes within MIN_CHUNK of the last cut don't.
 MASK_BITS, MIN_CHUNK = 8, 64
-#: Entries of a generation of a worker's memories, and the longest remembered piece and chunk in bytes.
-PIECES, CHUNKS, LONG_PIECE, LONG_CHUNK = 300_000, 25_000, 64, 4096
+#: Bytes of a generation of a worker's two memories, and the longest remembered piece and chunk in bytes.
+PIECE_BYTES, CHUNK_BYTES, LONG_PIECE, LONG_CHUNK = 24 << 20, 8 << 20, 64, 4096
+#: Characters encoded at once, and bytes of unknown pieces that the library is given at once.
+PART, LEARN_BYTES = 1 << 18, 1 << 16
+
+_BREAK = re.compile("[ \n]")
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _TABLE = np.array([int.from_bytes(hashlib.blake2b(bytes([i]), digest_size=8).digest(), "little") for i in range(256)], np.uint64)
@@ -61,21 +65,26 @@ def cuts(data: bytes) -> list[int]:
 
 
 class Memory:
-    """A dictionary in two generations: what is asked for again moves to the younger, and the older is dropped when that is full."""
+    """A dictionary in two generations, each of at most `most` bytes by estimate: what is asked for again moves to the
+    younger, and when that is full the older one is dropped. Keys and values are bytes, or tuples of bytes."""
+
+    #: What an entry takes besides its bytes: two objects and a place in a dictionary.
+    ENTRY = 220
 
     def __init__(self, most: int):
-        self.most, self.new, self.old = most, {}, {}
+        self.most, self.size, self.new, self.old = most, 0, {}, {}
 
-    def known(self, wanted: set[bytes]) -> tuple[dict, list[bytes]]:
-        """The wanted entries that are there, moved to the younger generation, and those that aren't there."""
-        new, old = self.new, self.old
-        moved = {p: old[p] for p in wanted - new.keys() if p in old}
-        new.update(moved)
-        return new, [p for p in wanted if p not in new]
+    def get(self, key: bytes):
+        value = self.new.get(key)
+        if value is None and (value := self.old.get(key)) is not None:
+            self.put(key, value)
+        return value
 
-    def turn(self) -> None:
-        if len(self.new) > self.most:
-            self.new, self.old = {}, self.new
+    def put(self, key: bytes, value) -> None:
+        self.size += self.ENTRY + len(key) + (len(value) if isinstance(value, bytes) else sum(map(len, value)) + 60 * len(value))
+        if self.size > self.most:
+            self.size, self.new, self.old = 0, {}, self.new
+        self.new[key] = value
 
 
 def spaced(data: bytes) -> bytes:
@@ -96,16 +105,14 @@ _KIND = np.array([1 if 97 <= c <= 122 else 2 if 33 <= c <= 47 or 58 <= c <= 96 o
 
 
 class Coder:
-    """A tokenizer with memories of pieces and chunks; entries are (count, ids as text, tokens as text)."""
+    """A tokenizer with memories of pieces and chunks; ids are kept packed, as bytes of int32."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        names = {i: t for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
-        self.names = [names.get(i, "") for i in range(max(names) + 1)]
-        self.numbers = list(map(str, range(len(self.names))))
-        self.pieces, self.chunks = Memory(PIECES), Memory(CHUNKS)
+        self.pieces, self.chunks = Memory(PIECE_BYTES), Memory(CHUNK_BYTES)
+        self.widened = 0
         if self.tokenizer.decoder is not None or not self.agrees():
             raise ValueError("chunk reuse needs a tokenizer whose words end at blanks and that decodes by joining tokens with blanks")
 
@@ -117,63 +124,51 @@ class Coder:
         pairs = [(a, b, s) for a in probes for b in probes for s in (" ", "\n")]
         return all(of(f"{a}{s}{b}") == one[a] + one[b] == of(spaced(f"{a}{s}{b}".encode()).decode()) for a, b, s in pairs)
 
-    def learn(self, new: list[bytes]) -> dict[bytes, tuple[int, str, str]]:
-        """Encodes pieces, many at once: they are joined by breaks, and offsets tell whose a token is."""
-        out: dict[bytes, tuple[int, str, str]] = {}
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
+    def learn(self, new: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Each piece and its ids. Many are encoded at once: they are joined by breaks, and offsets tell whose a token is."""
+        at = 0
+        while at < len(new):
+            part, size = [], 0
+            while at < len(new) and size < LEARN_BYTES:
+                part.append(new[at])
+                size += len(new[at])
+                at += 1
             text = b"\n".join(part).decode()
             starts = np.cumsum([0] + [len(t) + 1 for t in text.split("\n")])
             e = self.tokenizer.encode(text, add_special_tokens=False)
-            ids = e.ids
+            ids = np.array(e.ids, np.int32)
             edge = np.searchsorted(np.array([o[0] for o in e.offsets], np.int64), starts)
-            counts = np.diff(edge).tolist()
-            between = np.full(len(ids), " ", object)
-            at = edge[1:-1]
-            between[at[at < len(ids)]] = "\n"
-            between = between.tolist()
-            if 0 in counts:  # pieces without tokens: the lines don't match the pieces one to one
-                full = [p for p, c in zip(part, counts) if c]
-                out.update((p, (0, "", "")) for p, c in zip(part, counts) if not c)
-                part, counts = full, [c for c in counts if c]
-            lines = ["".join(chain.from_iterable(zip(between, map(of.__getitem__, ids))))[1:].split("\n") for of in (self.numbers, self.names)]
-            out.update(zip(part, zip(counts, *lines)))
+            data, edge = ids.tobytes(), (4 * edge).tolist()
+            for p, a, b in zip(part, edge, edge[1:]):
+                yield p, data[a:b]
+
+    def look_up(self, wanted: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of all wanted pieces, from the memory or encoded now; long ones and those of several words aren't kept."""
+        out, new, get = {}, [], self.pieces.get
+        for p in wanted:
+            if (ids := get(p)) is None:
+                new.append(p)
+            else:
+                out[p] = ids
+        for p, ids in self.learn(new):
+            out[p] = ids
+            if len(p) <= LONG_PIECE and b" " not in p:
+                self.pieces.put(p, ids)
         return out
 
-    def look_up(self, wanted: set[bytes]) -> dict[bytes, tuple[int, str, str]]:
-        """The memory with all wanted pieces in it; long ones are encoded but not kept beyond this call."""
-        self.pieces.turn()
-        memory, new = self.pieces.known(wanted)
-        got = self.learn(new)
-        memory.update((p, v) for p, v in got.items() if len(p) <= LONG_PIECE)
-        long = {p: v for p, v in got.items() if len(p) > LONG_PIECE}
-        return {**memory, **long} if long else memory
-
-    @staticmethod
-    def joined(parts) -> tuple[int, str, str]:
-        """Parts in order as one; parts without tokens leave no blank."""
-        n, ids, tokens = zip(*parts)
-        if 0 in n:
-            return Coder.joined(kept) if (kept := [p for p in parts if p[0]]) else (0, "", "")
-        return sum(n), " ".join(ids), " ".join(tokens)
-
-    def encode(self, texts: list[str]) -> list[tuple[int, str, str]]:
-        """For each text the count of its tokens, its ids and its tokens joined by blanks."""
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
         plans: list[list] = []
         fresh: dict[bytes, tuple] = {}
-        self.chunks.turn()
-        new, old = self.chunks.new, self.chunks.old
         wanted: set[bytes] = set()
-        for t in texts:
-            data = spaced(t.encode())
-            plan: list = []
+        datas = [spaced(t.encode()) for t in texts]
+        for data in datas:
+            plan: list = []  # chunks as tuples, joins between them as bytes
             pending, start = b"", 0
             for end in cuts(data):
                 c = data[start:end]
                 start = end
-                known = new.get(c) or fresh.get(c)
-                if known is None and (known := old.get(c)):
-                    new[c] = known
+                known = self.chunks.get(c) or fresh.get(c)
                 if known is None:
                     head, *inner = c.split(b" ")
                     tail = inner.pop() if inner else None
@@ -181,28 +176,90 @@ class Coder:
                         inner = [p for p in inner if p]
                     wanted.update(inner)
                     known = fresh[c] = (head, inner, tail)
-                head, _, tail = known
-                if tail is None:
-                    pending += head
+                if known[-1] is None:
+                    pending += known[0]
                     continue
-                if pending or head:  # the join: what stands on both sides of the cut is encoded as one
-                    pending += head
-                    plan.append(pending)
-                    wanted.add(pending)
-                plan.append((c, known))
-                pending = tail
-            if pending:
-                plan.append(pending)
-                wanted.add(pending)
+                plan += (pending + known[0], known)
+                pending = known[-1]
+            plan.append(pending)
             plans.append(plan)
-        memory = self.look_up(wanted)
-        done: dict[bytes, tuple[int, str, str]] = {}
-        for c, (head, inner, tail) in fresh.items():
-            done[c] = self.joined([memory[p] for p in inner]) if inner else (0, "", "")
-            if len(c) <= LONG_CHUNK:
-                new[c] = (head, done[c], tail)
-        part = lambda p: memory[p] if isinstance(p, bytes) else done[p[0]] if p[0] in done else p[1][1]
-        return [self.joined([part(p) for p in plan]) if plan else (0, "", "") for plan in plans]
+        ends = lambda k: (k[1][0], k[1][-1]) if len(k) == 3 and k[1] else k[2:4] if len(k) > 3 else (b"", b"")
+        windows = []  # of each text: a join's place, what stands left of it and right of it
+        for plan in plans:
+            around = [(ends(plan[i - 1])[1] if i else b"", plan[i], ends(plan[i + 1])[0] if i + 1 < len(plan) else b"") for i in range(0, len(plan), 2)]
+            windows.append([w for w in around if w[1]])
+            for w in windows[-1]:
+                wanted.update(p for p in w if p)
+                wanted.add(b" ".join(p for p in w if p))
+        ids = self.look_up(wanted)
+        made: dict[int, bytes] = {}
+        for c, known in fresh.items():
+            head, inner, tail = known
+            made[id(known)] = middle = b"".join([ids[p] for p in inner])
+            if tail is not None and len(c) <= LONG_CHUNK:
+                self.chunks.put(c, (head, middle, *((inner[0], inner[-1]) if inner else (b"", b"")), tail))
+        out = []
+        for data, plan, joins in zip(datas, plans, windows):
+            if all(ids[b" ".join(p for p in w if p)] == b"".join([ids[p] for p in w if p]) for w in joins):
+                parts = [(ids[p] if p else b"") if isinstance(p, bytes) else made[id(p)] if id(p) in made else p[1] for p in plan]
+                out.append(np.frombuffer(b"".join(parts), np.int32))
+            else:  # a join whose tokens don't agree with its neighbours': widened as far as it goes
+                self.widened += 1
+                out.append(np.array(self.tokenizer.encode(data.decode(), add_special_tokens=False).ids, np.int32))
+        return out
+
+    def rows(self, texts: list[str]) -> list[tuple[np.ndarray, str, str]]:
+        """ids, and SHA-256 of the ids as text and of their decoded text, of each text.
+
+        Texts are encoded in parts of about PART characters that end at breaks, so that what is held at once besides the
+        ids doesn't grow with a text; only a stretch without breaks is never cut.
+        """
+        out: list[tuple[np.ndarray, str, str]] = []
+        run: list[str] = []
+        size = 0
+
+        def flush() -> None:
+            nonlocal size
+            out.extend(self.digests([ids]) for ids in self.encode(run))
+            run.clear()
+            size = 0
+
+        for t in texts:
+            if len(t) > 2 * PART:
+                flush()
+                out.append(self.digests(self.encode([p])[0] for p in parts(t)))
+                continue
+            run.append(t)
+            size += len(t)
+            if size >= PART:
+                flush()
+        flush()
+        return out
+
+    def digests(self, pieces: Iterable[np.ndarray]) -> tuple[np.ndarray, str, str]:
+        """The pieces' ids as one array, and the two digests."""
+        got, line, text = [], hashlib.sha256(), hashlib.sha256()
+        for ids in pieces:
+            if not len(ids):
+                continue
+            if got:
+                line.update(b" ")
+                text.update(b" ")
+            got.append(ids)
+            listed = ids.tolist()
+            line.update(" ".join(map(str, listed)).encode())
+            text.update(self.tokenizer.decode(listed, skip_special_tokens=False).encode())
+        return np.concatenate(got) if got else np.empty(0, np.int32), line.hexdigest(), text.hexdigest()
+
+
+def parts(text: str) -> Iterator[str]:
+    """The text in parts of PART characters or more, each up to a break; the breaks between parts are left out."""
+    at = 0
+    while at < len(text):
+        m = _BREAK.search(text, at + PART)
+        end = m.start() if m else len(text)
+        yield text[at:end]
+        at = end + 1
 
 
 _CODERS: dict[str, Coder] = {}
@@ -214,20 +271,6 @@ def coder(path: str) -> Coder:
     return _CODERS[path]
 
 
-def in_batches(texts: list[str], most: int = 1 << 22) -> Iterator[list[str]]:
-    """Runs of texts of about most characters, at least one text each."""
-    run: list[str] = []
-    size = 0
-    for t in texts:
-        run.append(t)
-        size += len(t)
-        if size >= most:
-            yield run
-            run, size = [], 0
-    if run:
-        yield run
-
-
 def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row's whole text, and ids (array<int>) if keep_ids.
 
@@ -241,15 +284,19 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(tokenizer_path)
-        gc.disable()  # the memories are many small objects without cycles; walking them takes a third of the time
         for b in batches:
-            ids, texts, at = b.column(0).to_pylist(), b.column(1).to_pylist(), 0
-            for part in in_batches([t or "" for t in texts]):
-                rows = []
-                for n, line, tokens in c.encode(part):
-                    rows.append((ids[at], n, hashlib.sha256(line.encode()).hexdigest(), hashlib.sha256(tokens.encode()).hexdigest(), *([list(map(int, line.split()))] if keep_ids else [])))
-                    at += 1
-                yield pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
+            at = 0
+            while at < b.num_rows:  # a part of the batch at a time, so that few texts are held as Python objects
+                n, size = 0, 0
+                while at + n < b.num_rows and size < PART:
+                    size += len(b.column(1)[at + n].as_buffer() or b"") if b.column(1)[at + n].is_valid else 0
+                    n += 1
+                part = b.slice(at, n)
+                at += n
+                ids, lines, texts = zip(*c.rows([t or "" for t in part.column(1).to_pylist()]))
+                edges = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
+                flat = [pa.ListArray.from_arrays(edges, pa.array(np.concatenate(ids), pa.int32()))] * keep_ids
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(i) for i in ids], pa.int64()), pa.array(lines), pa.array(texts), *flat], schema=schema)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)

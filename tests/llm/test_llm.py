@@ -6,6 +6,7 @@ import io
 import math
 import random
 import re
+import sys
 
 import numpy as np
 import pytest
@@ -582,12 +583,36 @@ def test_chunks_are_shared_wherever_they_stand():
 
 
 def test_memories_stay_small(monkeypatch):
-    monkeypatch.setattr(bpe, "PIECES", 50)
-    monkeypatch.setattr(bpe, "CHUNKS", 5)
+    want = bpe.Coder(path()).rows([t or "" for t in bpe_texts()])
+    monkeypatch.setattr(bpe, "PIECE_BYTES", 1 << 15)
+    monkeypatch.setattr(bpe, "CHUNK_BYTES", 1 << 14)
     c = bpe.Coder(path())
-    want = bpe.Coder(path()).encode([t or "" for t in bpe_texts()])
-    got = [x for t in bpe_texts() for x in c.encode([t or ""])]
-    assert got == want and len(c.chunks.old) < 400
+    got = [x for t in bpe_texts() for x in c.rows([t or ""])]
+    assert [(a.tolist(), *b) for a, *b in got] == [(a.tolist(), *b) for a, *b in want]
+    for m in (c.pieces, c.chunks):
+        for kept in (m.new, m.old):
+            taken = sum(sys.getsizeof(k) + (sys.getsizeof(v) if isinstance(v, bytes) else sys.getsizeof(v) + sum(map(sys.getsizeof, v))) for k, v in kept.items())
+            assert taken + sys.getsizeof(kept) <= 1.2 * m.most
+
+
+def test_long_texts_are_encoded_in_parts():
+    r = random.Random(3)
+    texts = ["\n".join(words(40, r, 10**6) + "." for _ in range(2500)), "x" * 600_000, " " * 700_000 + "end", "\n \n", ""]
+    c = bpe.Coder(path())
+    for t, (ids, line, text) in zip(texts, c.rows(texts)):
+        want = c.tokenizer.encode(t, add_special_tokens=False).ids
+        assert ids.tolist() == want and line == hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest()
+        assert text == hashlib.sha256(c.tokenizer.decode(want, skip_special_tokens=False).encode()).hexdigest()
+    assert all(len(p) < 2 * bpe.PART for p in bpe.parts(texts[0])) and "".join(bpe.parts(texts[0])).replace("\n", "").replace(" ", "") == texts[0].replace("\n", "").replace(" ", "")
+
+
+def test_joins_that_disagree_are_widened(monkeypatch):
+    c = bpe.Coder(path())
+    t = words(400)
+    want = c.tokenizer.encode(t, add_special_tokens=False).ids
+    look_up = c.look_up
+    monkeypatch.setattr(c, "look_up", lambda wanted: {p: ids + b"\0\0\0\0" * (b" " in p) for p, ids in look_up(wanted).items()})
+    assert c.encode([t])[0].tolist() == want and c.widened == 1
 
 
 # pipeline ------------------------------------------------------------------------------------
