@@ -9,14 +9,19 @@
    signatures may reach the threshold form a cluster (again by union-find; only a spanning forest
    of each group of signatures leaves its task). All pairs of classes across the components of a
    cluster are then compared on full sets, and the new links, a spanning forest too, merged.
-   Buckets and clusters are cut into blocks, each two of which meet in a group of bounded size.
-Every pair that shares a bucket thus ends in one component or is compared on full sets. With BANDS bands of ROWS
-slots a pair at similarity 0.8 shares none with probability (1 - 0.8**4)**26, about 1 in 900,000.
+   Buckets and clusters are cut into blocks, each two of which meet in a group of bounded size; the
+   blocks of a group's largest component don't meet each other, so what moves grows with that
+   component times the rest.
+Every pair that shares a bucket and agrees in LEAST_SLOTS of the SLOTS slots thus ends in one component or is compared
+on full sets. With BANDS bands of ROWS slots a pair at similarity 0.8 shares none with probability (1 - 0.8**4)**26,
+about 1 in 900,000; it agrees in fewer than LEAST_SLOTS slots with one of about 1 in 10,000,000 (five to six standard
+deviations, 0.031 each). Together: about 1 in 800,000, and less above 0.8. A test counts misses on pairs at 0.8.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections import OrderedDict
 from collections.abc import Iterator
 
@@ -25,15 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import kept, prepare
+from helixframe.llm.common import dropped, kept, prepare, scratch, with_maybe
 
 SLOTS, BANDS, ROWS = 128, 26, 4
 #: Signatures that agree in fewer slots aren't verified: five standard deviations below what 0.8 gives.
 LEAST_SLOTS = 80
 #: Classes of a block where signatures meet, and where texts meet; shingles that the texts of a block may have in all.
 SIGNATURES, TEXTS, TEXT_SHINGLES = 512, 128, 200_000
-#: Bits of the filter of doc_ids that spares most texts a shuffle: its size is fixed, and once full it only spares nothing.
-FILTER_BITS = 1 << 23
+#: Rows of a class are dealt over so many keys where they learn their component.
+SALTS = 64
 #: Words hashed at once; what a task holds of one text beyond the text itself is bounded by it and the set.
 WORDS_AT_ONCE = 100_000
 
@@ -140,23 +145,15 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id, text of the documents in ids (doc_id), as a table.
-
-    A bitmap of hashed ids, FILTER_BITS in all, is broadcast and tested as texts are read; those that pass are joined.
-    """
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    maps = ids.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
-    rows = docs.withColumn("p", place).withColumn("part", F.bitmap_bucket_number("p")).withColumn("bit", F.bitmap_bit_position("p"))
-    byte = F.conv(F.hex(F.substring("bits", (F.floor(F.col("bit") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    hit = F.expr("shiftright(byte, cast(bit % 8 as int)) & 1") == 1
-    rows = rows.join(F.broadcast(maps), "part").withColumn("byte", byte).filter(hit).select("doc_id", "text")
-    return kept(rows.join(ids, "doc_id", "left_semi"), "dedup-texts")
+def texts_of(docs: DataFrame, ids: DataFrame, under: str) -> DataFrame:
+    """doc_id, text of the documents in ids (doc_id), as a table; few other texts are shuffled."""
+    ids = kept(ids, "ids", under)
+    return kept(with_maybe(docs, ids).filter("maybe").select("doc_id", "text").join(ids, "doc_id", "left_semi"), "texts", under)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, under: str) -> DataFrame:
     """The pairs (a, b) whose whole texts' sets are alike; docs: doc_id, text."""
-    texts = texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    texts = texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), under)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory: OrderedDict[tuple[int, str], np.ndarray] = OrderedDict()
@@ -175,21 +172,23 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
 
     side = lambda c, t: texts.select(F.col("doc_id").alias(c), F.col("text").alias(t))
     both = pairs.join(side("b", "text_b"), "b").join(side("a", "text_a"), "a").select("a", "b", "text_a", "text_b")
-    return kept(both.mapInArrow(run, "a long, b long"), "dedup-links")
+    return kept(both.mapInArrow(run, "a long, b long"), "links", under)
 
 
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node, component (the smallest node it reaches) of every node of links (a, b).
+def components(links: DataFrame, under: str) -> DataFrame:
+    """node, component (the smallest node it reaches) of every node of links (a, b), as a table.
 
     Union-find on tables: alternately every node hands its larger neighbours, then its smaller
     ones, to the smallest of all, until nothing moves. Each round is written, and takes two passes
-    over as many links as there were at most.
+    over as many links as there were at most; the round before is deleted then.
     """
-    edges = kept(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "dedup-edges")
-    state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    spark, at = links.sparkSession, f"{under}/rounds-{uuid.uuid4().hex}"
+    measure = lambda x: x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    edges = kept(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "edges", f"{at}/0")
+    state, turn = measure(edges), 0
     while state[0]:
         two = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = two.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
@@ -197,11 +196,15 @@ def components(links: DataFrame) -> DataFrame:
         large = large.filter("u > v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        edges = kept(small.filter("u > v").distinct(), "dedup-edges")
-        state, before = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first(), state
+        edges = kept(small.filter("u > v").distinct(), "edges", f"{at}/{turn + 1}")
+        dropped(spark, f"{at}/{turn}")
+        turn, (state, before) = turn + 1, (measure(edges), state)
         if state == before:
             break
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    ends = edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = kept(ends, "components", under)
+    dropped(spark, at)
+    return out
 
 
 def star_pairs(buckets: DataFrame) -> DataFrame:
@@ -215,7 +218,7 @@ def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, None, :] == b[None, :, :]).sum(2, dtype=np.int16)
 
 
-def promising(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def promising(pairs: DataFrame, classes: DataFrame, percent: int, under: str) -> DataFrame:
     """The pairs whose sizes allow the threshold and whose signatures agree in LEAST_SLOTS slots."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -225,7 +228,7 @@ def promising(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
     side = lambda c: classes.select(F.col("rep").alias(c), F.col("slots").alias(f"s{c}"), F.col("n_shingles").alias(f"n{c}"))
     rows = pairs.join(side("b"), "b").join(side("a"), "a").filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    return kept(rows.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct(), "dedup-pairs")
+    return kept(rows.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct(), "pairs", under)
 
 
 class Forest:
@@ -248,11 +251,22 @@ class Forest:
             self.made.append((min(link), max(link)))
 
 
-def in_blocks(rows: DataFrame, group: str, blocks: DataFrame) -> DataFrame:
-    """rows (group, rep, ...) once for each pair of blocks i <= j of their group that they belong to, dealt out and sorted by (group, i, j)."""
-    rows = rows.join(blocks, group).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "blocks")
+def in_blocks(rows: DataFrame, group: str, most: int, most_shingles: int | None = None) -> DataFrame:
+    """rows (group, rep, component, n_shingles, ...) of groups with several components, once for each pair of blocks i <= j
+    of their group that they belong to, dealt out and sorted by (group, i, j).
+
+    A block has about most rows and most_shingles shingles. The largest component's blocks come last and meet only the
+    others: its rows need no links among themselves.
+    """
+    sizes = rows.groupBy(group, "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    sizes = sizes.groupBy(group).agg(F.max(F.struct("n", "s", "component")).alias("main"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.count("*").alias("parts")).filter("parts > 1")
+    count = lambda n, s: F.greatest(F.ceil(n / most), F.ceil(s / most_shingles) if most_shingles else F.lit(1)).cast("int")
+    blocks = sizes.select(group, F.col("main.component").alias("main"), count(F.col("main.n"), F.col("main.s")).alias("large"), count(F.col("n") - F.col("main.n"), F.col("s") - F.col("main.s")).alias("rest"))
+    rows = rows.join(blocks, group).withColumn("inside", F.col("component") == F.col("main"))
+    place = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    rows = rows.withColumn("own", F.when(F.col("inside"), F.col("rest") + place("large")).otherwise(place("rest")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("inside"), F.col("rest")).otherwise(F.col("rest") + F.col("large")) - 1)))
+    rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "main", "large", "rest", "inside")
     return rows.repartition(group, "i", "j").sortWithinPartitions(group, "i", "j")
 
 
@@ -291,14 +305,14 @@ def may_link(one: list[tuple], two: list[tuple], percent: int) -> np.ndarray:
     return fits & (same >= LEAST_SLOTS)
 
 
-def clusters(buckets: DataFrame, classes: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+def clusters(buckets: DataFrame, classes: DataFrame, found: DataFrame, percent: int, under: str) -> DataFrame:
     """cluster, rep, component, n_shingles, slots of the classes in clusters of several components."""
     one = classes.select("rep", "n_shingles", "slots").join(found, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("component"), "n_shingles", "slots")
-    one = kept(one, "dedup-members")
+    one = kept(one, "members", under)
     rows = buckets.join(one.select("rep", "component"), "rep")
-    open_ = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
-    rows = rows.join(open_.select("key"), "key", "left_semi").join(one.select("rep", "n_shingles", "slots"), "rep")
-    rows = in_blocks(rows, "key", open_.select("key", F.ceil(F.col("n") / SIGNATURES).cast("int").alias("blocks")))
+    open_ = kept(rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key"), "open", under)
+    rows = kept(buckets.join(open_, "key", "left_semi").join(one, "rep"), "meeting", under)
+    rows = in_blocks(rows, "key", SIGNATURES)
 
     def links(g: list[tuple]) -> list[tuple[int, int]]:
         one, two = sides(g)
@@ -311,7 +325,7 @@ def clusters(buckets: DataFrame, classes: DataFrame, found: DataFrame, percent:
 
     cols = rows.select("key", "i", "j", "own", "rep", "component", "n_shingles", "slots")
     touching = cols.mapInArrow(lambda batches: by_group(batches, 3, links), "a long, b long").distinct()
-    joined = components(touching).select("node", F.col("component").alias("cluster"))
+    joined = components(touching, under).select("node", F.col("component").alias("cluster"))
     return one.join(joined, F.col("component") == F.col("node")).select("cluster", "rep", "component", "n_shingles", "slots")
 
 
@@ -336,13 +350,11 @@ def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def cross_links(members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def cross_links(members: DataFrame, docs: DataFrame, k: int, percent: int, under: str) -> DataFrame:
     """Links between components of one cluster, on full sets of whole texts: of each group a spanning forest."""
-    members = kept(members, "dedup-clusters")
-    sizes = members.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
-    blocks = sizes.select("cluster", F.greatest(F.ceil(F.col("n") / TEXTS), F.ceil(F.col("s") / TEXT_SHINGLES)).cast("int").alias("blocks"))
-    texts = texts_of(docs, members.select(F.col("rep").alias("doc_id")).distinct())
-    rows = in_blocks(members.join(texts, F.col("rep") == F.col("doc_id")).drop("doc_id"), "cluster", blocks)
+    members = kept(members, "clusters", under)
+    texts = texts_of(docs, members.select(F.col("rep").alias("doc_id")).distinct(), under)
+    rows = in_blocks(members.join(texts, F.col("rep") == F.col("doc_id")).drop("doc_id"), "cluster", TEXTS, TEXT_SHINGLES)
 
     def links(g: list[tuple]) -> list[tuple[int, int]]:
         one, two = sides(g)
@@ -360,7 +372,7 @@ def cross_links(members: DataFrame, docs: DataFrame, k: int, percent: int) -> Da
         return f.made
 
     cols = rows.select("cluster", "i", "j", "own", "rep", "component", "n_shingles", "slots", "text")
-    return kept(cols.mapInArrow(lambda batches: by_group(batches, 3, links), "a long, b long"), "dedup-links")
+    return kept(cols.mapInArrow(lambda batches: by_group(batches, 3, links), "a long, b long"), "more", under)
 
 
 def groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -371,24 +383,28 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id
     texts; all of them are kept if it is. kept: doc_id is the smallest of its component. Other
     columns are left out.
     """
-    prepare(docs.sparkSession)
+    spark = docs.sparkSession
+    prepare(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = kept(signed(docs, k), "dedup-signed")
-    full = rows.filter("doc_id IS NOT NULL AND n_shingles > 0")
-    reps = full.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    classes = kept(full.join(reps, (full["set_key"] == reps["set_key"]) & (full["doc_id"] == reps["rep"]), "left_semi").select(F.col("doc_id").alias("rep"), "set_key", "n_shingles", "slots", "bands").dropDuplicates(["set_key"]), "dedup-classes")
-    buckets = classes.select("rep", F.explode("bands").alias("key"))
-    tried = promising(star_pairs(buckets), classes, percent)
-    links = verified(tried, docs, k, percent)
-    found = kept(components(links), "dedup-components")
-    more = cross_links(clusters(buckets, classes, found, percent), docs, k, percent)
-    if more.limit(1).count():
-        found = components(links.unionByName(more))
-    by_set = classes.select("set_key", "rep").join(found, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
-    out = rows.select("doc_id", "n_shingles", "set_key").join(by_set, "set_key", "left")
-    own = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
-    out = out.select("doc_id", "n_shingles", F.when(own, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    with scratch(spark, "dedup") as under:
+        rows = kept(signed(docs, k), "signed", under)
+        links_some = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+        full = rows.filter(links_some)
+        first = full.groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "slots", "bands")).alias("r"))
+        classes = kept(first.select(F.col("r.doc_id").alias("rep"), "set_key", "r.n_shingles", "r.slots", "r.bands"), "classes", under)
+        buckets = classes.select("rep", F.explode("bands").alias("key"))
+        tried = promising(star_pairs(buckets), classes, percent, under)
+        links = verified(tried, docs, k, percent, under)
+        found = components(links, under)
+        more = cross_links(clusters(buckets, classes, found, percent, under), docs, k, percent, under)
+        if more.limit(1).count():
+            found = components(links.unionByName(more), under)
+        by_set = classes.select("set_key", "rep").join(found, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
+        full = full.select("doc_id", "n_shingles", "set_key", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+        places = full.select("set_key", "salt").distinct().join(by_set, "set_key")  # SALTS rows of a set at most, so no set fills a task
+        joined = full.join(places, ["set_key", "salt"]).select("doc_id", "n_shingles", "component_id")
+        alone = rows.filter(~links_some).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+        return kept(joined.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "dedup-groups")
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
