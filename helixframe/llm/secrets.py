@@ -5,6 +5,9 @@ contain: a disjunction of conjunctions. Postings (trigram, doc_id) are built for
 rules ask for; intersecting them per document gives each rule's candidates, and only those are
 scanned with the rule's expression. Rules without mandatory trigrams scan every text.
 
+Only postings, candidates and the texts that may be candidates (told by a bitmap of their ids, tested where
+texts are read) are shuffled; all other texts are scanned where they are read.
+
 A posting list of a frequent trigram is never gathered: postings are intersected by document, with
 the bits of a conjunction's trigrams joined by OR, which Spark does in part before the shuffle.
 """
@@ -13,11 +16,14 @@ from __future__ import annotations
 
 import re._constants as ops
 import re._parser as parser
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.llm.common import kept, with_maybe
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -38,7 +44,7 @@ _NAMES = "|".join([*map(either_case, ("password", "passwd", "secret", "token")),
 # in text without line ends single words) and key lines as far as they go. Key lines are runs of 20 or more base64
 # characters, shorter ones that no word looks like, and whole lines; they may be quoted or indented, their ends written as
 # backslash and n. Loops over groups are possessive: Java runs them without recursion, and no length is bounded.
-_TO_END = r"[^-]*+(?:-(?!----(?:BEGIN|END)\x20)[^-]*+)*+-----END [A-Z ]{0,40}PRIVATE KEY-----"
+_TO_END = r"[^-]*+(?:-(?!----(?:BEGIN|END)\x20)[^-]*+)*+-----END [A-Z ]*PRIVATE KEY-----"
 _SKIP, _PAD, _EOL = r"""(?:[\x20\t\r\n"'`,;>#*|]|\\++[nrt])*+""", r"""[\x20\t"'`,;>#*|+]*+""", r"(?:\r?\n|\r|\\++n)"
 _PIECE = r"""(?:[A-Za-z0-9+/=]{20,}+|(?=[A-Za-z/]*+[0-9+=]|[A-Z]*+[a-z]++[A-Z/])[A-Za-z0-9+/=]++(?![^\x20\t\r\n"'`,;\\]))"""
 _LINES = rf"(?:{_SKIP}{_PIECE}|{_PAD}{_EOL}{_PAD}[A-Za-z0-9+/=]++(?={_PAD}(?:{_EOL}|(?![\s\S]))))++"
@@ -52,7 +58,7 @@ BASE = (
 )
 # Further kinds.
 MORE = (
-    Rule("private", rf"-----BEGIN [A-Z ]{{0,40}}PRIVATE KEY-----{_AFTER_BEGIN}"),
+    Rule("private", rf"-----BEGIN [A-Z ]*PRIVATE KEY-----{_AFTER_BEGIN}"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
@@ -63,6 +69,8 @@ MORE = (
 )
 RULES = BASE + MORE
 
+#: Trigrams that a conjunction keeps: any of the mandatory ones are mandatory, and a text is searched for each.
+TERMS = 3
 #: A class or alternation that stands for more strings than this ends a literal run.
 MOST_STRINGS = 64
 
@@ -143,6 +151,12 @@ def trigram_query(pattern: str) -> list[list[str]]:
     return sorted(sorted(x) for x in _query(parser.parse(pattern)))
 
 
+def shortened(queries: dict[str, list[list[str]]]) -> dict[str, list[list[str]]]:
+    """The queries with TERMS trigrams a conjunction, those that most conjunctions have, so that few are asked for in all."""
+    often = Counter(g for q in queries.values() for part in q for g in part)
+    return {k: [sorted(sorted(part, key=lambda g: (-often[g], g))[:TERMS]) for part in q] for k, q in queries.items()}
+
+
 def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
     """trigram, doc_id of each text (doc_id, text) that contains a trigram; texts and trigrams in lower case."""
     low = docs.select("doc_id", F.lower("text").alias("low"))
@@ -152,11 +166,11 @@ def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
 def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame | None:
     """doc_id, kinds: the rules with mandatory trigrams whose query holds for the document; None if there are no such rules."""
     terms, full = [], {}
-    for r in rules:
-        for k, part in enumerate(q := trigram_query(r.pattern)):
+    for kind, q in shortened({r.kind: trigram_query(r.pattern) for r in rules}).items():
+        for k, part in enumerate(q):
             if q != [[]]:
-                full[f"{r.kind}/{k}"] = (1 << len(part)) - 1
-                terms += [(g, r.kind, f"{r.kind}/{k}", 1 << i) for i, g in enumerate(part)]
+                full[f"{kind}/{k}"] = (1 << len(part)) - 1
+                terms += [(g, kind, f"{kind}/{k}", 1 << i) for i, g in enumerate(part)]
     if not terms:
         return None
     spark = docs.sparkSession
@@ -212,16 +226,17 @@ def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
     text nor in keep are left out.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *(F.col(c).alias(f"__keep{i}") for i, c in enumerate(keep)))
-    found = candidates(rows.select("doc_id", "text"), rules)
-    if found is not None:
-        rows = rows.alias("d").join(found.hint("shuffle_hash").alias("c"), F.expr("d.doc_id <=> c.doc_id"), "left").select("d.*", "kinds")
-    parts = []
-    for i, r in enumerate(rules):
-        spans = spans_of(F.col("text"), r, i)
-        scan_all = trigram_query(r.pattern) == [[]]
-        parts.append(spans if scan_all else F.when(F.array_contains("kinds", r.kind), spans))
     empty = F.array().cast("array<struct<start:long,kind_no:int,end:long>>")
-    return rows.select("doc_id", "text", *(F.col(f"__keep{i}").alias(c) for i, c in enumerate(keep)), F.array_sort(F.concat(*[F.coalesce(p, empty) for p in parts])).alias("spans"))
+    every = [spans_of(F.col("text"), r, i) for i, r in enumerate(rules) if trigram_query(r.pattern) == [[]]]
+    asked = [F.when(F.array_contains("__kinds", r.kind), spans_of(F.col("text"), r, i)) for i, r in enumerate(rules) if trigram_query(r.pattern) != [[]]]
+    out = lambda x, parts: x.select("doc_id", "text", *(F.col(f"__keep{i}").alias(c) for i, c in enumerate(keep)), F.array_sort(F.concat(empty, *[F.coalesce(p, empty) for p in parts])).alias("spans"))
+    found = candidates(rows.select("doc_id", "text"), rules)
+    if found is None:
+        return out(rows, every)
+    found = kept(found.withColumnRenamed("kinds", "__kinds"), "secrets-candidates")
+    rows = with_maybe(rows, found)
+    some = rows.filter("maybe").alias("d").join(found.hint("shuffle_hash").alias("c"), F.expr("d.doc_id <=> c.doc_id"), "left").select("d.*", "__kinds")
+    return out(some, every + asked).unionByName(out(rows.filter("NOT maybe"), every))
 
 
 def joined(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
