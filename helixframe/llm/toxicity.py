@@ -4,9 +4,9 @@ P(grade <= k) = sigmoid(threshold_k - weights . x): one weight per feature for a
 are kept in order. The answer is the expected grade; a document is toxic if P(grade >= 1) is a half
 or more. Features are a text's words and the first letters of its words, present or not.
 
-The labels tell toxic or not. Grades above 1 come from the labelled texts themselves: a toxic
-document has grade 1, 2 or 3 by how many marker words it holds (words seen in toxic texts only),
-cut at MARKERS.
+The labels tell toxic or not. Grades above 1 come from held-out evidence: the labelled rows are dealt
+over two folds by a hash, a plain two-grade model of each fold weighs the other fold's texts, and toxic
+texts get grades 1, 2 and 3 by thirds of that weight. The ordinal model is then fitted on all of them.
 
 The model is fitted on at most SAMPLE labelled rows of each label, chosen by a hash of doc_id; all
 that the driver holds is bounded by SAMPLE and FEATURES. Scoring reads whole texts of all documents.
@@ -25,14 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
 
-from helixframe.llm.common import prepare
+from helixframe.llm.common import kept, prepare, scratch
 
 #: Most labelled rows of each label, most features, fewest toxic texts of a feature, least lower bound of its odds.
 SAMPLE, FEATURES, LEAST_TEXTS = 6000, 3000, 3
 PREFIXES = (4, 5)
-#: A toxic document with at least so many marker words has grade 2, 3.
-MARKERS = (3, 6)
-GRADES = 1 + len(MARKERS) + 1
+#: Clean, and toxic by thirds of the held-out evidence.
+GRADES = 4
 SEED = 5
 RIDGE, STEPS, RATE = 2e-4, 400, 0.1
 Z = 1.64
@@ -70,14 +69,14 @@ class Model:
         return float(p @ np.arange(len(p))), float(1 - below[0]), int(p.argmax()), bool(1 - below[0] >= 0.5)
 
 
-def fit(rows: list[list[int]], grades: np.ndarray, weights: np.ndarray, n_features: int) -> tuple[np.ndarray, np.ndarray]:
+def fit(rows: list[list[int]], grades: np.ndarray, weights: np.ndarray, n_features: int, levels: int = GRADES) -> tuple[np.ndarray, np.ndarray]:
     """Feature weights and thresholds of the least ridge-penalised negative log-likelihood, by Adam from fixed starts.
 
-    rows: indices of each document's features; weights: how much each document counts.
+    rows: indices of each document's features; weights: how much each document counts; levels: number of grades.
     """
     doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     col = np.array([i for r in rows for i in r], np.int64)
-    k = GRADES - 1
+    k = levels - 1
     w, first, gaps = np.zeros(n_features), np.zeros(1), np.zeros(k - 1)
     share = weights / weights.sum()
     m = v = 0.0
@@ -103,7 +102,7 @@ def fit(rows: list[list[int]], grades: np.ndarray, weights: np.ndarray, n_featur
 
 
 def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
-    """text, toxic of at most most documents of each label, chosen by a hash of doc_id.
+    """text, toxic, fold of at most most documents of each label, chosen by a hash of doc_id; fold is 0 or 1 by another.
 
     Labels that are null or neither 0 nor 1 aren't used; of a document's repeated labels the larger
     counts; documents with the same id each take part, up to 4 * most rows in all.
@@ -113,13 +112,33 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     chosen = [one.filter(F.col("toxic") == y).withColumn("o", order).orderBy("o", "doc_id").limit(most).drop("o") for y in (0, 1)]
     ids = F.broadcast(chosen[0].unionByName(chosen[1]))  # 2 * most rows at most
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, "doc_id")
-    return rows.select("text", "toxic")
+    return rows.select("text", "toxic", F.pmod(F.xxhash64(F.lit(SEED + 1), F.col("doc_id")), F.lit(2)).cast("int").alias("fold"))
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     """A model from labelled documents; without any toxic or any clean one it finds nothing toxic."""
     prepare(docs.sparkSession)
-    chosen = sample(docs, labels, most)
+    with scratch(docs.sparkSession, "toxicity") as under:
+        return fitted(kept(sample(docs, labels, most), "sample", under), most)
+
+
+def graded(rows: list[list[int]], toxic: np.ndarray, fold: np.ndarray, n_features: int) -> np.ndarray:
+    """Grades of labelled rows: 0 for clean ones, toxic ones by thirds of the other fold's evidence (all 1 if a fold lacks a label)."""
+    evidence = np.zeros(len(rows))
+    for f in (0, 1):
+        part = [r for r, g in zip(rows, fold) if g != f]
+        y = toxic[fold != f]
+        if not 0 < y.sum() < len(y):
+            return toxic.astype(int)
+        w, t = fit(part, y, np.ones(len(part)), n_features, 2)
+        for i in np.flatnonzero(fold == f):
+            evidence[i] = w[rows[i]].sum() - t[0]
+    cuts = np.quantile(evidence[toxic == 1], [i / (GRADES - 1) for i in range(1, GRADES - 1)])
+    return np.where(toxic == 1, 1 + np.searchsorted(cuts, evidence, side="left"), 0)
+
+
+def fitted(chosen: DataFrame, most: int) -> Model:
+    """train() of sample()'s rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bad, all_, texts = Counter(), Counter(), [0, 0]
@@ -144,20 +163,14 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     picked = good.orderBy(F.desc("bound"), F.desc("n"), "feature").limit(FEATURES).collect()  # FEATURES rows at most
     names = [r["feature"] for r in picked]
     index = {f: i for i, f in enumerate(names)}
-    markers = {r["feature"] for r in picked if r["bad"] == r["n"] and not r["feature"].startswith("^")}
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            xs, marks = [], []
-            for t in b.column(0).to_pylist():
-                words = words_of(t)
-                xs.append(sorted(index[f] for f in features_of(words) & index.keys()))
-                marks.append(len(words & markers))
-            yield pa.RecordBatch.from_arrays([pa.array(xs, pa.list_(pa.int32())), pa.array(marks, pa.int32()), b.column(1)], names=["x", "marks", "toxic"])
-
-    rows = chosen.mapInArrow(sparse, "x array<int>, marks int, toxic int").orderBy("toxic", "marks", "x").limit(4 * most).toPandas()
-    toxic = rows.toxic.to_numpy()
-    grades = np.where(toxic == 1, 1 + sum((rows.marks.to_numpy() >= m).astype(int) for m in MARKERS), 0)
+            xs = [sorted(index[f] for f in features_of(words_of(t)) & index.keys()) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(xs, pa.list_(pa.int32())), b.column(1), b.column(2)], names=["x", "toxic", "fold"])
+
+    rows = chosen.mapInArrow(sparse, "x array<int>, toxic int, fold int").orderBy("toxic", "fold", "x").limit(4 * most).toPandas()
+    grades = graded([list(x) for x in rows.x], rows.toxic.to_numpy(), rows.fold.to_numpy(), len(names))
     w, thresholds = fit([list(x) for x in rows.x], grades, np.ones(len(rows)), len(names))
     return Model({f: float(round(x, 9)) for f, x in zip(names, w)}, tuple(float(round(t, 9)) for t in thresholds))
 
