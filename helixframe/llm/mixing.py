@@ -18,23 +18,26 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of sources in code-point order, repeating (fixed values of the contract).
 WEIGHTS = (3.0, 1.0, 2.0)
 TOTAL_SHARE, MAX_EPOCHS = 1.5, 2.0
-#: Bands of keys per source; a band is what one task orders.
-BANDS = 1024
+#: Fewest bands of keys per source, and rows of all documents a band; a band of a source is what one task orders.
+BANDS, BAND_ROWS = 1024, 1 << 20
 SEED = 17
 #: Quality weights by label; documents without a label have the middle one.
 QUALITY = {1: 1.0, 0: 0.25}
 UNKNOWN = 0.5
 
 
-def keyed(docs: DataFrame, weight, seed: int = SEED) -> DataFrame:
+def keyed(docs: DataFrame, weight, seed: int = SEED, bands: int = BANDS) -> DataFrame:
     """docs (doc_id, source, size) with key, an exponential draw over the weight, and band, increasing with key.
 
+    band: of the mean of the keys' distribution functions at the weights in use, so that no weight's rows crowd into one.
     The draw is a function of seed and doc_id alone. Weights that are null or not above 0 count as
     the smallest that is used, so no document is left out.
     """
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id")), 11).cast("double") + 0.5) / float(1 << 53)
     w = F.greatest(F.coalesce(weight, F.lit(UNKNOWN)), F.lit(1e-3))
-    return docs.withColumn("key", -F.log(u) / w).withColumn("band", F.least(F.floor((1 - F.exp(-F.col("key") * UNKNOWN)) * BANDS), F.lit(BANDS - 1)).cast("int"))
+    rates = sorted({*QUALITY.values(), UNKNOWN})
+    share = sum((1 - F.exp(-F.col("key") * r) for r in rates), F.lit(0.0)) / len(rates)
+    return docs.withColumn("key", -F.log(u) / w).withColumn("band", F.least(F.floor(share * bands), F.lit(bands - 1)).cast("int"))
 
 
 def targets(sizes: DataFrame, total_share: float = TOTAL_SHARE, max_epochs: float = MAX_EPOCHS, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
@@ -74,7 +77,8 @@ def mix(docs: DataFrame, cut_last: bool = True, total_share: float = TOTAL_SHARE
     rows share a key and stand next to each other. Size 0: never taken beyond whole epochs, takes
     no words. No rows: none.
     """
-    rows = kept(keyed(docs, F.col("weight"), seed).drop("weight"), "mix-keys")
+    bands = max(BANDS, docs.count() // BAND_ROWS)
+    rows = kept(keyed(docs, F.col("weight"), seed, bands).drop("weight"), "mix-keys")
     bands = rows.groupBy("source", "band").agg(F.sum("size").alias("band_size"))
     goals = targets(bands.groupBy("source").agg(F.sum("band_size").alias("source_size")), total_share, max_epochs)
     before = Window.partitionBy("source").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
