@@ -8,6 +8,8 @@ equal texts; where roots differ, comparing children from the top down locates th
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,9 +18,10 @@ PHRASE = 48
 SHORT = 12
 PHRASES = rf"[^.!?]{{1,{PHRASE}}}[.!?]*|[.!?]+"
 
-#: Ranges of doc_id: a task orders the rows of one range at a time. Their bounds are the only thing the driver sees.
-MOST_RANGES, RANGE_ROWS = 4096, 64
-FAN = 64
+#: Coarse ranges of doc_id, whose bounds are all that the driver sees, and rows of a fine one, which a task orders at a time.
+COARSE, RANGE_ROWS = 1024, 1024
+#: Fine ranges' first rows are looked up by a broadcast of 16 bytes each up to so many, by a join beyond.
+MOST_HEADS = 500_000
 
 
 def leaves(text: Column) -> Column:
@@ -46,16 +49,22 @@ def fingerprint(text: Column, tree: Column) -> Column:
     return F.concat(root_hash(text, tree), F.lit(":"), F.array_join(F.transform(tree, lambda s: F.array_join(F.transform(s, lambda p: F.array_join(p, " ")), "/")), "|"))
 
 
-def phrases_of(print_: Column) -> Column:
-    """The phrases' hashes in a fingerprint, each once."""
-    return F.array_distinct(F.regexp_extract_all(F.substring_index(print_, ":", -1), F.lit(rf"[0-9a-f]{{{SHORT}}}"), F.lit(0)))
+def phrases_of(branches: Column) -> Column:
+    """The phrases' hashes in some branches of fingerprints, each once."""
+    return F.array_distinct(F.filter(F.flatten(F.transform(branches, lambda x: F.split(x, " ", -1))), lambda x: x != ""))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Of two fingerprints: 1 if the roots are equal, else the phrases in both over those of the larger set, below 1."""
-    x, y = phrases_of(a), phrases_of(b)
-    most = F.greatest(F.size(x), F.size(y), F.lit(1))
-    share = F.size(F.array_intersect(x, y)).cast("double") / most
+    """Of two fingerprints: 1 if the roots are equal, else what they share of the larger one's phrases, below 1.
+
+    Trees are compared from above: a paragraph that both have counts with all its phrases; phrases are compared only
+    between the paragraphs that differ, each once.
+    """
+    part = lambda f: F.array_distinct(F.split(F.substring_index(f, ":", -1), r"[/|]", -1))
+    numbers = F.struct(part(a).alias("a"), part(b).alias("b"))
+    numbers = F.transform(F.array(numbers), lambda t: F.struct(F.array_intersect(t["a"], t["b"]).alias("both"), phrases_of(F.array_except(t["a"], t["b"])).alias("x"), phrases_of(F.array_except(t["b"], t["a"])).alias("y")))
+    same = lambda t: F.aggregate(t["both"], F.lit(0), lambda n, p: n + F.when(p == "", 0).otherwise(F.size(F.split(p, " ", -1))))
+    share = F.transform(numbers, lambda t: (same(t) + F.size(F.array_intersect(t["x"], t["y"]))).cast("double") / F.greatest(same(t) + F.greatest(F.size(t["x"]), F.size(t["y"])), F.lit(1)))[0]
     return F.when(F.substring_index(a, ":", 1) == F.substring_index(b, ":", 1), F.lit(1.0)).otherwise(F.least(share, F.lit(0.999999)))
 
 
@@ -80,47 +89,68 @@ def edits(a: Column, b: Column) -> Column:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars, fingerprint of each row's whole text; null text counts as empty."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return rows.withColumn("tree", leaves(F.col("text"))).select("doc_id", F.char_length("text").cast("long").alias("n_chars"), fingerprint(F.col("text"), F.col("tree")).alias("fingerprint"))
+    return printed(rows, "text", "fingerprint").select("doc_id", F.char_length("text").cast("long").alias("n_chars"), "fingerprint")
+
+
+def printed(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """rows with the fingerprint of a text column; the tree is a column of its own first, so that it is made once."""
+    return rows.withColumn("tree", leaves(F.col(text))).withColumn(name, fingerprint(F.col(text), F.col("tree"))).drop("tree")
 
 
 def in_ranges(rows: DataFrame) -> DataFrame:
-    """rows with range, an int that rises with doc_id; ids that are null come first.
+    """rows with coarse and fine, ints that rise with doc_id; ids that are null come first.
 
-    Bounds are quantiles of doc_id: MOST_RANGES numbers at most. Equal ids share a range.
+    coarse: among quantiles of doc_id, COARSE at most. fine: the id's place between its quantiles, in as many equal steps as
+    make a range of about RANGE_ROWS rows, however many rows there are. Equal ids share a range.
     """
     count = rows.select("doc_id").agg(F.count("*")).first()[0]
-    n = max(1, min(MOST_RANGES, count // RANGE_ROWS))
-    got = rows.select("doc_id").agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10 * MOST_RANGES)).first()[0]
+    n = max(1, min(COARSE, count // RANGE_ROWS))
+    got = rows.select("doc_id").agg(F.percentile_approx("doc_id", [i / n for i in range(n + 1)], 10 * COARSE)).first()[0]
     bounds = sorted(set(got or []))
     if not bounds:
-        return rows.withColumn("range", F.lit(0))
-    coarse = F.array(*[F.lit(b) for b in bounds[::FAN]])
-    fine = F.array(*[F.lit(b) for b in bounds])
-    block = F.size(F.filter(coarse, lambda b: b <= F.col("doc_id")))
-    rows = rows.withColumn("block", F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(block))
-    rest = F.size(F.filter(F.slice(fine, (F.col("block") - 1) * FAN + 1, FAN), lambda b: b <= F.col("doc_id")))
-    return rows.withColumn("range", F.when(F.col("doc_id").isNull(), F.lit(-1)).when(F.col("block") == 0, F.lit(0)).otherwise((F.col("block") - 1) * FAN + rest)).drop("block")
-
-
-def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """rows (doc_id, text, ...) with next, a struct of columns of the next row by doc_id, then text; after the last comes the first.
-
-    Rows are ordered within ranges; only a range's last row looks up the first row of the range
-    after it, of which there are MOST_RANGES at most.
+        return rows.withColumn("coarse", F.lit(0)).withColumn("fine", F.lit(0).cast("long"))
+    known, steps = F.array(*[F.lit(b).cast("long") for b in bounds]), -(-count // (n * RANGE_ROWS))
+    rows = rows.withColumn("coarse", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(_place(bounds, F.col("doc_id"))))
+    if steps == 1:
+        return rows.withColumn("fine", F.lit(0).cast("long"))
+    lo, hi = (F.get(known, F.col("coarse") - i).cast("double") for i in (1, 0))
+    step = F.floor((F.col("doc_id").cast("double") - lo) / F.greatest(hi - lo, F.lit(1.0)) * steps)
+    return rows.withColumn("fine", F.coalesce(F.least(F.greatest(step, F.lit(0)), F.lit(steps - 1)), F.lit(0)).cast("long"))
+
+
+def _place(bounds: list[int], x: Column) -> Column:
+    """How many of the sorted bounds are x or less, by halving."""
+    if len(bounds) <= 2:
+        return sum((F.when(x >= b, 1).otherwise(0) for b in bounds), F.lit(0))
+    mid = len(bounds) // 2
+    return F.when(x >= bounds[mid], _place(bounds[mid + 1 :], x) + (mid + 1)).otherwise(_place(bounds[:mid], x))
+
+
+def with_next(rows: DataFrame, make: Callable[[DataFrame], DataFrame], made: list[str]) -> DataFrame:
+    """rows (doc_id, text) with the columns made, which make() adds, and next: a struct of text and those of the next row by doc_id, then
+    text; after the last comes the first.
+
+    Rows are ordered within ranges, and make() is called once for them, where they were ordered. Only a range's last row looks
+    up the first row of the range after it.
     """
     spark = rows.sparkSession
     rows = in_ranges(rows)
-    own = Window.partitionBy("range").orderBy(F.col("doc_id").asc_nulls_first(), "text")
-    heads = rows.select("range", "doc_id").groupBy("range").agg(F.min("doc_id").alias("doc_id"))
-    after = [(r["range"], r["doc_id"]) for r in heads.collect()]  # two numbers for each range
-    if not after:
-        return rows.withColumn("next", F.struct(*columns)).drop("range")
-    after.sort(key=lambda x: x[0])
-    follows = [(a[0], b[1]) for a, b in zip(after, after[1:] + after[:1])]
-    links = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(a).alias("to_range"), F.lit(b).cast("long").alias("head")) for a, b in follows])))
-    first = rows.select("doc_id", *[c for c in columns if c != "doc_id"]).join(F.broadcast(links), F.expr("doc_id <=> head")).groupBy("to_range").agg(F.min(F.struct(*columns)).alias("over"))
-    led = rows.withColumn("next", F.lead(F.struct(*columns)).over(own))
-    return led.join(first, led["range"] == first["to_range"], "left").withColumn("next", F.coalesce("next", "over")).drop("over", "to_range", "range")
+    heads = rows.groupBy("coarse", "fine").agg(F.min("doc_id").alias("head"))
+    ends = heads.groupBy("coarse").agg(F.min_by("head", "fine").alias("head")).collect()  # two numbers for each coarse range
+    ends = sorted(ends, key=lambda r: r["coarse"])
+    if not ends:
+        return make(rows.select("doc_id", "text")).withColumn("next", F.struct("text", *made))
+    over = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(a["coarse"]).alias("coarse"), F.lit(b["head"]).cast("long").alias("over")) for a, b in zip(ends, ends[1:] + ends[:1])])))
+    inner = F.lead(F.struct("head")).over(Window.partitionBy("coarse").orderBy("fine"))
+    links = heads.withColumn("after", inner).join(F.broadcast(over), "coarse").select(F.col("coarse").alias("to_coarse"), F.col("fine").alias("to_fine"), F.when(F.col("after").isNull(), F.col("over")).otherwise(F.col("after.head")).alias("head"))
+    links = F.broadcast(links) if rows.count() <= MOST_HEADS * RANGE_ROWS else links
+    first = rows.select("doc_id", "text").join(links, F.expr("doc_id <=> head")).groupBy("to_coarse", "to_fine").agg(F.min("text").alias("text"))
+    first = make(first).select("to_coarse", "to_fine", F.struct("text", *made).alias("over"))
+    keys, order = ["coarse", "fine"], ["doc_id", "text"]
+    led = make(rows.repartition(*keys).sortWithinPartitions(*keys, *order))
+    led = led.withColumn("next", F.lead(F.struct("text", *made)).over(Window.partitionBy(*keys).orderBy(*order)))
+    led = led.join(first, (led["coarse"] == first["to_coarse"]) & (led["fine"] == first["to_fine"]), "left")
+    return led.withColumn("next", F.coalesce("next", "over")).drop("over", "to_coarse", "to_fine", *keys)
 
 
 def edited_pairs(docs: DataFrame) -> DataFrame:
@@ -129,18 +159,18 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     edited: the last quarter (rounded down) of the code points gives way to as many (or all) of the
     first of the next document by doc_id. Null text: empty. Null ids come first; equal ids go by
     text, and rows that are equal follow each other. One row is its own next. No rows: none. Other
-    columns are left out. near values are likeness() of fingerprints.
+    columns are left out. near values are likeness() of fingerprints. edits: section:paragraph of the branches in which
+    the edited text's tree differs, comma-joined (paragraph -1: the whole section).
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = with_next(rows, ["text"]).withColumn("n_chars", F.char_length("text").cast("long"))  # texts travel; fingerprints are made where they arrive
+    rows = with_next(rows, lambda x: printed(x, "text", "fingerprint"), ["fingerprint"]).withColumn("n_chars", F.char_length("text").cast("long"))
     cut = F.floor(F.col("n_chars") / 4).cast("int")
-    rows = rows.withColumn("next", F.col("next.text")).withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - cut), F.substring(F.col("next"), F.lit(1), cut)))
-    for c in ("text", "next", "edited"):
-        rows = rows.withColumn(f"{c}_tree", leaves(F.col(c)))
-    for c, name in (("text", "fingerprint"), ("next", "next_fingerprint"), ("edited", "edited_fingerprint")):
-        rows = rows.withColumn(name, fingerprint(F.col(c), F.col(f"{c}_tree")))
+    rows = rows.select("doc_id", "n_chars", "fingerprint", F.col("next.fingerprint").alias("next_fingerprint"), F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - cut), F.substring(F.col("next.text"), F.lit(1), cut)).alias("edited"))
+    rows = printed(rows, "edited", "edited_fingerprint")
+    places = F.transform(edits(F.col("fingerprint"), F.col("edited_fingerprint")), lambda e: F.concat_ws(":", e["section"].cast("string"), e["paragraph"].cast("string")))
     return rows.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        F.array_join(places, ",").alias("edits"),
     )
