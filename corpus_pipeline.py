@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.llm import bpe, minhash, mixing, secrets, toxicity
-from helixframe.llm.common import kept, table
+from helixframe.llm.common import dropped, kept, shared_dir, table
 
 #: The stages on word shingles take five words and similarity 0.8.
 SHINGLE, PERCENT = 5, 80
@@ -60,7 +60,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. Each stage's table is deleted once the next one's is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = kept(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        at = shared_dir(spark, f"pipeline-{name}")
+        docs = kept(stage(spark, docs, sf_dir), name, at)
+        if before:
+            dropped(spark, before)
+        before = at
     return docs
