@@ -1,8 +1,9 @@
-"""Command line: corpus, subset, studies, ncrna, mavedb."""
+"""Command line: corpus, subset, studies, ncrna, mavedb, evaluate."""
 
 from __future__ import annotations
 
 import argparse
+import importlib
 
 from pyspark.sql import SparkSession
 
@@ -11,7 +12,7 @@ from helixframe.plans import builds, studies
 from helixframe.sources import archives, sinks
 
 
-def main() -> None:
+def main(arguments: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="helixframe")
     sub = p.add_subparsers(dest="task", required=True)
     c = sub.add_parser("corpus")
@@ -33,7 +34,13 @@ def main() -> None:
         x = sub.add_parser(name)
         x.add_argument("archive")
         x.add_argument("--output", required=True)
-    a = p.parse_args()
+    e = sub.add_parser("evaluate", help="scores variants by a scorer of your own and compares studies with reported values")
+    e.add_argument("source")
+    e.add_argument("--output", required=True)
+    e.add_argument("--scorer", required=True, help="module:function; the function takes nothing and returns a scorer of lists of sequences")
+    e.add_argument("--study", action="append")
+    e.add_argument("--batch-size", type=int, default=8)
+    a = p.parse_args(arguments)
     spark = SparkSession.builder.getOrCreate()
     if a.task == "corpus":
         print(builds.build_corpus(spark, a.archives, a.output, a.max_genomes))
@@ -45,6 +52,9 @@ def main() -> None:
         print(studies.standardize(spark, a.source, a.output, a.study))
     elif a.task == "ncrna":
         print(sinks.write_by_assay(studies.ncrna(spark, a.archive), a.output, sinks.NCRNA_COLUMNS))
+    elif a.task == "evaluate":
+        module, _, name = a.scorer.partition(":")
+        builds.evaluate(spark, a.source, a.output, getattr(importlib.import_module(module), name), a.study, a.batch_size, model=a.scorer).show(truncate=False)
     else:
         counts = sinks.write_by_assay(studies.mavedb(spark, a.archive), a.output, sinks.VARIANT_COLUMNS)
         print(studies.mavedb_stats(studies.score_sets(spark, a.archive), counts, a.archive))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,7 +38,7 @@ def translate_dna(s: Column) -> Column:
     residues = F.array_join(F.transform(codons, lambda c: F.element_at(table, c)), "")
     return (
         F.when(s.isNull(), F.lit(None).cast("string"))
-        .when(F.char_length(s) % 3 != 0, F.raise_error(F.concat(F.lit("Coding sequence length is not divisible by three: "), F.char_length(s).cast("string"))))
+        .when(F.char_length(s) % 3 != 0, F.raise_error(F.concat(F.lit("whole codons are needed, but the length is "), F.char_length(s).cast("string"))))
         .when(~F.rlike(up, F.lit(r"\A[ACGT]*\z")), F.raise_error(F.concat(F.lit("Unsupported codon in "), up)))
         .otherwise(residues)
     )
@@ -91,29 +93,38 @@ def apply_substitutions(s: Column, mutation: Column) -> Column:
     return F.when(s.isNotNull() & mutation.isNotNull(), F.aggregate(F.split(mutation, "_"), s, step))
 
 
-def segments(s: Column) -> Column:
-    """array<struct<start long, sequence>> of the maximal runs of A, C, G, T in upper-case text, starts from 0."""
-    runs = F.regexp_extract_all(s, F.lit("[ACGT]+|[^ACGT]+"), F.lit(0))
+def segments(s: Column, most: int | None = None) -> Column:
+    """array<struct<start long, sequence>> of the maximal runs of A, C, G, T in upper-case text, starts from 0; with most, cut into pieces of so many."""
+    runs = F.regexp_extract_all(s, F.lit(f"[ACGT]{{1,{int(most)}}}|[^ACGT]+" if most else "[ACGT]+|[^ACGT]+"), F.lit(0))
 
     def placed(r: Column) -> Column:
         starts = running_starts(F.transform(r, lambda x: F.char_length(x).cast("long")))
-        return F.filter(F.arrays_zip(starts.alias("start"), r.alias("sequence")), lambda x: F.rlike(x["sequence"], F.lit("^[ACGT]")))
+        return F.filter(F.arrays_zip(starts.alias("start"), r.alias("sequence")), lambda x: F.substring(x["sequence"], 1, 1).isin(*BASES))
 
     return let(runs, placed)
 
 
-def running_starts(lengths: Column, run: int = 256) -> Column:
-    """array<long>: for each entry the sum of those before it. Summed in runs, so no array grows one by one for long."""
-    none = F.array().cast("array<long>")
-    runs = let(lengths, lambda all_: F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(all_) - 1, F.lit(0)) / run).cast("int")), lambda i: F.slice(all_, i * run + 1, run)))
+def running_starts(lengths: Column, run: int = 32) -> Column:
+    """array<long>: for each entry the sum of those before it.
+
+    Entries are summed within runs and runs of runs, so that only arrays of up to `run` entries, or of a
+    thousandth of all, grow one by one.
+    """
+    def runs(all_: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(all_) - 1, F.lit(0)) / run).cast("int")), lambda i: F.slice(all_, i * run + 1, run))
+
+    none = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<long>").alias("out"))
+    total = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda s, n: s + n)
+    small = lambda part: F.aggregate(part, none, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
 
-    def step(acc, n):
-        return F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+    def level(starts: Callable[[Column], Column]) -> Callable[[Column], Column]:
+        """Starts of an array, where starts() gives those of its runs' totals."""
+        def placed(parts: Column) -> Column:
+            return let(starts(F.transform(parts, total)), lambda before: F.flatten(F.transform(parts, lambda part, i: F.transform(small(part), lambda x: x + before[i]))))
 
-    def whole(acc, part):
-        return F.aggregate(part, F.struct(acc["at"].alias("at"), none.alias("out")), step, lambda a: F.struct(a["at"].alias("at"), F.concat(acc["out"], a["out"]).alias("out")))
+        return lambda all_: let(runs(all_), placed)
 
-    return F.aggregate(runs, F.struct(F.lit(0).cast("long").alias("at"), none.alias("out")), whole, lambda a: a["out"])
+    return let(lengths, level(level(small)))
 
 
 def windows(s: Column, length: int) -> Column:

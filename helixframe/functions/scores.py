@@ -17,9 +17,6 @@ def seed_from_hash(digest: Column) -> Column:
     return F.conv(F.substring(digest, 1, 16), 16, 10).cast("decimal(20,0)")
 
 
-def round_half_up(x: Column) -> Column:
-    return F.floor(x + 0.5).cast("long")
-
 
 def python_round(x: Column, digits: int) -> Column:
     """Python's round(): to the nearest decimal of the exact binary value, halves to even; in Arrow batches."""

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from itertools import islice
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from helixframe.functions import dna, scores
+from helixframe.functions import dna, ranges, scores
 
 CHUNK = 8192
 
@@ -17,14 +24,33 @@ def record_segments(records: DataFrame, sequence_col: str = "sequence") -> DataF
     return rows.withColumn("segment_start", F.col("__s.start")).withColumn("segment", F.col("__s.sequence")).drop("__s", "__up", sequence_col)
 
 
+#: Pieces that leave a task in one Arrow batch.
+PIECES = 50_000
+
+
 def chunks(records: DataFrame, length: int = CHUNK, sequence_col: str = "sequence") -> DataFrame:
-    """record_segments' rows cut into pieces of length: chunk_start, chunk_end (0-based half-open in the record), chunk_length, sequence."""
-    rows = record_segments(records, sequence_col)
-    keep = [c for c in rows.columns if c not in ("segment_start", "segment")]
-    rows = rows.select(*keep, "segment_start", F.posexplode(dna.windows(F.col("segment"), length)).alias("__k", "sequence"))
-    start = F.col("segment_start") + F.col("__k").cast("long") * length
-    n = F.char_length("sequence").cast("long")
-    return rows.select(*keep, start.alias("chunk_start"), (start + n).alias("chunk_end"), n.alias("chunk_length"), "sequence")
+    """records' unambiguous runs cut into pieces of length: chunk_start, chunk_end (0-based half-open in the record), chunk_length, sequence.
+
+    One regular expression finds the pieces with their places. That is done on Arrow batches: column functions tell no places,
+    and summing lengths up to each piece takes several times as long.
+    """
+    keep = [c for c in records.columns if c != sequence_col]
+    names = [*keep, "record_length", "chunk_start", "chunk_end", "chunk_length", "sequence"]
+    rows = records.select(*keep, F.char_length(sequence_col).cast("long").alias("record_length"), dna.ascii_upper(F.col(sequence_col)).alias("sequence"))
+    piece, most = re.compile(f"[ACGT]{{1,{int(length)}}}"), PIECES
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            column = b.column(b.num_columns - 1)
+            found = ((at, m.start(), m[0]) for at in range(b.num_rows) for m in piece.finditer(column[at].as_py() or ""))
+            while some := list(islice(found, most)):
+                rows, starts, texts = (pa.array(x) for x in zip(*some))
+                n = pc.utf8_length(texts).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([*b.select(names[:-4]).take(rows).columns, starts, pc.add(starts, n), n, texts], names=names)
+
+    long = lambda name: StructField(name, LongType())
+    schema = StructType([*rows.schema.fields[:-1], long("chunk_start"), long("chunk_end"), long("chunk_length"), StructField("sequence", StringType())])
+    return rows.mapInArrow(cut, schema)
 
 
 def genome_chunks(records: DataFrame, length: int = CHUNK) -> DataFrame:
@@ -35,24 +61,20 @@ def genome_chunks(records: DataFrame, length: int = CHUNK) -> DataFrame:
 
 
 def corpus_stats(records: DataFrame, genome_col: str, length: int = CHUNK, sequence_col: str = "sequence") -> DataFrame:
-    """One row of nine counters over records. Everything is summed per record first, so that records without chunks count too."""
-    runs = dna.segments(dna.ascii_upper(F.col(sequence_col)))
-    sizes = F.transform(runs, lambda s: F.char_length(s["sequence"]).cast("long"))
-    zero = F.lit(0).cast("long")
-    add = lambda a, x: a + x
-    n = F.coalesce(F.char_length(sequence_col), F.lit(0)).cast("long")
-    rows = records.select(F.col(genome_col).alias("genome"), n.alias("n"), sizes.alias("sizes")).select(
-        "genome", "n",
-        F.aggregate("sizes", zero, add).alias("kept"),
-        F.aggregate(F.transform("sizes", lambda s: F.floor(s / length)), zero, add).alias("full"),
-        F.aggregate(F.transform("sizes", lambda s: F.when(s % length > 0, 1).otherwise(0).cast("long")), zero, add).alias("short"),
-        F.aggregate(F.transform("sizes", lambda s: s % length), zero, add).alias("short_bases"),
-    )
+    """One row of nine counters over records, those without chunks too.
+
+    Matches of exactly length bases are the full chunks, since they start over with each run; matches of 1 to length bases
+    are all chunks. Nothing else about runs is worked out.
+    """
+    text, zero = F.col(sequence_col), F.lit(0).cast("long")
+    number = lambda most: F.coalesce(F.regexp_count(text, F.lit(f"[ACGTacgt]{{{most}}}")), zero).cast("long")
+    n = F.coalesce(F.char_length(text), zero).cast("long")
+    rows = records.select(F.col(genome_col).alias("genome"), n.alias("n"), (n - F.coalesce(F.char_length(F.translate(text, "ACGTacgt", "")), zero)).alias("kept"), number(length).alias("full"), number(f"1,{length}").alias("all"))
     s = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
     return rows.agg(
         F.count_distinct("genome").alias("genomes_processed"), F.count("*").alias("fasta_records_processed"), s("n").alias("input_bases"),
-        s(F.col("n") - F.coalesce("kept", zero)).alias("ambiguous_bases"), s("kept").alias("retained_bases"), s(F.col("full") + F.col("short")).alias("chunks"),
-        s("full").alias("full_length_chunks"), s("short").alias("short_chunks"), s("short_bases").alias("short_chunk_bases"),
+        s(F.col("n") - F.col("kept")).alias("ambiguous_bases"), s("kept").alias("retained_bases"), s("all").alias("chunks"),
+        s("full").alias("full_length_chunks"), s(F.col("all") - F.col("full")).alias("short_chunks"), s(F.col("kept") - F.col("full") * length).alias("short_chunk_bases"),
     )
 
 
@@ -82,6 +104,49 @@ def dealt(rows: DataFrame, world_size: int, order: str) -> DataFrame:
     return rows.withColumn("rank", F.pmod(F.col(order), F.lit(world_size)).cast("int"))
 
 
+def with_place(rows: DataFrame, order: str, name: str = "place") -> DataFrame:
+    """rows with their dense place from 0 in the order of a number; equal ones in any order, nulls last.
+
+    Ranges between quantiles are counted and summed; a task orders one of them.
+    """
+    known = ranges.bounds(rows, order)[0]
+    cut = rows.withColumn("__range", F.coalesce(ranges.place(known, F.col(order)), F.lit(ranges.RANGES)))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range: 257 at most
+    starts = cut.groupBy("__range").agg(F.count("*").alias("__n")).withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    inside = Window.partitionBy("__range").orderBy(F.col(order).asc_nulls_last())
+    return cut.join(F.broadcast(starts), "__range").withColumn(name, (F.col("__start") + F.row_number().over(inside) - 1).cast("long")).drop("__range", "__start")
+
+
+def training_batches(rows: DataFrame, window: int, batch: int, seed: int, world_size: int = 1, rank: int = 0, sequence_col: str = "sequence") -> DataFrame:
+    """batch_no, input_ids: a rank's batches of windows of stored sequences (one column), shuffled by seed.
+
+    Every window goes to one rank; the tail of a sequence that is shorter than a window is left out, and so are a rank's last
+    windows that don't fill a batch. Windows are dealt by a hash of their text and of their number among equal ones; the
+    order within a rank is numbered range by range, so no task sees all of it.
+    """
+    cut = rows.select(F.explode(dna.windows(F.col(sequence_col), window)).alias("window")).filter(F.char_length("window") == window)
+    cut = cut.withColumn("__copy", F.row_number().over(Window.partitionBy("window").orderBy(F.lit(0))))
+    mine = rank_split(cut, world_size, rank, "window", "__copy").withColumn("__o", F.xxhash64(F.lit(seed), "window", "__copy"))
+    mine = mine.withColumn("__range", F.shiftright("__o", 54))  # 1,024 ranges of the order
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = mine.groupBy("__range").agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    inside = Window.partitionBy("__range").orderBy("__o", "window", "__copy")
+    placed = mine.join(F.broadcast(starts), "__range").withColumn("place", F.col("start") + F.row_number().over(inside) - 1)
+    return token_batches(placed.select("window", "place"), batch, "place").filter(F.size("input_ids") == batch)
+
+
+def first_batches(batches: DataFrame, n: int) -> DataFrame:
+    """The first n of token_batches' rows."""
+    return batches.filter(F.col("batch_no") < n)
+
+
+def replicate_mean(one: DataFrame, two: DataFrame, key: str, value: str, name: str = "score") -> DataFrame:
+    """key and the mean of the two replicates' values. A key that either replicate lacks fails."""
+    both = one.select(key, F.col(value).alias("__a")).join(two.select(key, F.col(value).alias("__b")), key, "full")
+    known = F.col("__a").isNotNull() & F.col("__b").isNotNull()
+    return both.select(key, F.when(known, (F.col("__a") + F.col("__b")) / 2).otherwise(F.raise_error(F.concat(F.lit("a replicate lacks "), F.col(key).cast("string"))).cast("double")).alias(name))
+
+
 def token_batches(rows: DataFrame, batch: int, position: str, sequence_col: str = "window") -> DataFrame:
     """batch_no, input_ids: token ids of batch rows each by position (from 0); rows of one batch must be equally long."""
     ids = rows.select(F.floor(F.col(position) / batch).alias("batch_no"), F.struct(F.col(position).alias("p"), dna.tokens(F.col(sequence_col)).alias("t")).alias("x"))

@@ -9,23 +9,51 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from helixframe.functions import ranges
+
 # Correlations that the paper reports, by study, and their published mean.
 REPORTED = {"adkar_2012": 0.25, "chen_2020": 0.57, "firnberg_2014": 0.55, "jacquier_2013": 0.47, "kelsic_2016": 0.60, "melnikov_2014": 0.45, "rockah_shmuel_2015": 0.32, "tsuboyama_2023": 0.42, "weeks_2023": 0.50}
 REPORTED_MEAN = 0.46
 
 
-def average_ranks(rows: DataFrame, group: str, value: str, name: str) -> DataFrame:
-    """rows with the rank of value in its group, ties sharing their mean rank."""
-    w = Window.partitionBy(group)
-    return rows.withColumn(name, F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(group, value)) - 1) / 2.0)
+def average_ranks(rows: DataFrame, group: str, value: str, name: str, known: list | None = None) -> DataFrame:
+    """group, value, name: the rank of each distinct value (a number) in its group, ties sharing their mean rank.
+
+    Equal values are counted first. Values are cut into ranges at quantiles (known, if they are); counts are summed by range,
+    so a task orders the distinct values of one range of one group, however large the group is.
+    """
+    counts = rows.groupBy(group, value).agg(F.count("*").alias("__n"))
+    known = ranges.bounds(rows, value)[0] if known is None else known
+    counts = counts.withColumn("__range", ranges.place(known, F.col(value)))
+    before = Window.partitionBy(group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.groupBy(group, "__range").agg(F.sum("__n").alias("__all")).withColumn("__start", F.coalesce(F.sum("__all").over(before), F.lit(0))).drop("__all")
+    inside = Window.partitionBy(group, "__range").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rank = F.col("__start") + F.sum("__n").over(inside) - (F.col("__n") - 1) / 2.0
+    joined = counts.alias("c").join(starts.alias("s"), F.expr(f"c.`{group}` <=> s.`{group}` AND c.__range = s.__range")).select(F.col(f"c.`{group}`"), F.col(f"c.`{value}`"), "__n", F.col("c.__range"), "__start")
+    return joined.withColumn(name, rank).select(group, value, name)
 
 
 def spearman(rows: DataFrame, group: str, x: str, y: str) -> DataFrame:
-    """group, num_variants, spearman. Undefined (constant or single) groups give null; rows without both values don't count."""
-    rows = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(group, x, y)
-    rows = average_ranks(average_ranks(rows, group, x, "__x"), group, y, "__y")
-    spread = F.stddev_pop("__x") * F.stddev_pop("__y")
-    return rows.groupBy(group).agg(F.count("*").alias("num_variants"), F.covar_pop("__x", "__y").alias("__c"), spread.alias("__s")).select(group, "num_variants", (F.col("__c") / F.nullif(F.col("__s"), F.lit(0.0))).alias("spearman"))
+    """group, num_variants, spearman. Undefined (constant or single) groups give null; rows without both values don't count.
+
+    Rows are counted by (group, x, y) and ranks joined to those counts; sums are taken about the mean rank, (n + 1) / 2.
+    """
+    rows = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(group).alias("__g"), F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
+    pairs = rows.groupBy("__g", "__x", "__y").agg(F.count("*").alias("__m"))
+    for (value, rank), known in zip((("__x", "__rx"), ("__y", "__ry")), ranges.bounds(rows, "__x", "__y")):
+        ranks = average_ranks(rows, "__g", value, rank, known).alias("r")
+        pairs = pairs.alias("p").join(ranks, F.expr(f"p.__g <=> r.__g AND p.{value} = r.{value}")).select("p.*", rank)
+    sizes = rows.groupBy("__g").agg(F.count("*").alias("n"))
+    pairs = pairs.alias("p").join(sizes.alias("s"), F.expr("p.__g <=> s.__g")).select("p.*", ((F.col("n") + 1) / 2.0).alias("__c"))
+    m, a, b = F.col("__m"), F.col("__rx") - F.col("__c"), F.col("__ry") - F.col("__c")
+    sums = pairs.groupBy("__g").agg(F.sum("__m").alias("num_variants"), F.sum(m * a * b).alias("ab"), F.sum(m * a * a).alias("aa"), F.sum(m * b * b).alias("bb"))
+    return sums.select(F.col("__g").alias(group), "num_variants", (F.col("ab") / F.nullif(F.sqrt(F.col("aa") * F.col("bb")), F.lit(0.0))).alias("spearman"))
+
+
+def accuracy(rows: DataFrame, truth: str, guess: str, by: list[str] = []) -> DataFrame:
+    """n, accuracy: the share of rows whose guess is the truth, over rows and not over batches; null guesses are wrong."""
+    hit = F.coalesce(F.col(truth) == F.col(guess), F.lit(False))
+    return rows.filter(F.col(truth).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.avg(hit.cast("double")).alias("accuracy"))
 
 
 def direction_adjusted(rows: DataFrame, score: str = "experimental_score") -> DataFrame:

@@ -4,17 +4,18 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions.dna import let
 
 #: Codebooks are model parameters, not data; a larger one than this isn't shipped to every task.
 MOST_CODEBOOK_VALUES = 1 << 26
+#: Values of a codebook that stands in the plan itself.
+MOST_LITERALS = 1 << 12
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -24,11 +25,17 @@ def squared_distance(a: Column, b: Column) -> Column:
 def nearest_code(vectors: DataFrame, codebook: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """id, code, distance of the closest code (code, vector); ties to the lower code.
 
-    The codebook, whose size is checked, becomes a constant array, so vectors are neither shuffled nor multiplied.
+    The codebook, whose size is checked, goes to every task, so vectors are neither shuffled nor multiplied: a small one as a
+    constant array in the plan, a larger one as a matrix that Arrow batches are multiplied with.
     """
     rows = codebook.orderBy("code").limit(1 << 16).collect()
-    if sum(len(r["vector"]) for r in rows) > MOST_CODEBOOK_VALUES or len(rows) == 1 << 16:
+    values = sum(len(r["vector"]) for r in rows)
+    if values > MOST_CODEBOOK_VALUES or len(rows) == 1 << 16:
         raise ValueError("the codebook is too large to be a parameter")
+    if values > MOST_LITERALS:
+        found = nearest_code_blocks(vectors, np.array([r["vector"] for r in rows], float), id_col, vector_col)
+        names = F.array(*[F.lit(int(r["code"])) for r in rows])
+        return found.withColumn("code", F.get(names, F.col("code")))
     codes = F.array(*[F.struct(F.lit(int(r["code"])).alias("code"), F.array(*[F.lit(float(x)) for x in r["vector"]]).alias("v")) for r in rows])
     v = F.col(vector_col).cast("array<double>")
     best = F.array_min(F.transform(codes, lambda c: F.struct(squared_distance(v, c["v"]).alias("distance"), c["code"].alias("code"))))
@@ -140,140 +147,26 @@ def learning_rate(step: Column, warmup: int, decay_end: int, top: float, floor:
     return (F.when(step < warmup, ramp).otherwise(factor) if warmup > 0 else factor) * top
 
 
-def cascade_strides(total: int, most: int = 4) -> list[int]:
-    """Factors of total, each the largest up to most that divides what is left, or all that is left."""
-    out = []
-    while total > 1:
-        s = next((k for k in range(min(most, total), 1, -1) if total % k == 0), total)
-        out.append(s)
-        total //= s
-    return out or [1]
-
-
-def _layer_norm(x: np.ndarray, eps: float = 1e-5) -> np.ndarray:
-    return (x - x.mean(-1, keepdims=True)) / np.sqrt(x.var(-1, keepdims=True) + eps)
-
-
-def _group_norm(x: np.ndarray, groups: int, eps: float = 1e-5) -> np.ndarray:
-    """Per sample and group of channels over all positions; x: batch, length, dim."""
-    b, n, d = x.shape
-    y = x.reshape(b, n, groups, d // groups)
-    return ((y - y.mean((1, 3), keepdims=True)) / np.sqrt(y.var((1, 3), keepdims=True) + eps)).reshape(b, n, d)
-
-
-def _interpolation(length: int, size: int, kind: str) -> np.ndarray:
-    """The size x length matrix of area or linear interpolation."""
-    m = np.zeros((size, length))
-    for i in range(size):
-        if kind == "area":
-            lo, hi = i * length // size, -(-(i + 1) * length // size)
-            m[i, lo:hi] = 1 / (hi - lo)
-        else:
-            at = max((i + 0.5) * length / size - 0.5, 0)
-            lo = min(int(at), length - 1)
-            hi = min(lo + 1, length - 1)
-            m[i, lo] += 1 - (at - lo)
-            m[i, hi] += at - lo
-    return m
-
-
-@dataclass
-class Quantizer:
-    """A multi-scale residual quantizer at inference. Samplers of the first scale average and repeat (as they are
-    initialised) unless kernels are given; refiners blend a same-length convolution with the identity."""
-
-    lengths: list[int]
-    codebooks: list[np.ndarray]
-    refiners: list[tuple[np.ndarray, np.ndarray]] | None = None  # (out, in, kernel) weights and biases
-    ratio: float = 0.5
-    groups: int | None = None
-    matrices: dict = field(default_factory=dict)
-
-    def __post_init__(self):
-        if len(self.lengths) != len(self.codebooks):
-            raise ValueError("a codebook is needed for each scale")
-        if self.lengths[-1] % self.lengths[0]:
-            raise ValueError("the first scale must divide the full length")
-        if len({c.shape[1] for c in self.codebooks}) != 1:
-            raise ValueError("codebooks must share one dimension")
-        if any(w.shape[2] % 2 == 0 for w, _ in self.refiners or []):
-            raise ValueError("kernel sizes must be odd")
-        if self.groups and self.codebooks[0].shape[1] % self.groups:
-            raise ValueError("groups must divide the dimension")
-
-    def matrix(self, length: int, size: int, kind: str) -> np.ndarray:
-        return self.matrices.setdefault((length, size, kind), _interpolation(length, size, kind))
-
-    def down(self, x: np.ndarray, k: int) -> np.ndarray:
-        if k == len(self.lengths) - 1:
-            return x
-        if k:
-            return self.matrix(x.shape[1], self.lengths[k], "area") @ x
-        for s in cascade_strides(self.lengths[-1] // self.lengths[0]):
-            x = _layer_norm(x.reshape(x.shape[0], -1, s, x.shape[2]).mean(2))
-        return x
-
-    def contribution(self, q: np.ndarray, k: int) -> np.ndarray:
-        full = self.lengths[-1]
-        if k == 0 and len(self.lengths) > 1:
-            q = np.repeat(q, full // q.shape[1], axis=1)
-        elif k < len(self.lengths) - 1:
-            q = self.matrix(q.shape[1], full, "linear") @ q
-        if not self.refiners:
-            return q
-        w, bias = self.refiners[k]
-        pad = w.shape[2] // 2
-        p = np.pad(q, ((0, 0), (pad, pad), (0, 0)))
-        conv = sum(p[:, i : i + q.shape[1]] @ w[:, :, i].T for i in range(w.shape[2])) + bias
-        return q * (1 - self.ratio) + conv * self.ratio
-
-    def encode(self, x: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Codes of each scale, and the latent after each scale; x: batch, length, dim."""
-        x = _group_norm(x, self.groups) if self.groups else x
-        residual, total = x.copy(), np.zeros_like(x)
-        codes, latents = [], []
-        for k, book in enumerate(self.codebooks):
-            flat = self.down(residual, k)
-            d = (flat**2).sum(-1, keepdims=True) + (book**2).sum(1) - 2 * flat @ book.T
-            c = d.argmin(-1)
-            add = self.contribution(book[c], k)
-            residual, total = residual - add, total + add
-            codes.append(c)
-            latents.append(total)
-        return codes, latents
-
-    def decode(self, codes: list[np.ndarray]) -> list[np.ndarray]:
-        """The latent after each scale, from codes alone."""
-        total, out = 0, []
-        for k, (book, c) in enumerate(zip(self.codebooks, codes)):
-            total = total + self.contribution(book[c], k)
-            out.append(total)
-        return out
-
-
-def encode_multiscale(rows: DataFrame, quantizer: Quantizer, id_col: str, latent_col: str) -> DataFrame:
-    """id, codes (array per scale), errors (mean squared error after each scale) of latents (array of vectors)."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            x = np.stack([np.stack(v) for v in b[latent_col]]).astype(float)
-            codes, latents = quantizer.encode(x)
-            target = _group_norm(x, quantizer.groups) if quantizer.groups else x
-            yield pd.DataFrame({id_col: b[id_col], "codes": [[c[i].tolist() for c in codes] for i in range(len(b))], "errors": [[float(((t[i] - target[i]) ** 2).mean()) for t in latents] for i in range(len(b))]})
+def code_vectors(assigned: DataFrame, codebook: DataFrame, code_col: str = "code") -> DataFrame:
+    """assigned with vector, that of its code; a code that the book lacks fails."""
+    rows = assigned.join(codebook.select(F.col("code").alias("__code"), "vector"), F.col(code_col) == F.col("__code"), "left")
+    missing = F.raise_error(F.concat(F.lit("no such code: "), F.col(code_col).cast("string"))).cast(codebook.schema["vector"].dataType)
+    return rows.withColumn("vector", F.when(F.col("__code").isNotNull(), F.col("vector")).otherwise(missing)).drop("__code")
 
-    kind = rows.schema[id_col].dataType.simpleString()
-    return rows.select(id_col, latent_col).mapInPandas(run, f"`{id_col}` {kind}, codes array<array<int>>, errors array<double>")
 
+def cumulative_errors(parts: DataFrame, keys: list[str], scale_col: str, target_col: str, part_col: str) -> DataFrame:
+    """scale, mse: the mean squared error of the sum of a value's parts up to each scale (rows: keys, scale, target, part)."""
+    up = Window.partitionBy(*keys).orderBy(scale_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    gap = F.col(target_col).cast("double") - F.sum(F.col(part_col).cast("double")).over(up)
+    return parts.select(F.col(scale_col).alias("scale"), gap.alias("gap")).groupBy("scale").agg(F.avg(F.col("gap") * F.col("gap")).alias("mse"))
 
-def decode_multiscale(rows: DataFrame, quantizer: Quantizer, id_col: str, codes_col: str = "codes") -> DataFrame:
-    """id, scale, latent (array of vectors) after each scale."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            codes = [np.array([c[k] for c in b[codes_col]]) for k in range(len(quantizer.lengths))]
-            for k, t in enumerate(quantizer.decode(codes)):
-                yield pd.DataFrame({id_col: b[id_col], "scale": np.int32(k), "latent": [v.tolist() for v in t]})
 
-    kind = rows.schema[id_col].dataType.simpleString()
-    return rows.select(id_col, codes_col).mapInPandas(run, f"`{id_col}` {kind}, scale int, latent array<array<double>>")
+def batch_means(rows: DataFrame, position: str, batch: int, values: dict[str, Column], by: list[str] = [], first: int | None = None) -> DataFrame:
+    """batches, and the mean over batches of each value's mean in its batch; rows are numbered from 0 (per by). first: only so many batches."""
+    rows = rows.select(*by, F.floor(F.col(position) / batch).alias("__batch"), *[v.alias(n) for n, v in values.items()])
+    rows = rows if first is None else rows.filter(F.col("__batch") < first)
+    one = rows.groupBy(*by, "__batch").agg(*[F.avg(n).alias(n) for n in values])
+    return one.groupBy(*by).agg(F.count("*").alias("batches"), *[F.avg(n).alias(n) for n in values])
 
 
 def rms(rows: DataFrame, values: Column, by: list[str] = []) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import platform
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixframe.operators import corpus, evaluation, sampling
@@ -24,8 +26,8 @@ def build_corpus(spark: SparkSession, paths: list[str], output: str, max_genomes
 
     def write(folder: str) -> None:
         chunks = corpus.genome_chunks(records.select("archive_path", "record_id", "sequence"), length)
-        # File names rise with the sort key, and readers take rows in file order: a genome's chunks stay together.
-        sinks.write_shards(chunks, f"{folder}/chunks", rows_per_file, ["gtdb_accession", "record_id", "chunk_start"])
+        # Readers take rows in the order of file names: a genome's chunks stay together.
+        sinks.write_shards(chunks, folder, rows_per_file, ["gtdb_accession", "record_id", "chunk_start"])
         write.stats = sinks.write_stats(corpus.corpus_stats(records, "archive_path", length), f"{folder}/processing_stats.json", gtdb_release=RELEASE, chunk_length=length)
 
     sinks.publish(spark, output, write)
@@ -68,15 +70,19 @@ def subset_name(train_bases: int) -> str:
     return f"{train_bases / 1e9:g}B_subset"
 
 
-def evaluate(spark: SparkSession, source: str, output: str, load, studies: list[str] | None = None, batch: int = 8, reported: dict[str, float] = evaluation.REPORTED) -> DataFrame:
+def evaluate(spark: SparkSession, source: str, output: str, load, studies: list[str] | None = None, batch: int = 8, reported: dict[str, float] = evaluation.REPORTED, model: str | None = None) -> DataFrame:
     """Scores variants under source (CSV tables) that have no prediction yet, then compares studies with reported values.
 
-    load makes the scorer once per task; it gets wild-type and mutant sequences as they stand in mutant_nt.
+    load makes the scorer once per task; it gets wild-type and mutant sequences as they stand in mutant_nt. model: its name, for
+    the run's metadata.
     """
     rows = spark.read.option("header", True).option("recursiveFileLookup", True).csv(source)
     if studies:
         rows = rows.filter(F.col("study_id").isin(*studies))
-    rows = rows.withColumn("row_key", F.sha2(F.concat_ws("|", "study_id", "assay_id", "mutant_nt", "experimental_score", "nt_edit"), 256))
+    # Equal rows are told apart by their number among themselves, so that none of them counts as done for another.
+    content = F.sha2(F.to_json(F.struct(*rows.columns)), 256)
+    rows = rows.withColumn("file", F.col("_metadata.file_path")).withColumn("content", content)
+    rows = rows.withColumn("row_key", F.concat_ws("-", "content", F.row_number().over(Window.partitionBy("content").orderBy("file")).cast("string"))).drop("content")
     target = f"{output}/predictions"
     p, store = sinks._path(spark, target)
     todo = evaluation.pending(rows, spark.read.parquet(target), ["row_key"]) if store.exists(p) else rows
@@ -87,6 +93,6 @@ def evaluate(spark: SparkSession, source: str, output: str, load, studies: list[
     out = evaluation.compared(results, reported)
     sinks.write_csv(out, f"{output}/correlations", sinks.CORRELATION_COLUMNS)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(source).select(F.col("_metadata.file_path").alias("file"), "content")
-    inputs = evaluation.input_files(rows.select("mutant_aa", F.col("_metadata.file_path").alias("file")), files).orderBy("name")
-    sinks.write_stats(inputs.agg(F.sum("rows").alias("input_rows"), F.collect_list(F.struct("*")).alias("input_files")), f"{output}/run_metadata.json", created_at=datetime.now(UTC).isoformat(), batch_size=batch, likelihood_reduction="mean", prediction_rows=done.count())
+    inputs = evaluation.input_files(rows.select("mutant_aa", "file"), files).orderBy("name")
+    sinks.write_stats(inputs.agg(F.sum("rows").alias("input_rows"), F.collect_list(F.struct("*")).alias("input_files")), f"{output}/run_metadata.json", created_at=datetime.now(UTC).isoformat(), model=model, versions={"python": platform.python_version(), "spark": spark.version, "pandas": pd.__version__}, batch_size=batch, likelihood_reduction="mean", prediction_rows=done.count())
     return out

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -224,12 +223,15 @@ def dedup_keep_first(spark, sf_dir):
     return corpus.keep_first(table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value"), ["user_id", "event_type"], [F.col("event_id")])
 
 
-@query("WITH m AS (SELECT user_id, event_type, avg(value) AS v FROM events GROUP BY 1,2), t AS (SELECT min(event_type) AS a, max(event_type) AS b FROM events) SELECT x.user_id, round((x.v+y.v)/2,6) AS score FROM m x JOIN m y USING (user_id), t WHERE x.event_type=a AND y.event_type=b")
+@query("""WITH m AS (SELECT user_id, event_type, avg(value) AS v FROM events GROUP BY 1,2), t AS (SELECT min(event_type) AS a, max(event_type) AS b FROM events), k AS (SELECT m.user_id, max(CASE WHEN event_type=a THEN v END) AS x, max(CASE WHEN event_type=b THEN v END) AS y FROM m, t GROUP BY 1)
+SELECT user_id, round((x+y)/2,6) AS score FROM k WHERE x IS NOT NULL AND y IS NOT NULL""")
 def replicate_mean(spark, sf_dir):
+    """Of the users that have both kinds of events; without that choice a missing replicate would fail the query."""
     e = table(spark, sf_dir, "events")
-    a, b = e.agg(F.min("event_type"), F.max("event_type")).first()
-    one = lambda t, n: e.filter(F.col("event_type") == t).groupBy("user_id").agg(F.avg("value").alias(n))
-    return one(a, "a").join(one(b, "b"), "user_id").select("user_id", F.round((F.col("a") + F.col("b")) / 2, 6).alias("score"))
+    kinds = e.agg(F.min("event_type"), F.max("event_type")).first()
+    both = e.filter(F.col("event_type").isin(*kinds)).groupBy("user_id").agg(F.count_distinct("event_type").alias("n")).filter("n = 2")
+    one = lambda t: e.join(both, "user_id", "left_semi").filter(F.col("event_type") == t).groupBy("user_id").agg(F.avg("value").alias("v"))
+    return corpus.replicate_mean(one(kinds[0]), one(kinds[1]), "user_id", "v").withColumn("score", F.round("score", 6))
 
 
 @query("SELECT * FROM (UNPIVOT (SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem) ON l_quantity, l_extendedprice, l_discount, l_tax INTO NAME position VALUE score)")
@@ -293,11 +295,6 @@ def token_batches(spark, sf_dir):
     return corpus.token_batches(_dna(spark, sf_dir).select("doc_id", F.col("wt").alias("window")), 8, "doc_id")
 
 
-@query("SELECT doc_id, (doc_id%4)::INT AS rank FROM documents")
-def rank_split(spark, sf_dir):
-    return corpus.dealt(table(spark, sf_dir, "documents").select("doc_id"), 4, "doc_id")
-
-
 def _codebook(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "embeddings").orderBy("vec_id").limit(16).select((F.row_number().over(Window.orderBy("vec_id")) - 1).alias("code"), F.col("embedding").alias("vector"))
 
@@ -351,10 +348,12 @@ def area_pool(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(vq.area_pool(F.col("embedding"), 12), lambda x: F.round(x, 6)).alias("pooled"))
 
 
-@query("""SELECT vec_id, list_transform(range(0,100), lambda i: round(e[floor(greatest((i+0.5)*0.64-0.5,0))::INT+1] + (e[least(floor(greatest((i+0.5)*0.64-0.5,0))::INT+2,64)] - e[floor(greatest((i+0.5)*0.64-0.5,0))::INT+1]) * (greatest((i+0.5)*0.64-0.5,0)-floor(greatest((i+0.5)*0.64-0.5,0))),5)) AS up
-FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)""")
+@query("""WITH p AS (SELECT i, greatest((i+0.5::DOUBLE)*64/100-0.5::DOUBLE,0::DOUBLE) AS t FROM range(0,100) r(i)), q AS (SELECT list(floor(t)::INT ORDER BY i) AS lo, list(least(floor(t)::INT+1,63) ORDER BY i) AS hi, list(t-floor(t) ORDER BY i) AS w FROM p)
+SELECT vec_id, list_transform(range(1,101), lambda k: floor((e[lo[k]+1] + (e[hi[k]+1] - e[lo[k]+1]) * w[k])*100000+0.5::DOUBLE)/100000) AS up FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), q""")
 def linear_upsample(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(vq.linear_upsample(F.col("embedding"), 100), lambda x: F.round(x, 5)).alias("up"))
+    """Cut to five places by floor() on both sides: rounding halves differs between engines."""
+    cut = lambda x: F.floor(x * 100000 + F.lit(0.5)).cast("double") / 100000
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(vq.linear_upsample(F.col("embedding"), 100), cut).alias("up"))
 
 
 @query("SELECT vec_id, list_transform(e, lambda x: round((x-list_avg(e))/sqrt(list_var_pop(e)+1e-5),5)) AS norm FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)")
@@ -367,14 +366,47 @@ def lr_schedule(spark, sf_dir):
     return spark.range(120).select(F.col("id").alias("step"), F.round(vq.learning_rate(F.col("id"), 10, 100, 3e-4, 3e-5), 12).alias("lr"))
 
 
-@query()
-def multiscale_codes(spark, sf_dir):
-    """Codes and errors of each embedding as an 8-step latent of 8 channels; NumPy isn't for SQL, tests hold the invariants."""
-    v = table(spark, sf_dir, "embeddings")
-    first = np.array([r[0] for r in v.orderBy("vec_id").select("embedding").limit(8).collect()], float).reshape(-1, 8)
-    q = vq.Quantizer([1, 2, 4, 8], [first[:8], first[8:24], first[24:40], first[:64]], groups=2)
-    latents = v.select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("embedding", i * 8 + 1, F.lit(8))).alias("latent"))
-    return vq.encode_multiscale(latents, q, "vec_id", "latent")
+@query(f"WITH {CODES_SQL} SELECT vec_id, a.code::INT AS code, v AS vector FROM a JOIN b ON a.code = b.code")
+def code_lookup(spark, sf_dir):
+    book = _codebook(spark, sf_dir).withColumn("vector", F.col("vector").cast("array<double>"))
+    return vq.code_vectors(_assigned(spark, sf_dir).select("vec_id", "code"), book)
+
+
+def _batch_sql(first: str) -> str:
+    return f"SELECT l_returnflag, count(*)::BIGINT AS batches, round(avg(loss),9) AS loss FROM (SELECT l_returnflag, l_orderkey//64 AS k, avg(l_discount*l_discount) AS loss FROM lineitem {first} GROUP BY 1,2) GROUP BY 1"
+
+
+@query(_batch_sql(""))
+def batch_losses(spark, sf_dir):
+    """The mean over batches of 64 orders, not over rows."""
+    return vq.batch_means(table(spark, sf_dir, "lineitem"), "l_orderkey", 64, {"loss": F.col("l_discount") * F.col("l_discount")}, ["l_returnflag"]).withColumn("loss", F.round("loss", 9))
+
+
+@query(_batch_sql("WHERE l_orderkey//64 < 5"))
+def first_batch_losses(spark, sf_dir):
+    return vq.batch_means(table(spark, sf_dir, "lineitem"), "l_orderkey", 64, {"loss": F.col("l_discount") * F.col("l_discount")}, ["l_returnflag"], 5).withColumn("loss", F.round("loss", 9))
+
+
+@query("SELECT l_linestatus, count(*)::BIGINT AS n, avg(CASE WHEN (l_quantity >= 25) = (l_returnflag = 'N') THEN 1.0 ELSE 0.0 END)::DOUBLE AS accuracy FROM lineitem GROUP BY 1")
+def accuracy_by_group(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_linestatus", (F.col("l_returnflag") == "N").alias("truth"), (F.col("l_quantity") >= 25).alias("guess"))
+    return evaluation.accuracy(rows, "truth", "guess", ["l_linestatus"])
+
+
+@query("""WITH x AS (SELECT vec_id, unnest(range(0,len(embedding))) AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings), s AS (SELECT unnest(range(0,4)) AS scale),
+p AS (SELECT vec_id, dim, scale, x, x*(2*scale+1)/16 AS part FROM x, s), c AS (SELECT scale, x - sum(part) OVER (PARTITION BY vec_id, dim ORDER BY scale) AS gap FROM p)
+SELECT scale::INT AS scale, round(avg(gap*gap),9) AS mse FROM c GROUP BY 1""")
+def cumulative_errors(spark, sf_dir):
+    """Parts of 1, 3, 5 and 7 sixteenths of each component: what is left shrinks to nothing at the last scale."""
+    x = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("dim", "x"))
+    parts = x.withColumn("scale", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("part", F.col("x") * (2 * F.col("scale") + 1) / 16)
+    return vq.cumulative_errors(parts, ["vec_id", "dim"], "scale", "x", "part").withColumn("mse", F.round("mse", 9))
+
+
+@query("SELECT doc_id, (row_number() OVER (ORDER BY doc_id)-1)::BIGINT AS place, ((row_number() OVER (ORDER BY doc_id)-1)%4)::INT AS rank FROM documents")
+def rank_split(spark, sf_dir):
+    """Dealt by each row's place among all, whatever its id."""
+    return corpus.dealt(corpus.with_place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id"), 4, "place")
 
 
 @query(f"""SELECT doc_id, round(list_sum(list_transform(['A','C','G','T'], lambda b: CASE WHEN wt LIKE '%'||b||'%' THEN (30-length(replace(wt,b,'')))*ln((30-length(replace(wt,b,'')))/30.0) ELSE 0 END))/30,9) AS evo_log_likelihood FROM {DNA_SQL}""")

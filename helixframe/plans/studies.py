@@ -89,7 +89,7 @@ def firnberg(spark: SparkSession, source: str) -> DataFrame:
     cell = lambda i: F.get("cells", F.lit(i))
     rows = rows.select("row_no", F.coalesce(cell(0), F.lit("None")).alias("label"), dna.ascii_upper(cell(1)).alias("wt_codon"), dna.ascii_upper(cell(2)).alias("codon"), cell(20).alias("score"))
     first = rows.groupBy("label").agg(F.min("row_no").alias("seen"), F.min_by("wt_codon", "row_no").alias("c"), F.count_distinct("wt_codon").alias("n"))
-    first = first.select("label", "seen", _checked(F.col("n") == 1, F.col("c"), "Inconsistent WT codon at ", F.col("label")).alias("wt_codon"))
+    first = first.select("label", "seen", _checked(F.col("n") == 1, F.col("c"), "Inconsistent wild-type codons under label ", F.col("label")).alias("wt_codon"))
     first = first.withColumn("position", F.row_number().over(Window.orderBy("seen")))
     rows = rows.filter("score IS NOT NULL AND codon <> wt_codon").drop("wt_codon")
     rows = _with_one(rows.join(first.select("label", "position"), "label"), _joined(first, "position", "wt_codon"))
@@ -100,10 +100,12 @@ def firnberg(spark: SparkSession, source: str) -> DataFrame:
 
 def jacquier(spark: SparkSession, source: str) -> DataFrame:
     rows = named(load(spark, "worksheet", f"{source}/1215206110_sd01.xlsx", sheet="TEM-1 DB"), 0, ["Mutant_nt", "Residue", "Mutant_AA", "Mutation", "MIC_Score"])
+    # Column names don't tell upper from lower case: the sheet's get names that the variant table doesn't use.
+    rows = rows.select(F.col("Mutant_nt").alias("substitutions"), F.col("Residue").alias("place"), F.col("Mutant_AA").alias("expected"), "Mutation", "MIC_Score")
     rows = _with_one(rows, _first_record(spark, f"{source}/J01749.1_TEM-1_CDS.fasta"))
-    rows = rows.withColumn("mutant_nt", dna.apply_substitutions(F.col("wt_nt"), F.col("Mutant_nt")))
-    same = _residue("mutant_aa", F.col("Residue").cast("double")) == F.col("Mutant_AA")
-    return _variants(rows, "jacquier_2013", F.lit("BLAT_ECOLX_Jacquier_2013"), ECOLI, F.lit("TEM-1 beta-lactamase"), _checked(same, F.col("Mutation"), "Mutant residue mismatch for ", F.col("Mutation")), F.col("MIC_Score"))
+    rows = rows.withColumn("mutant_nt", dna.apply_substitutions(F.col("wt_nt"), F.col("substitutions")))
+    same = _residue("mutant_aa", F.col("place").cast("double")) == F.col("expected")
+    return _variants(rows, "jacquier_2013", F.lit("BLAT_ECOLX_Jacquier_2013"), ECOLI, F.lit("TEM-1 beta-lactamase"), _checked(same, F.col("Mutation"), "The mutant sequence lacks the residue named by ", F.col("Mutation")), F.col("MIC_Score"))
 
 
 def kelsic(spark: SparkSession, source: str) -> DataFrame:
@@ -175,7 +177,7 @@ def rockah_shmuel(spark: SparkSession, source: str) -> DataFrame:
     rows = _with_one(known.join(grid, "position").filter(dna.translate_dna(F.col("codon")) == F.col("new")), wt)
     at = F.col("position") + 1  # the source counts from 0
     rows = rows.withColumn("mutant_nt", dna.replace_codon(F.col("wt_nt"), at, F.col("codon")))
-    change = _checked(_residue("wt_aa", at) == F.col("wt"), F.concat("wt", at.cast("string"), "new"), "WT residue mismatch for ", F.col("Mutation"))
+    change = _checked(_residue("wt_aa", at) == F.col("wt"), F.concat("wt", at.cast("string"), "new"), "The wild type lacks the residue named by ", F.col("Mutation"))
     return _variants(rows, "rockah_shmuel_2015", F.lit("MTH3_HAEAE_RockahShmuel_2015"), "Haemophilus aegyptius", F.lit("HaeIII DNA methyltransferase"), change, F.col("score"))
 
 

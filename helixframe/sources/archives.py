@@ -87,6 +87,21 @@ def members(path: str, pattern: str) -> Iterator[tuple[int, str, io.BufferedIOBa
                         yield i, info.name, t.extractfile(info)
 
 
+class Forward(io.RawIOBase):
+    """A member's bytes as a stream that says it can't seek: members of streamed archives can't even be asked."""
+
+    def __init__(self, member):
+        self.member = member
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, b) -> int:
+        data = self.member.read(len(b))
+        b[: len(data)] = data
+        return len(data)
+
+
 class FastaTarReader(ArchiveReader):
     def read(self, partition):
         for i, name, m in members(partition.path, "*" + GENOME_SUFFIX):
@@ -111,7 +126,7 @@ class FastaTar(DataSource):
 class MemberRowsReader(ArchiveReader):
     def read(self, partition):
         for i, name, m in members(partition.path, self.options.get("member", "*")):
-            rows = csv.reader(io.TextIOWrapper(m, "utf-8", newline=""), delimiter=self.options.get("sep", ","))
+            rows = csv.reader(io.TextIOWrapper(io.BufferedReader(Forward(m)), "utf-8", newline=""), delimiter=self.options.get("sep", ","))
             for k, cells in enumerate(rows):
                 yield partition.path, name, i, k, cells
 
@@ -286,7 +301,7 @@ def taxonomy(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def chunk_shards(spark: SparkSession, folder: str, columns: list[str] | None = None) -> DataFrame:
-    """Rows of chunks-*.parquet with stored order (file_name, row_index); no shards fail."""
+    """Rows of the chunks-*.parquet that sinks.write_shards() leaves, with stored order (file_name, row_index); no shards fail."""
     df = spark.read.option("pathGlobFilter", "chunks-*.parquet").parquet(folder)
     meta = [F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.row_index").alias("row_index")]
     return df.select(*(columns or df.columns), *meta)

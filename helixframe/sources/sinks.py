@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 # The columns of the variant and prediction tables.
@@ -19,16 +19,57 @@ def _path(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def write_shards(df: DataFrame, path: str, rows_per_file: int = 100_000, order: list[str] | None = None) -> None:
-    """Zstandard Parquet files of at most rows_per_file rows, in order if one is given."""
+def shard_name(i: int) -> str:
+    return f"chunks-{i:05d}.parquet"
+
+
+def write_shards(df: DataFrame, path: str, rows_per_file: int = 100_000, order: list[str] | None = None) -> int:
+    """Zstandard Parquet files shard_name(0), ... of exactly rows_per_file rows, the last one of what is left; returns how many.
+
+    Rows are in order if one is given, else as they come. They are first written as they are sorted; their places there give
+    each row its shard, so df is worked out once and shards are written side by side. No rows: an empty folder.
+    """
+    spark, stage = df.sparkSession, f"{path}/sorted-rows"
     rows = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
-    rows.write.option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).parquet(path)
+    rows.write.option("compression", "zstd").parquet(stage)
+    stored = spark.read.schema(df.schema).parquet(stage).select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    # A row per file that Spark wrote, in the order of their names, which is that of the sorted rows.
+    start = stored.groupBy("__file").agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    place = stored.join(F.broadcast(start), "__file").withColumn("__row", F.col("start") + F.col("__row"))
+    shard = place.withColumn("__shard", F.floor(F.col("__row") / rows_per_file)).drop("__file", "start")
+    shard.repartition("__shard").sortWithinPartitions("__shard", "__row").drop("__row").write.partitionBy("__shard").option("compression", "zstd").parquet(f"{path}/by-shard")
+    done = _renamed(spark, f"{path}/by-shard", path)
+    for x in (stage, f"{path}/by-shard"):
+        p, store = _path(spark, x)
+        store.delete(p, True)
+    return done
+
+
+def _renamed(spark: SparkSession, source: str, target: str) -> int:
+    """Moves the one file of each folder __shard=k under source to target/shard_name(k)."""
+    p, store = _path(spark, source)
+    n = 0
+    for folder in store.listStatus(p):
+        name = folder.getPath().getName()
+        if name.startswith("__shard="):
+            file = next(f.getPath() for f in store.listStatus(folder.getPath()) if f.getPath().getName().endswith(".parquet"))
+            store.rename(file, _path(spark, f"{target}/{shard_name(int(name[8:]))}")[0])
+            n += 1
+    return n
 
 
 def write_splits(df: DataFrame, path: str, splits: tuple[str, ...], rows_per_file: int = 10_000) -> None:
-    """A folder for each split, empty ones too; split itself isn't stored."""
+    """A folder for each split, empty ones too, of files of at most rows_per_file rows; split itself isn't stored. df is worked out once."""
+    spark, stage = df.sparkSession, f"{path}/by-split"
+    df.filter(F.col("split").isin(*splits)).repartition("split", F.pmod(F.xxhash64(*[c for c in df.columns if c != "split"]), F.lit(64))).write.partitionBy("split").option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).parquet(stage)
+    root, store = _path(spark, stage)
     for s in splits:
-        write_shards(df.filter(F.col("split") == s).drop("split"), f"{path}/{s}", rows_per_file)
+        made, _ = _path(spark, f"{stage}/split={s}")
+        if store.exists(made):
+            store.rename(made, _path(spark, f"{path}/{s}")[0])
+        else:
+            df.drop("split").limit(0).write.option("compression", "zstd").parquet(f"{path}/{s}")
+    store.delete(root, True)
 
 
 def write_manifest(df: DataFrame, path: str, key: str = "gtdb_accession") -> None:
@@ -63,10 +104,23 @@ def write_csv(df: DataFrame, path: str, columns: list[str]) -> int:
 
 
 def write_by_assay(df: DataFrame, path: str, columns: list[str]) -> dict[str, int]:
-    """A CSV table for each assay under path (assay=...), and the rows of each."""
+    """A CSV table for each assay under path (assay=...), and the rows of each, counted in what was written."""
     rows = df.withColumn("assay", F.translate("assay_id", ":", "-")).select("assay", *[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns])
     rows.write.partitionBy("assay").option("header", True).option("emptyValue", "").csv(path, mode="overwrite")
-    return {r[0]: r[1] for r in df.groupBy("assay_id").count().collect()}
+    done = df.sparkSession.read.schema(", ".join(f"`{c}` string" for c in [*columns, "assay"])).option("header", True).csv(path)
+    return {r[0]: r[1] for r in done.groupBy("assay_id").count().collect()}
+
+
+def write_state(df: DataFrame, path: str, step: int) -> None:
+    """A codebook's state after a step, as a table of its own that appears in one piece."""
+    publish(df.sparkSession, f"{path}/step-{step:09d}", lambda at: df.write.mode("overwrite").parquet(at))
+
+
+def read_state(spark: SparkSession, path: str) -> tuple[int, DataFrame]:
+    """The last step written and its state."""
+    p, store = _path(spark, path)
+    last = max(f.getPath().getName() for f in store.listStatus(p) if f.getPath().getName().startswith("step-"))
+    return int(last[5:]), spark.read.parquet(f"{path}/{last}")
 
 
 def publish(spark: SparkSession, path: str, write) -> None:

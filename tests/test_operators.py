@@ -79,7 +79,8 @@ def test_samples_are_nested(spark):
 
 
 L = 32
-GENOMES = [("RS_GCF_000001.1", "Escherichia", 4), ("RS_GCF_000002.1", "Escherichia_A", 3), ("RS_GCF_000003.1", "Klebsiella", 1), ("RS_GCF_000004.1", "Pseudomonas", 4), ("RS_GCF_000005.1", "Bacillus", 5), ("RS_GCF_000006.1", "Streptomyces", 6), ("RS_GCF_000007.1", "Vibrio", 7), ("RS_GCF_000008.1", "Sulfolobus", 8), ("RS_GCF_000009.1", "Tinygenus", 0)]
+#: Accession, genus and full chunks: two genera of the held-out kind, six others, one genome too small for a chunk.
+GENOMES = [(f"GB_GCA_9{i:05d}.2", g, n) for i, (g, n) in enumerate([("Escherichia", 5), ("Escherichia_C", 2), ("Alphagenus", 2), ("Betagenus", 9), ("Gammagenus", 3), ("Deltagenus", 7), ("Omegagenus", 6), ("Kappagenus", 4), ("Smallgenus", 0)])]
 
 
 @pytest.fixture(scope="module")
@@ -113,7 +114,7 @@ def test_subset(spark, stored, tmp_path, exact):
     m = spark.read.parquet(str(tmp_path / "a" / "genome_manifest.parquet")).toPandas()
     assert list(m.gtdb_accession) == sorted(a for a, _, _ in GENOMES)
     assert m.split.value_counts().to_dict() == {"train": 4, "validation": 2, "escherichia_holdout": 2}
-    assert m[m.genus == "Tinygenus"].split.isna().all()
+    assert m[m.genus == "Smallgenus"].split.isna().all()
     got = {s: spark.read.parquet(str(tmp_path / "a" / s)).toPandas() for s in sampling.SPLITS}
     assert {s: len(x) for s, x in got.items()} == {"train": 8, "validation": 4, "escherichia_holdout": 4}
     for s, x in got.items():
@@ -121,7 +122,7 @@ def test_subset(spark, stored, tmp_path, exact):
         assert x.groupby("gtdb_accession").size().to_dict() == {a: n for a, n in zip(m[m.split == s].gtdb_accession, m[m.split == s].selected_chunks) if n}
     stats = json.loads((tmp_path / "a" / "subset_stats.json").read_text())
     assert stats["splits"]["train"] == {"genomes": 4, "chunks": 8, "bases": 8 * L} and stats["genomes_without_full_chunks"] == 1
-    assert stats["selection"]["holdout_genera"] == ["Escherichia", "Escherichia_A"]
+    assert stats["selection"]["holdout_genera"] == ["Escherichia", "Escherichia_C"]
     spark.conf.set("spark.sql.shuffle.partitions", "7")
     build(spark, stored, tmp_path / "b", exact=exact)
     spark.conf.set("spark.sql.shuffle.partitions", "4")
@@ -133,10 +134,10 @@ def test_subset(spark, stored, tmp_path, exact):
 
 
 def test_subset_fails_before_it_writes(spark, stored, tmp_path):
-    tax = archives.taxonomy(spark, [str(stored / "bac.tsv.gz")]).filter("genus <> 'Vibrio'")
-    with pytest.raises(ValueError, match="000007"):
+    tax = archives.taxonomy(spark, [str(stored / "bac.tsv.gz")]).filter("genus <> 'Omegagenus'")
+    with pytest.raises(ValueError, match="900006"):
         builds.build_subset(spark, archives.chunk_shards(spark, str(stored)), tax, str(tmp_path / "x"), 8 * L, 0.25, length=L)
-    with pytest.raises(ValueError, match="requests"):
+    with pytest.raises(ValueError, match="contain only .* full chunks"):
         build(spark, stored, tmp_path / "x", train_bases=1000 * L)
     with pytest.raises(ValueError):
         build(spark, stored, tmp_path / "x", fraction=0.0)
@@ -174,25 +175,71 @@ def test_evaluation_resumes(spark, tmp_path):
     import json
 
     meta = json.loads((tmp_path / "out" / "run_metadata.json").read_text())
+    assert meta["versions"]["spark"] == spark.version
     assert meta["input_rows"] == meta["prediction_rows"] == 20 and meta["input_files"][0]["stop_variants"] == 1
 
 
-def test_quantizer_invariants(spark):
-    r = np.random.default_rng(0)
-    q = vq.Quantizer([1, 2, 4], [r.normal(size=(8, 8)) for _ in range(3)], [(r.normal(size=(8, 8, 3)) * 0.1, np.zeros(8)) for _ in range(3)], groups=2)
-    x = r.normal(size=(5, 4, 8))
-    codes, latents = q.encode(x)
-    again = q.decode(codes)
-    assert [c.shape for c in codes] == [(5, 1), (5, 2), (5, 4)] and all(np.allclose(a, b) for a, b in zip(latents, again))
-    df = spark.createDataFrame([(i, x[i].tolist()) for i in range(5)], "id int, latent array<array<double>>")
-    got = vq.encode_multiscale(df, q, "id", "latent").orderBy("id")
-    assert [[list(s) for s in r.codes] for r in got.collect()] == [[c[i].tolist() for c in codes] for i in range(5)]
-    back = vq.decode_multiscale(got, q, "id").filter("scale = 2").orderBy("id").collect()
-    assert np.allclose([b.latent for b in back], latents[-1])
-    assert vq.cascade_strides(64) == [4, 4, 4] and vq.cascade_strides(6) == [3, 2] and vq.cascade_strides(7) == [7] and vq.cascade_strides(1) == [1]
-    for bad in (lambda: vq.Quantizer([1, 2], [x[0]]), lambda: vq.Quantizer([1], [x[0]], [(np.zeros((8, 8, 2)), np.zeros(8))]), lambda: vq.Quantizer([1], [x[0]], groups=3)):
-        with pytest.raises(ValueError):
-            bad()
+def test_code_vectors_and_errors(spark):
+    book = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 4.0])], "code int, vector array<double>")
+    got = vq.code_vectors(spark.createDataFrame([(7, 1), (8, 0)], "id int, code int"), book).orderBy("id").collect()
+    assert [r.vector for r in got] == [[3.0, 4.0], [1.0, 2.0]]
+    with pytest.raises(Exception, match="no such code: 5"):
+        vq.code_vectors(spark.createDataFrame([(7, 5)], "id int, code int"), book).collect()
+    parts = spark.createDataFrame([(0, s, 8.0, p) for s, p in enumerate((4.0, 2.0, 2.0))], "id int, scale int, t double, p double")
+    assert [r.mse for r in vq.cumulative_errors(parts, ["id"], "scale", "t", "p").orderBy("scale").collect()] == [16.0, 4.0, 0.0]
+    rows = spark.createDataFrame([(i, float(i)) for i in range(5)], "i long, x double")
+    assert tuple(vq.batch_means(rows, "i", 2, {"x": F.col("x")}).first()) == (3, (0.5 + 2.5 + 4) / 3)
+    assert tuple(vq.batch_means(rows, "i", 2, {"x": F.col("x")}, first=2).first()) == (2, 1.5)
+    acc = evaluation.accuracy(spark.createDataFrame([(1, 1), (1, 0), (0, None), (None, 1)], "t int, g int"), "t", "g").first()
+    assert acc.n == 3 and math.isclose(acc.accuracy, 1 / 3)
+
+
+def test_large_codebooks_are_multiplied(spark, monkeypatch):
+    r = np.random.default_rng(2)
+    x, book = r.normal(size=(30, 8)), r.normal(size=(12, 8))
+    v = spark.createDataFrame([(i, a.tolist()) for i, a in enumerate(x)], "id int, v array<double>")
+    b = spark.createDataFrame([(10 * i, a.tolist()) for i, a in enumerate(book)], "code int, vector array<double>")
+    small = vq.nearest_code(v, b, "id", "v").orderBy("id").collect()
+    monkeypatch.setattr(vq, "MOST_LITERALS", 4)
+    large = vq.nearest_code(v, b, "id", "v").orderBy("id").collect()
+    assert [(r.id, r.code) for r in large] == [(r.id, r.code) for r in small] and np.allclose([r.distance for r in large], [r.distance for r in small])
+
+
+def test_training_batches_and_places(spark):
+    rows = spark.createDataFrame([("ACGTACGTAC",), ("ACGT" * 9,), ("TTTT",), ("GG",)], "sequence string")
+    got = [corpus.training_batches(rows, 4, 2, 17, 2, k).collect() for k in (0, 1)]
+    flat = ["".join("ACGT"[t] for t in w) for part in got for b in part for w in b.input_ids]
+    assert all(len(b.input_ids) == 2 for part in got for b in part) and set(flat) <= {"ACGT", "TTTT"} and 10 <= len(flat) <= 12
+    again = [corpus.training_batches(rows.repartition(3), 4, 2, 17, 2, k).collect() for k in (0, 1)]
+    assert sorted(map(str, got[0] + got[1])) == sorted(map(str, again[0] + again[1]))
+    b = spark.createDataFrame([(i, [[0]]) for i in range(4)], "batch_no long, input_ids array<array<long>>")
+    assert [r.batch_no for r in corpus.first_batches(b, 2).orderBy("batch_no").collect()] == [0, 1]
+    x = spark.createDataFrame([(v,) for v in (5, None, 3, 3, 90)], "v long")
+    assert [(r.v, r.place) for r in corpus.with_place(x, "v").orderBy("place").collect()] == [(3, 0), (3, 1), (5, 2), (90, 3), (None, 4)]
+
+
+def test_replicates_must_both_be_there(spark):
+    one, two = (spark.createDataFrame(r, "k string, v double") for r in ([("a", 1.0), ("b", 2.0)], [("a", 3.0), ("b", 6.0)]))
+    assert [tuple(r) for r in corpus.replicate_mean(one, two, "k", "v").orderBy("k").collect()] == [("a", 2.0), ("b", 4.0)]
+    for x, y in ((one, two.limit(1)), (one.limit(1), two)):
+        with pytest.raises(Exception, match="a replicate lacks"):
+            corpus.replicate_mean(x, y, "k", "v").collect()
+
+
+def test_late_events_are_left_out(spark, tmp_path):
+    src, at = tmp_path / "src", "t timestamp, k string"
+    out, cp = str(tmp_path / "out"), str(tmp_path / "cp")
+
+    def send(*rows):
+        spark.createDataFrame(rows, "t string, k string").select(F.to_timestamp("t").alias("t"), "k").coalesce(1).write.mode("append").parquet(str(src))
+        df = streaming.windowed_counts(spark.readStream.schema(at).parquet(str(src)), "t", "k")
+        streaming.append_to(df, out, cp).awaitTermination()
+
+    send(("2026-01-01 00:10:00", "a"), ("2026-01-01 00:20:00", "a"), ("2026-01-01 02:30:00", "b"))
+    send(("2026-01-01 00:30:00", "a"), ("2026-01-01 05:00:00", "c"))  # the first is later than the watermark
+    send(("2026-01-01 09:00:00", "c"))
+    got = {(str(r.window_start), r.k, r.n) for r in spark.read.parquet(out).collect()}
+    assert {("2026-01-01 00:00:00", "a", 2), ("2026-01-01 02:00:00", "b", 1)} <= got and not any(k == "a" and n > 2 for _, k, n in got)
 
 
 def test_codes(spark):
@@ -285,3 +332,26 @@ def test_dna_queries_read_whole_texts(spark, tmp_path):
     for name in ("dna_translate_text", "revcomp_text", "window_split_text", "tokenize_text", "model_scores_text"):
         rows = lambda x: sorted(map(str, (tuple(y) for y in x)))
         assert rows(db.execute(ORACLE[name]).fetchall()) == rows(QUERIES[name](spark, str(tmp_path)).collect()), name
+
+
+def test_equal_rows_are_each_scored(spark, tmp_path):
+    """Rows that were added since, equal ones too, are the only ones that a second run scores."""
+    row = ("s1", "a", "ACGT", "MA", "c.=", "1.5", "1")
+    (tmp_path / "in").mkdir()
+
+    def run(rows):
+        pd.DataFrame(rows, columns=["study_id", "assay_id", "mutant_nt", "mutant_aa", "nt_edit", "experimental_score", "directionality"]).to_csv(tmp_path / "in" / "x.csv", index=False)
+        return builds.evaluate(spark, str(tmp_path / "in"), str(tmp_path / "out"), evaluation.base_frequency_scorer, reported={"s1": 0.1}).filter("study_id = 's1'").first().num_variants
+
+    assert run([row, row]) == 2 and run([row, row, row]) == 3
+    assert spark.read.parquet(str(tmp_path / "out" / "predictions")).count() == 3
+
+
+def test_evaluate_on_the_command_line(spark, tmp_path, monkeypatch):
+    import helixframe.__main__ as cli
+
+    (tmp_path / "in").mkdir()
+    names = ["study_id", "assay_id", "mutant_nt", "mutant_aa", "nt_edit", "experimental_score", "directionality"]
+    pd.DataFrame([("weeks_2023", "a", "ACGT"[: i + 1], "M", "c.=", str(i), "1") for i in range(4)], columns=names).to_csv(tmp_path / "in" / "x.csv", index=False)
+    cli.main(["evaluate", str(tmp_path / "in"), "--output", str(tmp_path / "out"), "--scorer", "helixframe.operators.evaluation:base_frequency_scorer"])
+    assert '"weeks_2023"' not in (tmp_path / "out" / "run_metadata.json").read_text() and "base_frequency_scorer" in (tmp_path / "out" / "run_metadata.json").read_text()

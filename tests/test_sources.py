@@ -32,7 +32,7 @@ def test_corpus_build(spark, tmp_path):
     tar(tmp_path / "g.tar.gz", {"readme.txt": b"x", **g})
     stats = builds.build_corpus(spark, [str(tmp_path / "g.tar.gz")], str(tmp_path / "out"), length=3)
     assert (stats["genomes_processed"], stats["fasta_records_processed"], stats["input_bases"], stats["retained_bases"]) == (3, 6, 15 + 24 + 9, 12 + 24)
-    rows = spark.read.parquet(str(tmp_path / "out" / "chunks")).orderBy("chunk_id").collect()
+    rows = archives.chunk_shards(spark, str(tmp_path / "out")).orderBy("chunk_id").collect()
     assert len(rows) == stats["chunks"] and rows[0].chunk_id.startswith("GB_GCA_000002.1|r1|") and {r.gtdb_accession[:3] for r in rows} == {"RS_", "GB_"}
     assert json.loads((tmp_path / "out" / "processing_stats.json").read_text()) == stats
     few = archives.first_genomes(archives.load(spark, "fasta_tar", str(tmp_path / "g.tar.gz")), 2)
@@ -184,3 +184,48 @@ def test_csv_counts_rows(spark, tmp_path):
     df = spark.range(5).select(F.lit("p").alias("panel"), F.col("id").cast("string").alias("study_id"))
     assert sinks.write_csv(df, str(tmp_path / "o"), sinks.NCRNA_COLUMNS) == 5
     assert spark.read.option("header", True).csv(str(tmp_path / "o")).columns == sinks.NCRNA_COLUMNS
+
+
+def test_shards_hold_exactly_so_many_rows(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    df = spark.range(0, 1003, 1, 7).select((F.lit(5000) - F.col("id")).alias("k"), F.lit("x").alias("t"))
+    assert sinks.write_shards(df, str(tmp_path / "s"), 100, ["k"]) == 11
+    files = sorted(p for p in (tmp_path / "s").iterdir() if p.suffix == ".parquet")
+    assert [p.name for p in files] == [f"chunks-{i:05d}.parquet" for i in range(11)]
+    tables = [pq.read_table(p) for p in files]
+    assert [t.num_rows for t in tables] == [100] * 10 + [3] and tables[0].column_names == ["k", "t"]
+    assert [k for t in tables for k in t.column("k").to_pylist()] == sorted(5000 - i for i in range(1003))
+    assert sinks.write_shards(df.limit(0), str(tmp_path / "e"), 100, ["k"]) == 0 and not list((tmp_path / "e").glob("*.parquet"))
+    sinks.write_splits(df.withColumn("split", F.when(F.col("k") % 2 == 0, F.lit("train")).otherwise(F.lit("other"))), str(tmp_path / "p"), ("train", "validation"), 5)
+    assert spark.read.parquet(str(tmp_path / "p" / "train")).count() == 502 and spark.read.parquet(str(tmp_path / "p" / "validation")).columns == ["k", "t"]
+    assert max(pq.read_metadata(p).num_rows for p in (tmp_path / "p" / "train").glob("*.parquet")) <= 5 and sorted(p.name for p in (tmp_path / "p").iterdir() if p.is_dir()) == ["train", "validation"]
+
+
+def test_a_corpus_feeds_a_subset(spark, tmp_path):
+    """From archives to a subset, through the shards that the first build leaves."""
+    import random
+
+    r = random.Random(2)
+    genomes = {f"GCA_70000{i}.1": "".join(r.choice("ACGT") for _ in range(32 * n + 5)) for i, n in enumerate((4, 5, 6, 3))}
+    tar(tmp_path / "g.tar.gz", {f"d/{a}_genomic.fna.gz": gzip.compress(f">r1 x\n{s}\n".encode()) for a, s in genomes.items()})
+    builds.build_corpus(spark, [str(tmp_path / "g.tar.gz")], str(tmp_path / "out"), length=32, rows_per_file=7)
+    names = sorted(p.name for p in (tmp_path / "out").glob("chunks-*.parquet"))
+    assert names == [f"chunks-{i:05d}.parquet" for i in range(4)]
+    stored = archives.chunk_shards(spark, str(tmp_path / "out"))
+    assert {x.n for x in stored.groupBy("file_name").agg(F.count("*").alias("n")).collect()} == {7, 1}
+    (tmp_path / "t.tsv").write_text("".join(f"GB_{a}\td__B;p__P;c__C;o__O;f__F;g__{'Escherichia' if i == 0 else 'G'};s__S\n" for i, a in enumerate(genomes)))
+    manifest = builds.build_subset(spark, stored, archives.taxonomy(spark, [str(tmp_path / "t.tsv")]), str(tmp_path / "sub"), 4 * 32, 0.34, length=32)
+    assert manifest.count() == 4
+    train = archives.training_sequences(spark, str(tmp_path / "sub"), "train").collect()
+    assert len(train) == 4 and all(any(x.sequence in s for s in genomes.values()) for x in train)
+
+
+def test_state_and_metrics(spark, tmp_path):
+    for step in (5, 12):
+        sinks.write_state(spark.createDataFrame([(0, 0, float(step))], "code int, dim int, ema_count double"), str(tmp_path / "s"), step)
+    step, state = sinks.read_state(spark, str(tmp_path / "s"))
+    assert step == 12 and state.first().ema_count == 12.0
+    for step in (1, 2):
+        sinks.append_metrics(spark, str(tmp_path / "m"), step, loss=1 / step)
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "m")).collect())) == [(1, "loss", 1.0), (2, "loss", 0.5)]
