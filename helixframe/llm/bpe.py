@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -74,17 +75,22 @@ class Memory:
     def __init__(self, most: int):
         self.most, self.size, self.new, self.old = most, 0, {}, {}
 
-    def get(self, key: bytes):
-        value = self.new.get(key)
-        if value is None and (value := self.old.get(key)) is not None:
-            self.put(key, value)
-        return value
+    def known(self, wanted: set[bytes]) -> dict[bytes, bytes]:
+        """What it holds of the wanted keys."""
+        new, old = self.new, self.old
+        out = {p: new[p] for p in wanted & new.keys()}
+        if again := {p: old[p] for p in (wanted - out.keys()) & old.keys()}:
+            self.add(again)
+            out.update(again)
+        return out
 
-    def put(self, key: bytes, value) -> None:
-        self.size += self.ENTRY + len(key) + (len(value) if isinstance(value, bytes) else sum(map(len, value)) + 60 * len(value))
-        if self.size > self.most:
+    def add(self, entries: dict) -> None:
+        size = self.ENTRY * len(entries) + sum(map(len, entries))
+        size += sum(map(len, entries.values())) if isinstance(next(iter(entries.values()), b""), bytes) else sum(60 * len(v) + sum(map(len, v)) for v in entries.values())
+        if self.size + size > self.most and self.new:
             self.size, self.new, self.old = 0, {}, self.new
-        self.new[key] = value
+        self.size += size
+        self.new.update(entries)
 
 
 def spaced(data: bytes) -> bytes:
@@ -144,16 +150,11 @@ class Coder:
 
     def look_up(self, wanted: set[bytes]) -> dict[bytes, bytes]:
         """Ids of all wanted pieces, from the memory or encoded now; long ones and those of several words aren't kept."""
-        out, new, get = {}, [], self.pieces.get
-        for p in wanted:
-            if (ids := get(p)) is None:
-                new.append(p)
-            else:
-                out[p] = ids
-        for p, ids in self.learn(new):
-            out[p] = ids
-            if len(p) <= LONG_PIECE and b" " not in p:
-                self.pieces.put(p, ids)
+        out = self.pieces.known(wanted)
+        got = dict(self.learn(list(wanted - out.keys())))
+        for some in batched(((p, ids) for p, ids in got.items() if len(p) <= LONG_PIECE and b" " not in p), 5000):
+            self.pieces.add(dict(some))
+        out.update(got)
         return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -164,11 +165,12 @@ class Coder:
         datas = [spaced(t.encode()) for t in texts]
         for data in datas:
             plan: list = []  # chunks as tuples, joins between them as bytes
-            pending, start = b"", 0
-            for end in cuts(data):
-                c = data[start:end]
-                start = end
-                known = self.chunks.get(c) or fresh.get(c)
+            pending = b""
+            ends = cuts(data)
+            chunks = [data[i:j] for i, j in zip([0, *ends], ends)]
+            held = self.chunks.known(set(chunks))
+            for c in chunks:
+                known = held.get(c) or fresh.get(c)
                 if known is None:
                     head, *inner = c.split(b" ")
                     tail = inner.pop() if inner else None
@@ -183,10 +185,10 @@ class Coder:
                 pending = known[-1]
             plan.append(pending)
             plans.append(plan)
-        ends = lambda k: (k[1][0], k[1][-1]) if len(k) == 3 and k[1] else k[2:4] if len(k) > 3 else (b"", b"")
+        sides = lambda k: (k[1][0], k[1][-1]) if len(k) == 3 and k[1] else k[2:4] if len(k) > 3 else (b"", b"")
         windows = []  # of each text: a join's place, what stands left of it and right of it
         for plan in plans:
-            around = [(ends(plan[i - 1])[1] if i else b"", plan[i], ends(plan[i + 1])[0] if i + 1 < len(plan) else b"") for i in range(0, len(plan), 2)]
+            around = [(sides(plan[i - 1])[1] if i else b"", plan[i], sides(plan[i + 1])[0] if i + 1 < len(plan) else b"") for i in range(0, len(plan), 2)]
             windows.append([w for w in around if w[1]])
             for w in windows[-1]:
                 wanted.update(p for p in w if p)
@@ -197,7 +199,7 @@ class Coder:
             head, inner, tail = known
             made[id(known)] = middle = b"".join([ids[p] for p in inner])
             if tail is not None and len(c) <= LONG_CHUNK:
-                self.chunks.put(c, (head, middle, *((inner[0], inner[-1]) if inner else (b"", b"")), tail))
+                self.chunks.add({c: (head, middle, *((inner[0], inner[-1]) if inner else (b"", b"")), tail)})
         out = []
         for data, plan, joins in zip(datas, plans, windows):
             if all(ids[b" ".join(p for p in w if p)] == b"".join([ids[p] for p in w if p]) for w in joins):

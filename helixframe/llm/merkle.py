@@ -13,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.functions.ranges import place
+
 PHRASE = 48
 #: Hexadecimal digits kept of a phrase's hash; roots keep all.
 SHORT = 12
@@ -110,7 +112,7 @@ def in_ranges(rows: DataFrame) -> DataFrame:
     if not bounds:
         return rows.withColumn("coarse", F.lit(0)).withColumn("fine", F.lit(0).cast("long"))
     known, steps = F.array(*[F.lit(b).cast("long") for b in bounds]), -(-count // (n * RANGE_ROWS))
-    rows = rows.withColumn("coarse", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(_place(bounds, F.col("doc_id"))))
+    rows = rows.withColumn("coarse", F.coalesce(place(bounds, F.col("doc_id")), F.lit(-1)))
     if steps == 1:
         return rows.withColumn("fine", F.lit(0).cast("long"))
     lo, hi = (F.get(known, F.col("coarse") - i).cast("double") for i in (1, 0))
@@ -118,14 +120,6 @@ def in_ranges(rows: DataFrame) -> DataFrame:
     return rows.withColumn("fine", F.coalesce(F.least(F.greatest(step, F.lit(0)), F.lit(steps - 1)), F.lit(0)).cast("long"))
 
 
-def _place(bounds: list[int], x: Column) -> Column:
-    """How many of the sorted bounds are x or less, by halving."""
-    if len(bounds) <= 2:
-        return sum((F.when(x >= b, 1).otherwise(0) for b in bounds), F.lit(0))
-    mid = len(bounds) // 2
-    return F.when(x >= bounds[mid], _place(bounds[mid + 1 :], x) + (mid + 1)).otherwise(_place(bounds[:mid], x))
-
-
 def with_next(rows: DataFrame, make: Callable[[DataFrame], DataFrame], made: list[str]) -> DataFrame:
     """rows (doc_id, text) with the columns made, which make() adds, and next: a struct of text and those of the next row by doc_id, then
     text; after the last comes the first.
