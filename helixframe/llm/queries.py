@@ -56,6 +56,28 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
 
 
+# What SQL can say of four results: the same operators with the same parameters, fewer columns.
+
+
+def base_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether fingerprints are equal just where the texts are stands in the last two columns."""
+    out = op4_fingerprints(spark, sf_dir)
+    return out.select("doc_id", "n_chars", "edited_sha256", (F.col("near_edited") == 1).alias("same_edited"), (F.col("near_next") == 1).alias("same_next"))
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The excess of taken words over twice the size is 0 everywhere; each source's taken words are a row's distance from its target at most."""
+    return op6_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), F.greatest(F.col("taken") - 2 * F.col("size"), F.lit(0)).cast("long").alias("excess"))
+
+
+def base_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
 QUERIES: dict[str, Query] = {
     "op1_secrets": op1_secrets,
     "op2_html": op2_html,
@@ -67,8 +89,29 @@ QUERIES: dict[str, Query] = {
     "op8_licenses": op8_licenses,
     "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
+    "base_secrets": base_secrets,
+    "edited_texts": edited_texts,
+    "mix_targets": mix_targets,
+    "base_licenses": base_licenses,
 }
 
+_ASSIGN = r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"'']?\x20*[:=]\x20*[\"'']?)([A-Za-z0-9+/_.=-]+)"""
+
+
+def _spans_sql(kind: str, no: int, pattern: str, part: int, least: int) -> str:
+    """Spans of one kind: starts add up what stands between matches and the matches before."""
+    return f"""(SELECT doc_id, {no} AS no, '{kind}' AS kind, unnest(list_filter(list_transform(range(1, len(m)+1), lambda i: {{'s': (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0))::BIGINT,
+'n': length(m[i]), 'p': length(p[i])}}), lambda x: x.p >= {least})) AS x FROM (SELECT doc_id, string_split_regex(t, '{pattern}') AS g, regexp_extract_all(t, '{pattern}', 0) AS m, regexp_extract_all(t, '{pattern}', {part}) AS p FROM d WHERE regexp_matches(t, '{pattern}')))"""
+
+
+_WORD_SQL = "regexp_extract_all(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_PHRASE_SQL = "list_transform(list_filter(range(1, len(w)+1), lambda i: {tests}), lambda i: {{'i': i-1, 'l': '{label}'}})"
+
+
+def _phrase_sql(phrase: str, label: str) -> str:
+    return _PHRASE_SQL.format(tests=" AND ".join(f"w[i+{k}] = '{x}'" for k, x in enumerate(phrase.split())), label=label)
+
+
 #: Queries that SQL expresses in full. The others add spans, labels, fingerprints, samples, models or token ids that it
 #: can't; tests hold those against brute force, round trips or held-out labels.
 ORACLE: dict[str, str] = {
@@ -81,4 +124,17 @@ SELECT query_id, n::INT AS rank, vec_id, score FROM r WHERE n <= 5""",
 f AS (SELECT d, min(page_id) AS m FROM p WHERE n >= 100 GROUP BY d)
 SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN m IS NOT NULL AND page_id IS DISTINCT FROM m THEN 'revisit' ELSE 'response' END AS record_type,
 CASE WHEN m IS NOT NULL AND page_id IS DISTINCT FROM m THEN m END AS refers_to, TRUE AS digest_ok, url FROM p LEFT JOIN f USING (d)""",
+    "base_secrets": f"""WITH d AS (SELECT doc_id, coalesce(text,'') AS t FROM documents), s AS ({_spans_sql("assign", 0, _ASSIGN, 2, 8)} UNION ALL {_spans_sql("access", 1, "AKIA[A-Z0-9]+", 0, 16)} UNION ALL {_spans_sql("hex", 2, "[0-9a-f]+", 0, 32)})
+SELECT d.doc_id, count(*) FILTER (no=0)::BIGINT AS n_assign, count(*) FILTER (no=1)::BIGINT AS n_access, count(*) FILTER (no=2)::BIGINT AS n_hex, sha256(coalesce(string_agg(kind||':'||x.s||':'||(x.s+x.n), ',' ORDER BY x.s, no), '')) AS base_sha256 FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id""",
+    "edited_texts": """WITH d AS (SELECT doc_id, coalesce(text,'') AS t, length(coalesce(text,''))::BIGINT AS n FROM documents), o AS (SELECT *, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS x FROM d), e AS (SELECT *, left(t, n-n//4)||left(x, n//4) AS y FROM o)
+SELECT doc_id, n AS n_chars, sha256(y) AS edited_sha256, y = t AS same_edited, x = t AS same_next FROM e""",
+    "mix_targets": """WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text,''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::DOUBLE AS z, [3.0,1.0,2.0][((row_number() OVER (ORDER BY source NULLS LAST)-1)%3+1)::INT]::DOUBLE AS w FROM d GROUP BY 1),
+r AS (SELECT 0 AS k, source, z, w, false AS full_, 1.5*sum(z) OVER ()/sum(w) OVER () AS level FROM s
+UNION ALL SELECT k+1, source, z, w, f, CASE WHEN sum(CASE WHEN f THEN 0 ELSE w END) OVER () > 0 THEN (1.5*sum(z) OVER () - sum(CASE WHEN f THEN 2*z ELSE 0 END) OVER ())/sum(CASE WHEN f THEN 0 ELSE w END) OVER () ELSE 0 END
+FROM (SELECT *, full_ OR level*w > 2*z AS f FROM r WHERE k < 12)),
+g AS (SELECT source, z::BIGINT AS source_size, round(CASE WHEN full_ THEN 2*z ELSE level*w END, 6) AS target FROM r WHERE k = 12)
+SELECT doc_id, size, source_size, target, 0::BIGINT AS excess FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source""",
+    "base_licenses": f"""WITH d AS (SELECT doc_id, {_WORD_SQL} AS w FROM documents), h AS (SELECT doc_id, len(w)::BIGINT AS n, {" || ".join(_phrase_sql(p, label) for p, label in licenses.BASE.items())} AS h FROM d)
+SELECT doc_id, n AS n_words, len(h)::BIGINT AS n_base, list_min(list_transform(h, lambda x: x.i))::BIGINT AS first_word, list_max(list_transform(h, lambda x: x.i))::BIGINT AS last_word, array_to_string(list_sort(list_distinct(list_transform(h, lambda x: x.l))), ',') AS base_labels FROM h""",
 }
