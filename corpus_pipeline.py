@@ -20,30 +20,30 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a model fitted on this folder's labels doesn't grade as toxic."""
+    """Documents that a model fitted on this folder's labels doesn't grade as toxic. Null and empty texts stay, repeated rows go or stay together."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).filter("NOT toxic").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, that with the smallest doc_id."""
+    """One document of each near-duplicate group, that with the smallest doc_id. Null ids stay; of repeated rows one stays, of a doc_id's different texts each."""
     return minhash.one_of_each(docs, SHINGLE, PERCENT)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with a mark in place of each secret; n_chars follows the text."""
+    """All documents, with a mark in place of each secret; n_chars follows the text. A null text becomes an empty one."""
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
     found = secrets.secret_spans(docs, keep=others)
     return secrets.redacted(found).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them: whole, at most twice. Null ids and sources take part; rows without words go with their source's whole epochs."""
     return mixing.mixed_docs(docs, table(spark, sf_dir, "labels"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, ids of each row."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, ids of each row; null and empty texts have no tokens."""
     return bpe.encode(docs, TOKENIZER)
 
 
