@@ -20,6 +20,8 @@ and CHUNK_BYTES (twice that at most), and long texts are encoded in parts, so a
 from __future__ import annotations
 
 import hashlib
+import json
+import os
 import re
 from collections.abc import Iterable, Iterator
 from itertools import batched
@@ -41,6 +43,8 @@ PIECE_BYTES, CHUNK_BYTES, LONG_PIECE, LONG_CHUNK = 24 << 20, 8 << 20, 64, 4096
 PART, LEARN_BYTES = 1 << 18, 1 << 16
 
 _BREAK = re.compile("[ \n]")
+#: Letters from A to ÿ in UTF-8: they stay one word each, whatever is normalised.
+_WORD = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _TABLE = np.array([int.from_bytes(hashlib.blake2b(bytes([i]), digest_size=8).digest(), "little") for i in range(256)], np.uint64)
@@ -114,11 +118,21 @@ class Coder:
     """A tokenizer with memories of pieces and chunks; ids are kept packed, as bytes of int32."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a worker per core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.pieces, self.chunks = Memory(PIECE_BYTES), Memory(CHUNK_BYTES)
         self.widened = 0
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        size = max(vocab.values()) + 1
+        self.listed = np.array([b"%d " % i for i in range(size)])  # what an id adds to the list of ids
+        self.listed = self.listed.view(np.uint8).reshape(size, -1)
+        self.ends_word = np.zeros(size, bool)
+        self.suffixed = bool(suffix)
+        if suffix:
+            self.ends_word[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
         if self.tokenizer.decoder is not None or not self.agrees():
             raise ValueError("chunk reuse needs a tokenizer whose words end at blanks and that decodes by joining tokens with blanks")
 
@@ -131,7 +145,34 @@ class Coder:
         return all(of(f"{a}{s}{b}") == one[a] + one[b] == of(spaced(f"{a}{s}{b}".encode()).decode()) for a, b, s in pairs)
 
     def learn(self, new: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        """Each piece and its ids. Many are encoded at once: they are joined by breaks, and offsets tell whose a token is."""
+        """Each piece and its ids. Many are encoded at once, joined by breaks. Of pieces that are one word of Latin letters
+        each, the tokens that end words tell whose a token is; of others, and where that count is off, offsets do."""
+        words, rest, at = [], [], 0
+        for p in new:
+            (words if self.suffixed and _WORD.fullmatch(p) else rest).append(p)
+        while at < len(words):
+            part, size = [], 0
+            while at < len(words) and size < LEARN_BYTES:
+                part.append(words[at])
+                size += len(words[at])
+                at += 1
+            ids = self.quick([b"\n".join(part)])[0]
+            edge = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(edge) != len(part) or edge[-1] != len(ids):
+                rest += part
+                continue
+            data, a = ids.tobytes(), 0
+            for p, b in zip(part, (4 * edge).tolist()):
+                yield p, data[a:b]
+                a = b
+        yield from self.by_offsets(rest)
+
+    def quick(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of each text, without offsets."""
+        return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+
+    def by_offsets(self, new: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """As learn(), for any pieces."""
         at = 0
         while at < len(new):
             part, size = [], 0
@@ -186,14 +227,15 @@ class Coder:
             plan.append(pending)
             plans.append(plan)
         sides = lambda k: (k[1][0], k[1][-1]) if len(k) == 3 and k[1] else k[2:4] if len(k) > 3 else (b"", b"")
-        windows = []  # of each text: a join's place, what stands left of it and right of it
+        windows = []  # of each text: what stands left of a join, the join, what stands right of it
         for plan in plans:
             around = [(sides(plan[i - 1])[1] if i else b"", plan[i], sides(plan[i + 1])[0] if i + 1 < len(plan) else b"") for i in range(0, len(plan), 2)]
             windows.append([w for w in around if w[1]])
             for w in windows[-1]:
-                wanted.update(p for p in w if p)
-                wanted.add(b" ".join(p for p in w if p))
+                wanted.update(w)
+        wanted.discard(b"")
         ids = self.look_up(wanted)
+        again = self.quick([b"\n".join([b" ".join([p for p in w if p]) for w in joins]) for joins in windows])
         made: dict[int, bytes] = {}
         for c, known in fresh.items():
             head, inner, tail = known
@@ -201,8 +243,8 @@ class Coder:
             if tail is not None and len(c) <= LONG_CHUNK:
                 self.chunks.add({c: (head, middle, *((inner[0], inner[-1]) if inner else (b"", b"")), tail)})
         out = []
-        for data, plan, joins in zip(datas, plans, windows):
-            if all(ids[b" ".join(p for p in w if p)] == b"".join([ids[p] for p in w if p]) for w in joins):
+        for data, plan, joins, tokens in zip(datas, plans, windows, again):
+            if tokens.tobytes() == b"".join([ids[p] for w in joins for p in w if p]):
                 parts = [(ids[p] if p else b"") if isinstance(p, bytes) else made[id(p)] if id(p) in made else p[1] for p in plan]
                 out.append(np.frombuffer(b"".join(parts), np.int32))
             else:  # a join whose tokens don't agree with its neighbours': widened as far as it goes
@@ -248,9 +290,9 @@ class Coder:
                 line.update(b" ")
                 text.update(b" ")
             got.append(ids)
-            listed = ids.tolist()
-            line.update(" ".join(map(str, listed)).encode())
-            text.update(self.tokenizer.decode(listed, skip_special_tokens=False).encode())
+            digits = self.listed[ids].ravel()
+            line.update(digits[digits > 0][:-1])
+            text.update(self.tokenizer.decode(ids.tolist(), skip_special_tokens=False).encode())
         return np.concatenate(got) if got else np.empty(0, np.int32), line.hexdigest(), text.hexdigest()
 
 
