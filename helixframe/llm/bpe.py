@@ -7,9 +7,9 @@ last break); the tail, the next head and any chunk without a break between them
 encoded again as one piece: that is where the token sequence depends on both sides.
 
 A break is a blank or line feed. The tokenizers this serves normalise white space to single blanks
-and split words there. Every join is encoded once more with a word of the chunk on either side; where
-the tokens don't agree with those of join and chunks, the part is encoded whole, the widest join there
-is. Coder.agrees() refuses tokenizers that would end there always.
+and split words there. Every join is encoded once more with a word of the chunk on either side, all
+joins of a part at once; where the tokens don't agree with those of joins and chunks, the part is
+encoded whole, the widest join there is. Coder.agrees() refuses tokenizers that would end there always.
 
 Within an inner part pieces between breaks are looked up in the same way. Both memories belong to the
 Python worker, live across its tasks and forget what wasn't asked for lately once they hold PIECE_BYTES
@@ -191,10 +191,13 @@ class Coder:
 
     def look_up(self, wanted: set[bytes]) -> dict[bytes, bytes]:
         """Ids of all wanted pieces, from the memory or encoded now; long ones and those of several words aren't kept."""
-        out = self.pieces.known(wanted)
-        got = dict(self.learn(list(wanted - out.keys())))
-        for some in batched(((p, ids) for p, ids in got.items() if len(p) <= LONG_PIECE and b" " not in p), 5000):
+        several = [p for p in wanted if b" " in p]
+        single = wanted.difference(several)
+        out = self.pieces.known(single)
+        got = dict(self.learn(list(single - out.keys())))
+        for some in batched(((p, ids) for p, ids in got.items() if len(p) <= LONG_PIECE), 5000):
             self.pieces.add(dict(some))
+        out.update(zip(several, [ids.tobytes() for ids in self.quick(several)]))
         out.update(got)
         return out
 
@@ -233,9 +236,10 @@ class Coder:
             windows.append([w for w in around if w[1]])
             for w in windows[-1]:
                 wanted.update(w)
+        seams = [b" ".join([p for w in joins for p in w if p]) for joins in windows]  # a text's joins with what stands around them
+        wanted.update(seams)
         wanted.discard(b"")
         ids = self.look_up(wanted)
-        again = self.quick([b"\n".join([b" ".join([p for p in w if p]) for w in joins]) for joins in windows])
         made: dict[int, bytes] = {}
         for c, known in fresh.items():
             head, inner, tail = known
@@ -243,8 +247,8 @@ class Coder:
             if tail is not None and len(c) <= LONG_CHUNK:
                 self.chunks.add({c: (head, middle, *((inner[0], inner[-1]) if inner else (b"", b"")), tail)})
         out = []
-        for data, plan, joins, tokens in zip(datas, plans, windows, again):
-            if tokens.tobytes() == b"".join([ids[p] for w in joins for p in w if p]):
+        for data, plan, joins, seam in zip(datas, plans, windows, seams):
+            if ids.get(seam, b"") == b"".join([ids[p] for w in joins for p in w if p]):
                 parts = [(ids[p] if p else b"") if isinstance(p, bytes) else made[id(p)] if id(p) in made else p[1] for p in plan]
                 out.append(np.frombuffer(b"".join(parts), np.int32))
             else:  # a join whose tokens don't agree with its neighbours': widened as far as it goes

@@ -615,6 +615,15 @@ def test_joins_that_disagree_are_widened(monkeypatch):
     assert c.encode([t])[0].tolist() == want and c.widened == 1
 
 
+def test_words_are_told_apart_by_their_endings_as_by_offsets(monkeypatch):
+    c = bpe.Coder(path())
+    pieces = [*{p for t in bpe_texts() for p in bpe.spaced((t or "").encode()).split(b" ") if p}, b"\xc3\x97", "ªº".encode(), "Ÿÿß".encode(), b"it's", b"x" * 3000]
+    want = {p: np.array(c.tokenizer.encode(p.decode(), add_special_tokens=False).ids, np.int32).tobytes() for p in pieces}
+    assert dict(c.learn(pieces)) == want
+    c.ends_word[:] = True  # the count is off: offsets tell
+    assert dict(c.learn(pieces)) == want
+
+
 # pipeline ------------------------------------------------------------------------------------
 
 
