@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import bpe, html_extract, licenses, merkle, minhash, mixing, secrets, topk, toxicity, warc
+from helixframe.llm import bpe, decontaminate, html_extract, licenses, merkle, minhash, mixing, secrets, topk, toxicity, warc
 from helixframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
 
 
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 # What SQL can say of four results: the same operators with the same parameters, fewer columns.
 
 
@@ -89,6 +93,7 @@ QUERIES: dict[str, Query] = {
     "op8_licenses": op8_licenses,
     "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
+    "op13_decontamination": op13_decontamination,
     "base_secrets": base_secrets,
     "edited_texts": edited_texts,
     "mix_targets": mix_targets,
@@ -137,4 +142,11 @@ g AS (SELECT source, z::BIGINT AS source_size, round(CASE WHEN full_ THEN 2*z EL
 SELECT doc_id, size, source_size, target, 0::BIGINT AS excess FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source""",
     "base_licenses": f"""WITH d AS (SELECT doc_id, {_WORD_SQL} AS w FROM documents), h AS (SELECT doc_id, len(w)::BIGINT AS n, {" || ".join(_phrase_sql(p, label) for p, label in licenses.BASE.items())} AS h FROM d)
 SELECT doc_id, n AS n_words, len(h)::BIGINT AS n_base, list_min(list_transform(h, lambda x: x.i))::BIGINT AS first_word, list_max(list_transform(h, lambda x: x.i))::BIGINT AS last_word, array_to_string(list_sort(list_distinct(list_transform(h, lambda x: x.l))), ',') AS base_labels FROM h""",
+    "op13_decontamination": f"""WITH d AS (SELECT doc_id, {_WORD_SQL} AS w FROM documents), b AS (SELECT coalesce(item_id::VARCHAR,'') AS item, {_WORD_SQL} AS w FROM benchmark),
+win AS (SELECT DISTINCT item, least(len(w),10) AS n, array_to_string(w[i:i+9],' ') AS x FROM (SELECT item, w, unnest(range(1, greatest(len(w)-9,1)+1)) AS i FROM b WHERE len(w) > 0)),
+p AS (SELECT doc_id, i, n, array_to_string(w[i:i+n-1],' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w)+1)) AS i FROM d), (SELECT DISTINCT n FROM win) WHERE i+n-1 <= len(w)),
+h AS (SELECT doc_id, i, n, item FROM p JOIN win USING (n, x)),
+c AS (SELECT doc_id, count(DISTINCT j)::BIGINT AS n_hit FROM (SELECT doc_id, unnest(range(i, i+n)) AS j FROM h) GROUP BY 1),
+s AS (SELECT doc_id, count(*)::BIGINT AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256 FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit,0) AS n_hit, coalesce(n_items,0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated FROM d LEFT JOIN c USING (doc_id) LEFT JOIN s USING (doc_id)""",
 }
