@@ -89,9 +89,10 @@ def scanned(docs: DataFrame, asked: DataFrame, window: int, literals: int) -> tu
         for k, tokens in sorted(known.items()):
             found = F.concat(found, places_of(words, k, tokens, window))
         return docs.select("key", F.size(words).alias("n_words"), found.alias("places")), None
+    # The outer explode: Spark would test a plain one's array for being empty below it, working out words at each place.
     parts = []
     for k in [r[0] for r in asked.select("length").distinct().orderBy("length").collect()]:  # as many as a shingle has words, at most
-        rows = docs.select("key", shingle_hashes(words, k).alias("tokens")).select("key", F.posexplode("tokens").alias("place", "token"))
+        rows = docs.select("key", shingle_hashes(words, k).alias("tokens")).select("key", F.posexplode_outer("tokens").alias("place", "token")).filter("token IS NOT NULL")
         hit = with_maybe(rows, asked.filter(F.col("length") == k).select("token"), "token").filter("maybe")
         parts.append(hit.select(F.col("key").alias("k"), F.struct("place", "token", F.lit(k).alias("length")).alias("hit")))
     # Words don't travel with their places: those of documents with a place come back by their key.
