@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import bpe, decontaminate, html_extract, licenses, merkle, minhash, mixing, secrets, topk, toxicity, warc
+from helixframe.llm import bpe, decontaminate, html_extract, licenses, merkle, minhash, mixing, repair, secrets, topk, toxicity, warc, whitening
 from helixframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,14 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired(table(spark, sf_dir, "conversations"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -93,6 +101,8 @@ QUERIES: dict[str, Query] = {
     "op8_licenses": op8_licenses,
     "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
+    "op11_repair": op11_repair,
+    "op12_whitening": op12_whitening,
     "op13_decontamination": op13_decontamination,
     "base_secrets": base_secrets,
     "edited_texts": edited_texts,
