@@ -105,13 +105,14 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     """text, toxic, fold of at most most documents of each label, chosen by a hash of doc_id; fold is 0 or 1 by another.
 
     Labels that are null or neither 0 nor 1 aren't used; of a document's repeated labels the larger
-    counts; documents with the same id each take part, up to 4 * most rows in all.
+    counts; of rows with the same id one takes part, that whose text has the least hash, so that rows that repeat change nothing.
     """
     one = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     order = F.xxhash64(F.lit(SEED), F.col("doc_id"))
     chosen = [one.filter(F.col("toxic") == y).withColumn("o", order).orderBy("o", "doc_id").limit(most).drop("o") for y in (0, 1)]
     ids = F.broadcast(chosen[0].unionByName(chosen[1]))  # 2 * most rows at most
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, "doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(ids, "doc_id")
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     return rows.select("text", "toxic", F.pmod(F.xxhash64(F.lit(SEED + 1), F.col("doc_id")), F.lit(2)).cast("int").alias("fold"))
 
 
@@ -119,7 +120,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     """A model from labelled documents; without any toxic or any clean one it finds nothing toxic."""
     prepare(docs.sparkSession)
     with scratch(docs.sparkSession, "toxicity") as under:
-        return fitted(kept(sample(docs, labels, most), "sample", under), most)
+        return fitted(kept(sample(docs, labels, most), "sample", under))
 
 
 def graded(rows: list[list[int]], toxic: np.ndarray, fold: np.ndarray, n_features: int) -> np.ndarray:
@@ -137,7 +138,7 @@ def graded(rows: list[list[int]], toxic: np.ndarray, fold: np.ndarray, n_feature
     return np.where(toxic == 1, 1 + np.searchsorted(cuts, evidence, side="left"), 0)
 
 
-def fitted(chosen: DataFrame, most: int) -> Model:
+def fitted(chosen: DataFrame) -> Model:
     """train() of sample()'s rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +170,7 @@ def fitted(chosen: DataFrame, most: int) -> Model:
             xs = [sorted(index[f] for f in features_of(words_of(t)) & index.keys()) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(xs, pa.list_(pa.int32())), b.column(1), b.column(2)], names=["x", "toxic", "fold"])
 
-    rows = chosen.mapInArrow(sparse, "x array<int>, toxic int, fold int").orderBy("toxic", "fold", "x").limit(4 * most).toPandas()
+    rows = chosen.mapInArrow(sparse, "x array<int>, toxic int, fold int").orderBy("toxic", "fold", "x").toPandas()  # 2 * most rows at most
     grades = graded([list(x) for x in rows.x], rows.toxic.to_numpy(), rows.fold.to_numpy(), len(names))
     w, thresholds = fit([list(x) for x in rows.x], grades, np.ones(len(rows)), len(names))
     return Model({f: float(round(x, 9)) for f, x in zip(names, w)}, tuple(float(round(t, 9)) for t in thresholds))
