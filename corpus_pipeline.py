@@ -19,27 +19,33 @@ SHINGLE, PERCENT = 5, 80
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def aside(docs: DataFrame, *used: str) -> DataFrame:
+    """docs with the columns that a stage doesn't use under names that can't clash with the stage's own."""
+    return docs.toDF(*(c if c in used else f"__kept{i}" for i, c in enumerate(docs.columns)))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a model fitted on this folder's labels doesn't grade as toxic. Null and empty texts stay, repeated rows go or stay together."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).filter("NOT toxic").select(*docs.columns)
+    rows = aside(docs, "doc_id", "text")
+    return toxicity.score(rows, model).filter("NOT toxic").select(*rows.columns).toDF(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, that with the smallest doc_id. Null ids stay; of repeated rows one stays, of a doc_id's different texts each."""
-    return minhash.one_of_each(docs, SHINGLE, PERCENT)
+    return minhash.one_of_each(aside(docs, "doc_id", "text"), SHINGLE, PERCENT).toDF(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with a mark in place of each secret; n_chars follows the text. A null text becomes an empty one."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    found = secrets.secret_spans(docs, keep=others)
-    return secrets.redacted(found).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    rows = aside(docs, "doc_id", "text", "n_chars")
+    found = secrets.secret_spans(rows, keep=tuple(c for c in rows.columns if c not in ("doc_id", "text", "n_chars")))
+    return secrets.redacted(found).withColumn("n_chars", F.char_length("text").cast("long")).select(*rows.columns).toDF(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: whole, at most twice. Null ids and sources take part; rows without words go with their source's whole epochs."""
-    return mixing.mixed_docs(docs, table(spark, sf_dir, "labels"))
+    return mixing.mixed_docs(aside(docs, "doc_id", "text", "source"), table(spark, sf_dir, "labels")).toDF(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

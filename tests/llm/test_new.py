@@ -10,7 +10,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from helixframe.llm import decontaminate, repair, whitening
+import corpus_pipeline
+from helixframe.llm import bpe, decontaminate, repair, toxicity, whitening
+from tests.llm.test_edges import small_corpus, tokenizer
+from tests.llm.test_llm import path
 
 TALK = "conv_id long, turn long, role string, text string"
 
@@ -206,3 +209,44 @@ def test_contamination_of_empty_tables(spark):
     b = spark.createDataFrame([(1, "some")], "item_id long, text string")
     assert [tuple(r)[1:4] for r in decontaminate.contamination(d, b.limit(0)).collect()] == [(3, 0, 0)]
     assert decontaminate.contamination(d.limit(0), b).count() == 0
+
+
+# mended in this round ------------------------------------------------------------------------
+
+
+def test_rows_that_repeat_leave_the_model_as_it_is(spark):
+    r = random.Random(2)
+    say = lambda n: " ".join(r.choice(["plain", "text", "word", "some", "other"]) for _ in range(n))
+    rows = [(i, say(20) + (" snarvo grukle" if i % 2 else "")) for i in range(80)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
+    one, five = (spark.createDataFrame(rows * k, "doc_id long, text string") for k in (1, 5))
+    models = [toxicity.train(d, labels, 20) for d in (one, five)]
+    assert models[0] == models[1]
+    assert toxicity.score(five, models[1]).filter("toxic").count() == 200
+
+
+def test_clashing_columns_come_through_the_pipeline(spark, tmp_path):
+    rows, labels = small_corpus()
+    extra = ("toxic", "grade", "spans", "maybe", "key", "size", "p_toxic", "copies", "component_id", "kept")
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    df = df.select(*(F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit("?"))).alias(c) for c in extra[:5]), "*", *(F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit("?"))).alias(c) for c in extra[5:]))
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == df.columns and out.dtypes == df.dtypes
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        assert docs.count() > 0 and all(r[c] == c + ("?" if r.doc_id is None else str(r.doc_id)) for r in docs.collect() for c in extra)
+    assert {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(corpus_pipeline.encode(spark, docs, str(tmp_path)).columns)
+
+
+def test_letters_with_marks_are_encoded_as_by_the_library(spark):
+    r = random.Random(9)
+    marks = "̸゙̧̣̀́̇̈⃐᪰ٓͅ"
+    letters = "IiJAaSsKLWßÉéÅΑаИІ가.!'1 \n-"
+    texts = ["İ̸", "xİ", "İ.x"] + ["".join(r.choice(letters if r.random() < 0.6 else marks) for _ in range(r.randint(1, 14))) for _ in range(20_000)]
+    got = {x.doc_id: x.ids for x in bpe.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path()).collect()}
+    for i, e in enumerate(tokenizer().encode_batch(texts, add_special_tokens=False)):
+        assert got[i] == e.ids, texts[i]
