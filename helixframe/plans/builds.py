@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from helixframe.operators import corpus, evaluation, sampling
 from helixframe.sources import archives, sinks
+from helixframe.sources.stored import stored
 
 RELEASE = "R232"
 #: Columns of the genome manifest, in order.
@@ -42,8 +43,8 @@ def build_subset(spark: SparkSession, chunks: DataFrame, taxonomy: DataFrame, ou
     """
     key = "gtdb_accession"
     counts = corpus.full_chunk_counts(chunks, key, F.col("chunk_length") == length)
-    genomes = sampling.with_taxonomy(counts, taxonomy, key)
-    genomes = sampling.assign_splits(genomes, key, "full_chunks", sampling.is_escherichia(F.col("genus")), fraction, seed)
+    genomes = stored(sampling.with_taxonomy(stored(counts, "counts"), taxonomy, key), "genomes")
+    genomes = stored(sampling.assign_splits(genomes, key, "full_chunks", sampling.is_escherichia(F.col("genus")), fraction, seed), "splits")
     genomes = sampling.split_quotas(genomes, key, "full_chunks", train_bases // length, seed)
     manifest = genomes.withColumnRenamed("full_chunks", "available_full_chunks").select(*MANIFEST)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions import dna, hgvs, scores
 from helixframe.operators import corpus, evaluation, sampling, vq
+from helixframe.sources.stored import stored
 
 SEED = 17
 L = 3
@@ -150,7 +151,7 @@ def genome_counts(spark, sf_dir):
 
 def _splits(spark, sf_dir) -> DataFrame:
     held = table(spark, sf_dir, "nation").agg(F.min("n_name")).first()[0]
-    return sampling.assign_splits(_genomes(spark, sf_dir), "c_custkey", "full_chunks", F.col("genus") == held, 0.1, SEED)
+    return sampling.assign_splits(stored(_genomes(spark, sf_dir), "genomes"), "c_custkey", "full_chunks", F.col("genus") == held, 0.1, SEED)
 
 
 @query(f"WITH {SPLITS_SQL} SELECT * FROM s")
@@ -170,7 +171,7 @@ w AS (SELECT s.c_custkey, genus, full_chunks, split, coalesce(quota,0)::BIGINT A
 
 
 def _quotas(spark, sf_dir) -> DataFrame:
-    return sampling.split_quotas(_splits(spark, sf_dir), "c_custkey", "full_chunks", _target(spark, sf_dir), SEED)
+    return sampling.split_quotas(stored(_splits(spark, sf_dir), "splits"), "c_custkey", "full_chunks", _target(spark, sf_dir), SEED)
 
 
 @query(f"WITH {QUOTA_SQL} SELECT * FROM w")

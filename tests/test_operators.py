@@ -5,7 +5,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from helixframe.operators import corpus, evaluation, sampling, vq
+from helixframe.functions import scores
+from helixframe.operators import corpus, evaluation, order, sampling, vq
 from helixframe.plans import builds
 from helixframe.sources import archives
 from helixframe.streaming import chunks as streaming
@@ -65,6 +66,39 @@ def test_waterfill_is_level_and_refuses_too_much(spark):
         sampling.waterfill(rows, "g", "k", "cap", F.lit(12), 1).collect()
 
 
+@pytest.mark.parametrize("band_rows", [1, 16, 1 << 16])
+def test_order_statistics_of_large_groups(spark, band_rows):
+    import hashlib
+
+    rows = spark.range(3000).select(F.when(F.col("id") % 10 == 0, F.lit(None)).when(F.col("id") % 10 == 1, "y").otherwise("x").alias("g"), F.col("id").alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("h"))
+    wanted = spark.createDataFrame([("x", 1000), ("y", 300), (None, 1), ("z", 1)], "g string, n long")
+    got = {r.g: (r.score_at, r.key_at) for r in order.nth_scores(rows, "g", "h", "k", wanted, 3000, band_rows).collect()}
+    of = {g: sorted((hashlib.sha256(str(i).encode()).hexdigest(), i) for i in range(3000) if (None if i % 10 == 0 else "y" if i % 10 == 1 else "x") == g) for g in ("x", "y", None)}
+    assert got == {"x": of["x"][999], "y": of["y"][299], None: of[None][0]}
+    assert order.nth_scores(rows, "g", "h", "k", spark.createDataFrame([("x", 0), ("y", 301)], "g string, n long"), 3000, band_rows).count() == 0
+
+
+def test_no_task_orders_a_whole_split(spark, monkeypatch):
+    """One group holds all rows: windows over rows are partitioned by bands, those over groups see a row per band or range."""
+    monkeypatch.setattr(order.ranges, "RANGES", 16)
+    rows = spark.range(20_000).select(F.lit("train").alias("g"), F.col("id").cast("string").alias("k"), (F.col("id") * 7919 % 5003).alias("cap"))
+    seen = []
+    plain = order.Window.partitionBy
+
+    def noted(*columns):
+        seen.append(columns)
+        return plain(*columns)
+
+    monkeypatch.setattr(order.Window, "partitionBy", noted)
+    out = sampling.waterfill(rows, "g", "k", "cap", F.lit(9_000_000), 3, 64)
+    assert out.agg(F.sum("quota")).first()[0] == 9_000_000
+    over_rows = [c for c in seen if c not in (("g",),)]
+    assert all(c in (("g", "__band"), ("g", "__range")) for c in over_rows) and over_rows
+    scores_ = rows.withColumn("h", scores.stable_score(3, "quota", F.concat_ws("_", "g", "k"))).withColumn("__band", order.hash_band(F.col("h"), order.digits_for(20_000, 64)))
+    bands = scores_.groupBy("g", "__band").count().agg(F.max("count"), F.count("*")).first()
+    assert bands[0] <= 2 * 64 and bands[1] > 200
+
+
 def test_samples_are_nested(spark):
     g = lambda q: spark.createDataFrame([("RS_1", 20, q)], "a string, n long, q long")
     numpy_ = {q: {r.ordinal for r in sampling.permuted_ordinals(g(q), "a", "n", "q", 17).collect()} for q in (3, 8, 20)}
