@@ -72,10 +72,10 @@ def test_order_statistics_of_large_groups(spark, band_rows):
 
     rows = spark.range(3000).select(F.when(F.col("id") % 10 == 0, F.lit(None)).when(F.col("id") % 10 == 1, "y").otherwise("x").alias("g"), F.col("id").alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("h"))
     wanted = spark.createDataFrame([("x", 1000), ("y", 300), (None, 1), ("z", 1)], "g string, n long")
-    got = {r.g: (r.score_at, r.key_at) for r in order.nth_scores(rows, "g", "h", "k", wanted, 3000, band_rows).collect()}
+    got = {r.g: (r.score_at, r.key_at) for r in order.nth_scores(rows, "g", "h", "k", wanted, 3000, True, band_rows).collect()}
     of = {g: sorted((hashlib.sha256(str(i).encode()).hexdigest(), i) for i in range(3000) if (None if i % 10 == 0 else "y" if i % 10 == 1 else "x") == g) for g in ("x", "y", None)}
     assert got == {"x": of["x"][999], "y": of["y"][299], None: of[None][0]}
-    assert order.nth_scores(rows, "g", "h", "k", spark.createDataFrame([("x", 0), ("y", 301)], "g string, n long"), 3000, band_rows).count() == 0
+    assert order.nth_scores(rows, "g", "h", "k", spark.createDataFrame([("x", 0), ("y", 301)], "g string, n long"), 3000, True, band_rows).count() == 0
 
 
 def test_no_task_orders_a_whole_split(spark, monkeypatch):
