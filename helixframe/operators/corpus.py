@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gzip
+import io
 import re
 from collections.abc import Iterator
 from itertools import islice
@@ -10,22 +12,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 from helixframe.functions import dna, ranges, scores
+from helixframe.sources.archives import fasta_records
 
 CHUNK = 8192
 
 
-def record_segments(records: DataFrame, sequence_col: str = "sequence") -> DataFrame:
-    """records with segment_start and segment in place of the sequence: one row per unambiguous run; narrow, no shuffle."""
-    rows = records.withColumn("record_length", F.char_length(sequence_col).cast("long")).withColumn("__up", dna.ascii_upper(F.col(sequence_col)))
-    rows = rows.withColumn("__s", F.explode(dna.segments(F.col("__up"))))
-    return rows.withColumn("segment_start", F.col("__s.start")).withColumn("segment", F.col("__s.sequence")).drop("__s", "__up", sequence_col)
-
-
-#: Pieces that leave a task in one Arrow batch.
-PIECES = 50_000
+#: Pieces, and bytes of pieces, that leave a task in one Arrow batch, about.
+PIECES, PIECE_BYTES = 50_000, 32 << 20
 
 
 def chunks(records: DataFrame, length: int = CHUNK, sequence_col: str = "sequence") -> DataFrame:
@@ -53,11 +50,63 @@ def chunks(records: DataFrame, length: int = CHUNK, sequence_col: str = "sequenc
     return rows.mapInArrow(cut, schema)
 
 
+#: What member_chunks() gives: a row per piece, and one without a piece for each record that has none.
+CUT = StructType([StructField(n, k) for n, k in (("archive", StringType()), ("archive_path", StringType()), ("member_ordinal", IntegerType()), ("record_id", StringType()), ("record_length", LongType()), ("chunk_start", LongType()), ("chunk_end", LongType()), ("chunk_length", LongType()), ("ordinal", LongType()), ("first", BooleanType()), ("sequence", StringType()))])
+
+
+def member_chunks(members: DataFrame, length: int = CHUNK) -> DataFrame:
+    """Chunks of the gzipped FASTA members (archive, member, member_ordinal, content), in CUT's columns.
+
+    ordinal numbers a member's chunks from 0 in stored order; first is set on one row of each record. A member is unpacked piece by
+    piece, wherever it was shuffled to.
+    """
+    piece, most, names = re.compile(f"[ACGT]{{1,{int(length)}}}"), PIECES, CUT.names
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for b in batches:
+            for at in range(b.num_rows):
+                archive, name, place = (b.column(k)[at].as_py() for k in range(3))
+                lines, n = io.TextIOWrapper(gzip.GzipFile(fileobj=pa.BufferReader(b.column(3)[at].as_buffer())), "ascii"), 0
+                for record, sequence in fasta_records(lines):
+                    of, first = (archive, name, place, record, len(sequence)), True
+                    for m in piece.finditer(sequence.upper()):
+                        yield (*of, m.start(), m.end(), m.end() - m.start(), n, first, m[0])
+                        n, first = n + 1, False
+                    if first:
+                        yield (*of, None, None, None, None, True, None)
+
+    schema = to_arrow_schema(CUT)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = rows(batches)
+        while some := list(islice(found, min(most, max(1, PIECE_BYTES // length)))):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*some), schema)], names=names)
+
+    return members.select("archive", "member", "member_ordinal", "content").mapInArrow(cut, CUT)
+
+
+def cut_stats(cut: DataFrame, length: int = CHUNK) -> DataFrame:
+    """corpus_stats' nine counters from member_chunks' rows; sequences aren't read."""
+    s = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    n = F.col("chunk_length")
+    sums = cut.agg(
+        F.count_distinct("archive_path").alias("genomes_processed"), F.count_if("first").alias("fasta_records_processed"), s(F.when(F.col("first"), F.col("record_length"))).alias("input_bases"), s(n).alias("retained_bases"),
+        F.count("ordinal").alias("chunks"), F.count_if(n == length).alias("full_length_chunks"), F.count_if(n < length).alias("short_chunks"), s(F.when(n < length, n)).alias("short_chunk_bases"),
+    )
+    lost = (F.col("input_bases") - F.col("retained_bases")).alias("ambiguous_bases")
+    return sums.select("genomes_processed", "fasta_records_processed", "input_bases", lost, "retained_bases", "chunks", "full_length_chunks", "short_chunks", "short_chunk_bases")
+
+
 def genome_chunks(records: DataFrame, length: int = CHUNK) -> DataFrame:
     """Chunk rows of genome records (archive_path, record_id, sequence), in the ten columns of the stored corpus."""
     rows = records.withColumn("ncbi_accession", scores.ncbi_accession(F.col("archive_path"))).withColumn("gtdb_accession", scores.gtdb_accession(F.col("ncbi_accession")))
+    return named_chunks(chunks(rows, length))
+
+
+def named_chunks(rows: DataFrame, *more: Column) -> DataFrame:
+    """Chunk rows with their accessions in the ten columns of the stored corpus, and more after them."""
     name = F.concat(F.col("gtdb_accession"), F.lit("|"), F.col("record_id"), F.lit("|"), F.col("chunk_start").cast("string"), F.lit("-"), F.col("chunk_end").cast("string"))
-    return chunks(rows, length).select(name.alias("chunk_id"), "ncbi_accession", "gtdb_accession", "archive_path", "record_id", "record_length", "chunk_start", "chunk_end", "chunk_length", "sequence")
+    return rows.select(name.alias("chunk_id"), "ncbi_accession", "gtdb_accession", "archive_path", "record_id", "record_length", "chunk_start", "chunk_end", "chunk_length", "sequence", *more)
 
 
 def corpus_stats(records: DataFrame, genome_col: str, length: int = CHUNK, sequence_col: str = "sequence") -> DataFrame:

@@ -6,32 +6,52 @@ import platform
 from datetime import UTC, datetime
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from helixframe.operators import corpus, evaluation, sampling
+from helixframe.functions import scores
+from helixframe.operators import corpus, evaluation, rowmaps, sampling
 from helixframe.sources import archives, sinks
 from helixframe.sources.stored import stored
 
 RELEASE = "R232"
+#: Genomes whose starts are broadcast, at most (a few tens of MB).
+MOST_BROADCAST = 1 << 19
 #: Columns of the genome manifest, in order.
 MANIFEST = ["gtdb_accession", "domain", "phylum", "class", "order", "family", "genus", "species", "split", "available_full_chunks", "selected_chunks"]
 
 
 def build_corpus(spark: SparkSession, paths: list[str], output: str, max_genomes: int | None = None, length: int = corpus.CHUNK, rows_per_file: int = 100_000) -> dict:
-    """Tar archives of genomes to chunk shards and processing_stats.json under output; returns the statistics."""
-    records = archives.load(spark, "fasta_tar", paths)
+    """Tar archives of genomes to chunk shards and processing_stats.json under output; returns the statistics.
+
+    Members travel as they are stored, compressed, and are unpacked once; chunks are kept on the executors' disks, with their lineage,
+    while genomes are counted. A chunk's place is its genome's start (genomes in the order of accessions, one row each) and its number
+    in the genome, so sequences are shuffled once, straight to their shards.
+    """
+    found = archives.load(spark, "member_bytes", paths, member="*" + archives.GENOME_SUFFIX)
     if max_genomes is not None:
-        records = archives.first_genomes(records, max_genomes)
-    records = records.repartition("archive_path")  # a tar file is read by one task; its genomes go to all
+        found = archives.first_genomes(found, max_genomes)
+    cut = corpus.member_chunks(found.withColumn("__deal", F.xxhash64("archive", "member_ordinal")).repartition("__deal"), length)
+    cut = cut.withColumn("ncbi_accession", scores.ncbi_accession(F.col("archive_path"))).withColumn("gtdb_accession", scores.gtdb_accession(F.col("ncbi_accession"))).persist(StorageLevel.DISK_ONLY)
 
     def write(folder: str) -> None:
-        chunks = corpus.genome_chunks(records.select("archive_path", "record_id", "sequence"), length)
-        # Readers take rows in the order of file names: a genome's chunks stay together.
-        sinks.write_shards(chunks, folder, rows_per_file, ["gtdb_accession", "record_id", "chunk_start"])
-        write.stats = sinks.write_stats(corpus.corpus_stats(records, "archive_path", length), f"{folder}/processing_stats.json", gtdb_release=RELEASE, chunk_length=length)
-
-    sinks.publish(spark, output, write)
+        key = ["gtdb_accession", "archive", "member_ordinal"]
+        genomes = stored(cut.groupBy(*key).agg(F.count("ordinal").alias("n")), "genomes")
+        before = Window.orderBy(*key).rowsBetween(Window.unboundedPreceding, -1)  # a row per genome
+        starts = genomes.select("archive", "member_ordinal", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+        some = genomes.agg(F.count("*").alias("genomes"), F.sum("n").alias("chunks")).first()
+        starts = F.broadcast(starts) if some["genomes"] <= MOST_BROADCAST else starts
+        placed = cut.filter("ordinal IS NOT NULL").join(starts, ["archive", "member_ordinal"])
+        if some["chunks"]:
+            rows = corpus.named_chunks(placed, (F.col("start") + F.col("ordinal")).alias("place"))
+            sinks.write_placed(rows, folder, rows_per_file, F.col("place"), some["chunks"], columns=rows.columns[:-1])
+        write.stats = sinks.write_stats(corpus.cut_stats(cut, length), f"{folder}/processing_stats.json", gtdb_release=RELEASE, chunk_length=length)
+
+    try:
+        sinks.publish(spark, output, write)
+    finally:
+        cut.unpersist()
     return write.stats
 
 
@@ -51,14 +71,15 @@ def build_subset(spark: SparkSession, chunks: DataFrame, taxonomy: DataFrame, ou
     def write(folder: str) -> None:
         sinks.write_manifest(manifest, f"{folder}/genome_manifest.parquet")
         done = spark.read.parquet(f"{folder}/genome_manifest.parquet")  # the plan is fixed from here on
-        order = sampling.with_ordinals(chunks.filter(F.col("chunk_length") == length).select(key, "file_name", "row_index"), key, ["file_name", "row_index"]).withColumn("ordinal", F.col("ordinal").cast("long"))
+        numbers = sampling.with_ordinals(chunks.filter(F.col("chunk_length") == length).select(key, "file_name", "row_index"), key, ["file_name", "row_index"]).withColumn("ordinal", F.col("ordinal").cast("long"))
         if exact:
-            chosen = sampling.selected_rows(order, sampling.permuted_ordinals(done, key, "available_full_chunks", "selected_chunks", seed), key)
+            chosen = sampling.selected_rows(numbers, sampling.permuted_ordinals(done, key, "available_full_chunks", "selected_chunks", seed), key)
         else:
-            chosen = sampling.hash_selected(order.join(done.select(key, "selected_chunks"), key), key, "selected_chunks", seed)
+            chosen = sampling.hash_selected(numbers.join(done.select(key, "selected_chunks"), key), key, "selected_chunks", seed)
         keys = chosen.join(done.select(key, "split"), key).select("file_name", "row_index", "split")
-        rows = chunks.join(keys, ["file_name", "row_index"])  # sequences meet the narrow selection last
-        sinks.write_splits(rows.select(*[c for c in chunks.columns if c not in ("file_name", "row_index")], "split"), folder, sampling.SPLITS, rows_per_file)
+        # Bitmaps of the chosen rows are tested where sequences are read: only chosen ones move, once, to their shards.
+        rows = rowmaps.chosen_rows(chunks, rowmaps.stored_maps(keys, "split"), "split")
+        sinks.write_splits(rows.drop("file_name", "row_index"), folder, sampling.SPLITS, rows_per_file, "place", sum(r[0] or 0 for r in done.select(F.sum("selected_chunks")).collect()))
         stats = {r["split"]: {k: r[k] for k in ("genomes", "chunks", "bases")} for r in sampling.split_statistics(done, length).collect()}
         held = [r[0] for r in done.filter(F.col("split") == sampling.HOLDOUT).select("genus").distinct().orderBy("genus").collect()]
         sinks.write_stats(done.agg(F.count_if(F.col("available_full_chunks") == 0).alias("genomes_without_full_chunks")), f"{folder}/subset_stats.json", selection={"seed": seed, "chunk_length": length, "validation_fraction": fraction, "holdout_genera": held}, splits={s: stats[s] for s in sampling.SPLITS})

@@ -1,8 +1,9 @@
 """Python data sources for archives: sequences in tar files, rows and texts of members, worksheets.
 
-Every source emits ordinals, since rows of a DataFrame have no order of their own. An archive is one
-partition (compressed archives can't be split); repartition after the read. Paths are local or any
-URI that pyarrow's file systems open.
+Every source emits ordinals, since rows of a DataFrame have no order of their own. Where an archive tells where its members lie (the
+directory of a zip file, the headers of a tar file that isn't compressed as a whole), its members are dealt over partitions by bytes; a
+compressed tar file can only be read from its start and is one partition, so member_bytes hands its members on as they are stored, to be
+unpacked elsewhere. Paths are local or any URI that pyarrow's file systems open.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,32 +56,72 @@ def fasta_records(lines) -> Iterator[tuple[str, str]]:
         yield name, "".join(parts)
 
 
-class OneArchive(InputPartition):
-    def __init__(self, path: str):
+class Part(InputPartition):
+    """Members (place, name, offset, bytes) of an archive, or all of it."""
+
+    def __init__(self, path: str, known: list[tuple[int, str, int, int]] | None = None):
         super().__init__(path)
-        self.path = path
+        self.path, self.known = path, known
+
+
+#: Stored bytes of members that make a partition, about.
+PART_BYTES = 32 << 20
+
+
+def member_index(path: str) -> list[tuple[int, str, int, int]] | None:
+    """Place, name, offset and stored bytes of an archive's regular files; None where only reading all of it would tell."""
+    if path.endswith(".zip"):
+        with opened(path) as f, zipfile.ZipFile(f) as z:
+            return [(i, x.filename, x.header_offset, x.compress_size) for i, x in enumerate(z.infolist()) if not x.is_dir()]
+    if path.endswith(".tar"):
+        with opened(path) as f, tarfile.open(fileobj=f, mode="r:") as t:
+            return [(i, x.name, x.offset_data, x.size) for i, x in enumerate(t) if x.isreg() and not x.issparse()]
+    return None
 
 
 class ArchiveReader(DataSourceReader):
-    """A partition per path of the option paths (parted by line feeds)."""
+    """Partitions of the archives in the option paths (parted by line feeds); part_bytes: stored bytes that make one."""
 
     def __init__(self, options: dict):
         self.options = options
         self.paths = [p for p in options["paths"].split("\n") if p]
+        self.pattern = options.get("member", "*")
 
     def partitions(self):
-        return [OneArchive(p) for p in self.paths]
-
-
-def members(path: str, pattern: str) -> Iterator[tuple[int, str, io.BufferedIOBase]]:
-    """Place, name and stream of the regular files of a .zip or (compressed) tar archive whose names match, in archive order."""
-    with opened(path) as f:
-        if path.endswith(".zip"):
+        most, out = int(self.options.get("part_bytes", PART_BYTES)), []
+        for p in self.paths:
+            index = member_index(p)
+            if index is None:
+                out.append(Part(p))
+                continue
+            part, size = [], 0
+            for m in index:
+                if not fnmatch.fnmatchcase(m[1], self.pattern):
+                    continue
+                if part and size + m[3] > most:
+                    out.append(Part(p, part))
+                    part, size = [], 0
+                part.append(m)
+                size += m[3]
+            if part:
+                out.append(Part(p, part))
+        return out or [Part("")]
+
+
+def members(part: Part, pattern: str) -> Iterator[tuple[int, str, io.BufferedIOBase]]:
+    """Place, name and stream of the part's regular files whose names match, in archive order."""
+    if not part.path:
+        return
+    with opened(part.path) as f:
+        if part.known is not None and part.path.endswith(".zip"):
             with zipfile.ZipFile(f) as z:
-                for i, n in enumerate(z.namelist()):
-                    if not n.endswith("/") and fnmatch.fnmatchcase(n, pattern):
-                        with z.open(n) as m:
-                            yield i, n, m
+                infos = z.infolist()
+                for i, n, _, _ in part.known:
+                    with z.open(infos[i]) as m:
+                        yield i, n, m
+        elif part.known is not None:
+            for i, n, at, size in part.known:
+                yield i, n, io.BufferedReader(Stretch(f, at, size))
         else:
             with tarfile.open(fileobj=f, mode="r|*") as t:
                 for i, info in enumerate(t):
@@ -87,6 +129,23 @@ def members(path: str, pattern: str) -> Iterator[tuple[int, str, io.BufferedIOBa
                         yield i, info.name, t.extractfile(info)
 
 
+class Stretch(io.RawIOBase):
+    """So many bytes of a file from an offset."""
+
+    def __init__(self, file, at: int, size: int):
+        self.file, self.at, self.end = file, at, at + size
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, b) -> int:
+        self.file.seek(self.at)
+        data = self.file.read(min(len(b), self.end - self.at))
+        b[: len(data)] = data
+        self.at += len(data)
+        return len(data)
+
+
 class Forward(io.RawIOBase):
     """A member's bytes as a stream that says it can't seek: members of streamed archives can't even be asked."""
 
@@ -103,8 +162,12 @@ class Forward(io.RawIOBase):
 
 
 class FastaTarReader(ArchiveReader):
+    def __init__(self, options: dict):
+        super().__init__(options)
+        self.pattern = "*" + GENOME_SUFFIX
+
     def read(self, partition):
-        for i, name, m in members(partition.path, "*" + GENOME_SUFFIX):
+        for i, name, m in members(partition, self.pattern):
             for k, (record, sequence) in enumerate(fasta_records(io.TextIOWrapper(gzip.GzipFile(fileobj=m), "ascii"))):
                 yield partition.path, name, i, record, k, sequence
 
@@ -125,7 +188,7 @@ class FastaTar(DataSource):
 
 class MemberRowsReader(ArchiveReader):
     def read(self, partition):
-        for i, name, m in members(partition.path, self.options.get("member", "*")):
+        for i, name, m in members(partition, self.pattern):
             rows = csv.reader(io.TextIOWrapper(io.BufferedReader(Forward(m)), "utf-8", newline=""), delimiter=self.options.get("sep", ","))
             for k, cells in enumerate(rows):
                 yield partition.path, name, i, k, cells
@@ -147,7 +210,7 @@ class MemberRows(DataSource):
 
 class MemberTextReader(ArchiveReader):
     def read(self, partition):
-        for i, name, m in members(partition.path, self.options.get("member", "*")):
+        for i, name, m in members(partition, self.pattern):
             yield partition.path, name, i, m.read().decode("utf-8")
 
 
@@ -165,6 +228,40 @@ class MemberText(DataSource):
         return MemberTextReader(self.options)
 
 
+#: Bytes of members that leave a task together, about.
+BATCH_BYTES = 8 << 20
+
+
+class MemberBytesReader(ArchiveReader):
+    def read(self, partition):
+        rows, size = [], 0
+        for i, name, m in members(partition, self.pattern):
+            rows.append((partition.path, name, i, m.read()))
+            size += len(rows[-1][3])
+            if size >= BATCH_BYTES:
+                yield self.batch(rows)
+                rows, size = [], 0
+        yield self.batch(rows)
+
+    def batch(self, rows: list) -> pa.RecordBatch:
+        columns = list(zip(*rows)) or [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.binary()))], names=["archive", "member", "member_ordinal", "content"])
+
+
+class MemberBytes(DataSource):
+    """Members as they are stored, compressed ones too; a member is a row, so it has to be smaller than 2 GB."""
+
+    @classmethod
+    def name(cls):
+        return "member_bytes"
+
+    def schema(self):
+        return "archive string, member string, member_ordinal int, content binary"
+
+    def reader(self, schema):
+        return MemberBytesReader(self.options)
+
+
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
@@ -220,6 +317,9 @@ def sheet_rows(path: str, sheet: str) -> Iterator[tuple[int, list]]:
 
 
 class WorksheetReader(ArchiveReader):
+    def partitions(self):
+        return [Part(p) for p in self.paths]
+
     def read(self, partition):
         first, last = int(self.options.get("min_row", 1)), int(self.options.get("max_row", 1 << 30))
         lo, hi = int(self.options.get("min_col", 1)), int(self.options.get("max_col", 1 << 30))
@@ -244,7 +344,7 @@ class Worksheet(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    for source in (FastaTar, MemberRows, MemberText, Worksheet):
+    for source in (FastaTar, MemberBytes, MemberRows, MemberText, Worksheet):
         spark.dataSource.register(source)
 
 

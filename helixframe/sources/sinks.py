@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import json
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from helixframe.sources.shards import write_placed
+
 # The columns of the variant and prediction tables.
 VARIANT_COLUMNS = ["panel", "study_id", "assay_id", "variant_id", "organism", "target", "wt_nt", "mutant_nt", "nt_edit", "wt_aa", "mutant_aa", "aa_change", "experimental_score", "directionality"]
 NCRNA_COLUMNS = ["panel", "study_id", "assay_id", "wt_nt", "mutant_nt", "nt_edit", "experimental_score", "directionality"]
@@ -19,57 +22,55 @@ def _path(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def shard_name(i: int) -> str:
-    return f"chunks-{i:05d}.parquet"
-
-
 def write_shards(df: DataFrame, path: str, rows_per_file: int = 100_000, order: list[str] | None = None) -> int:
     """Zstandard Parquet files shard_name(0), ... of exactly rows_per_file rows, the last one of what is left; returns how many.
 
-    Rows are in order if one is given, else as they come. They are first written as they are sorted; their places there give
-    each row its shard, so df is worked out once and shards are written side by side. No rows: an empty folder.
+    Rows are in order if one is given, else as they come. Sorted rows are kept on the executors' disks, with their lineage, while each
+    partition's rows are counted (a row per partition); their places then give each row its shard. Rows that are equal in order stand by
+    their hash, so that a lost partition comes back as it was. No rows: an empty folder.
     """
-    spark, stage = df.sparkSession, f"{path}/sorted-rows"
-    rows = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
-    rows.write.option("compression", "zstd").parquet(stage)
-    stored = spark.read.schema(df.schema).parquet(stage).select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    # A row per file that Spark wrote, in the order of their names, which is that of the sorted rows.
-    start = stored.groupBy("__file").agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    place = stored.join(F.broadcast(start), "__file").withColumn("__row", F.col("start") + F.col("__row"))
-    shard = place.withColumn("__shard", F.floor(F.col("__row") / rows_per_file)).drop("__file", "start")
-    shard.repartition("__shard").sortWithinPartitions("__shard", "__row").drop("__row").write.partitionBy("__shard").option("compression", "zstd").parquet(f"{path}/by-shard")
-    done = _renamed(spark, f"{path}/by-shard", path)
-    for x in (stage, f"{path}/by-shard"):
-        p, store = _path(spark, x)
-        store.delete(p, True)
-    return done
-
-
-def _renamed(spark: SparkSession, source: str, target: str) -> int:
-    """Moves the one file of each folder __shard=k under source to target/shard_name(k)."""
-    p, store = _path(spark, source)
-    n = 0
-    for folder in store.listStatus(p):
-        name = folder.getPath().getName()
-        if name.startswith("__shard="):
-            file = next(f.getPath() for f in store.listStatus(folder.getPath()) if f.getPath().getName().endswith(".parquet"))
-            store.rename(file, _path(spark, f"{target}/{shard_name(int(name[8:]))}")[0])
-            n += 1
-    return n
-
-
-def write_splits(df: DataFrame, path: str, splits: tuple[str, ...], rows_per_file: int = 10_000) -> None:
-    """A folder for each split, empty ones too, of files of at most rows_per_file rows; split itself isn't stored. df is worked out once."""
-    spark, stage = df.sparkSession, f"{path}/by-split"
-    df.filter(F.col("split").isin(*splits)).repartition("split", F.pmod(F.xxhash64(*[c for c in df.columns if c != "split"]), F.lit(64))).write.partitionBy("split").option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).parquet(stage)
-    root, store = _path(spark, stage)
-    for s in splits:
-        made, _ = _path(spark, f"{stage}/split={s}")
-        if store.exists(made):
-            store.rename(made, _path(spark, f"{path}/{s}")[0])
+    rows = df
+    if order:
+        rows = df.repartitionByRange(*order).sortWithinPartitions(*order, F.xxhash64(*df.columns))
+    rows = rows.withColumn("__at", F.monotonically_increasing_id()).persist(StorageLevel.DISK_ONLY)
+    try:
+        part, within = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
+        before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+        counts = rows.groupBy(part.alias("__part")).agg(F.count("*").alias("n"))
+        start = counts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).select("__part", "start")
+        total = counts.agg(F.sum("n")).first()[0] or 0
+        placed = rows.withColumn("__part", part).join(F.broadcast(start), "__part").withColumn("__place", F.col("start") + within)
+        if total:
+            write_placed(placed.select(*df.columns, "__place").withColumnRenamed("__place", "__to"), path, rows_per_file, F.col("__to"), total, columns=df.columns)
         else:
-            df.drop("split").limit(0).write.option("compression", "zstd").parquet(f"{path}/{s}")
-    store.delete(root, True)
+            p, store = _path(df.sparkSession, path)
+            store.mkdirs(p)
+    finally:
+        rows.unpersist()
+    return -(-total // rows_per_file)
+
+
+def write_splits(df: DataFrame, path: str, splits: tuple[str, ...], rows_per_file: int = 10_000, place: str | None = None, total: int | None = None) -> None:
+    """A folder for each split, empty ones too, of shards of exactly rows_per_file rows, the last one of what is left; split itself isn't stored.
+
+    place: the column with rows' dense places in their split, if df has it (total: how many rows, about); else rows are numbered in
+    the order of their hash, in bands.
+    """
+    df = df.filter(F.col("split").isin(*splits))
+    columns = [c for c in df.columns if c not in ("split", place)]
+    if place is None:
+        df = df.withColumn("__hash", F.xxhash64(*columns)).persist(StorageLevel.DISK_ONLY)
+        band = F.shiftright("__hash", 48)
+        before = Window.partitionBy("split").orderBy("__band").rowsBetween(Window.unboundedPreceding, -1)
+        starts = df.groupBy("split", band.alias("__band")).agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")  # 65,536 rows a split
+        inside = Window.partitionBy("split", "__band").orderBy("__hash", *columns)
+        place = "__to"
+        numbered = df.withColumn("__band", band).join(F.broadcast(starts), ["split", "__band"]).withColumn(place, F.col("start") + F.row_number().over(inside) - 1)
+    else:
+        numbered = df
+    total = df.count() if total is None else total
+    write_placed(numbered.select(*columns, "split", place), path, rows_per_file, F.col(place), total, F.col("split"), splits, columns)
+    df.unpersist()
 
 
 def write_manifest(df: DataFrame, path: str, key: str = "gtdb_accession") -> None:

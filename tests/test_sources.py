@@ -229,3 +229,94 @@ def test_state_and_metrics(spark, tmp_path):
     for step in (1, 2):
         sinks.append_metrics(spark, str(tmp_path / "m"), step, loss=1 / step)
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "m")).collect())) == [(1, "loss", 1.0), (2, "loss", 0.5)]
+
+
+def test_shards_of_a_failing_task(spark, tmp_path):
+    """A task that fails leaves no file of its own; what others wrote is taken back, and a writer with gaps is refused."""
+    from helixframe.sources import shards
+
+    rows = spark.range(0, 100, 1, 4).select("id", F.when(F.col("id") == 57, F.raise_error(F.lit("no"))).otherwise(F.lit("x")).alias("t"))
+    with pytest.raises(Exception, match="no"):
+        shards.write_placed(rows, str(tmp_path / "a"), 10, F.col("id"), 100)
+    with pytest.raises(Exception, match="dense"):
+        shards.write_placed(spark.range(100).filter("id < 30 OR id >= 40"), str(tmp_path / "b"), 10, F.col("id"), 100)
+    assert not [p for d in ("a", "b") for p in tmp_path.glob(f"{d}/**/*") if p.is_file()]
+    shards.write_placed(spark.range(25), str(tmp_path / "c"), 10, F.col("id"), 25)
+    assert sorted(p.name for p in (tmp_path / "c").iterdir()) == [f"chunks-0000{i}.parquet" for i in range(3)]
+
+
+def test_a_writer_that_dies_within_a_file(tmp_path):
+    import pyarrow as pa
+
+    from helixframe.sources import shards
+
+    w = shards.ShardWriter(pa.schema([("x", pa.int64())]), {"path": str(tmp_path), "rows": "2", "folders": "[]"})
+
+    def batches():
+        yield pa.RecordBatch.from_pydict({"f": ["", "", ""], "s": [0, 0, 1], "p": [0, 1, 2], "x": [1, 2, 3]})
+        raise RuntimeError("gone")
+
+    with pytest.raises(RuntimeError):
+        w.write(batches())
+    assert not list(tmp_path.iterdir())
+
+
+def test_splits_hold_exactly_so_many_rows(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    df = spark.range(101).select("id", F.when(F.col("id") % 3 == 0, "train").otherwise("validation").alias("split"))
+    sinks.write_splits(df, str(tmp_path / "s"), ("train", "validation", "escherichia_holdout"), 10)
+    got = {s: [pq.read_metadata(p).num_rows for p in sorted((tmp_path / "s" / s).glob("chunks-*.parquet"))] for s in ("train", "validation", "escherichia_holdout")}
+    assert got == {"train": [10, 10, 10, 4], "validation": [10] * 6 + [7], "escherichia_holdout": [0]}
+
+
+@pytest.mark.parametrize("most", [1 << 14, 1])
+def test_only_chosen_rows_move(spark, tmp_path, most):
+    """Bitmaps pick rows where files are read, in one scan or in several: nothing stands between a scan and its filter but a broadcast."""
+    from helixframe.operators import rowmaps
+
+    sinks.write_shards(spark.range(70_001).select("id", F.concat(F.lit("seq"), "id").alias("sequence")), str(tmp_path / "s"), 40_000, ["id"])
+    files = archives.chunk_shards(spark, str(tmp_path / "s"))
+    chosen = files.filter("id % 9 = 4 OR id = 0 OR id = 70000").select("file_name", "row_index", F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("split"))
+    out = rowmaps.chosen_rows(files, rowmaps.stored_maps(chosen, "split"), "split", most)
+    got = out.collect()
+    assert sorted(r.id for r in got) == sorted({i for i in range(70_001) if i % 9 == 4} | {0, 70_000}) and all(r.sequence == f"seq{r.id}" for r in got)
+    for s in "ab":
+        mine = sorted((r.place, r.id) for r in got if r.split == s)
+        assert [p for p, _ in mine] == list(range(len(mine))) and [i for _, i in mine] == sorted(i for _, i in mine)
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "BroadcastExchange" in plan and "Exchange hashpartitioning" not in plan and "Exchange rangepartitioning" not in plan
+    assert plan.count("FileScan parquet [id") == (1 if most > 1 else 2)
+
+
+def test_members_of_one_archive_in_several_tasks(spark, tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "m.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("folder/", "")
+        for i in range(100):
+            z.writestr(f"t{i:03d}.csv", f"a,b\n{i},x\n")
+    tar(tmp_path / "m.tar", {f"t{i:03d}.csv": f"a,b\n{i},x\n".encode() for i in range(100)}, "w")
+    tar(tmp_path / "m.tar.gz", {f"t{i:03d}.csv": f"a,b\n{i},x\n".encode() for i in range(100)})
+    got = {}
+    for name, parts in (("m.zip", 5), ("m.tar", 5), ("m.tar.gz", 1)):
+        df = archives.load(spark, "member_rows", str(tmp_path / name), member="t*.csv", part_bytes=100)
+        assert df.select(F.spark_partition_id()).distinct().count() >= parts
+        got[name] = sorted((r.member, r.row_no, tuple(r.cells)) for r in df.collect())
+        assert len(got[name]) == 200
+    assert got["m.zip"] == got["m.tar"] == got["m.tar.gz"]
+    assert archives.load(spark, "member_text", str(tmp_path / "m.tar"), member="none").count() == 0
+
+
+def test_stats_of_a_build_equal_those_of_records(spark, tmp_path):
+    from helixframe.operators import corpus
+
+    g = {f"db/GCA_00000{i}.1_genomic.fna.gz": gzip.compress(f">r1 x\nacgtNN{'ACGT' * i}\n>r2\nnnn\n>r3\n\n>r4\nACG\n".encode()) for i in range(5)}
+    tar(tmp_path / "g.tar", g, "w")
+    stats = builds.build_corpus(spark, [str(tmp_path / "g.tar")], str(tmp_path / "out"), length=3, rows_per_file=4)
+    plain = corpus.corpus_stats(archives.load(spark, "fasta_tar", str(tmp_path / "g.tar")), "archive_path", 3).first().asDict()
+    assert {k: stats[k] for k in plain} == plain
+    stored = archives.chunk_shards(spark, str(tmp_path / "out")).orderBy("file_name", "row_index").collect()
+    assert [r.gtdb_accession for r in stored] == sorted(r.gtdb_accession for r in stored)
+    chunks = corpus.genome_chunks(archives.load(spark, "fasta_tar", str(tmp_path / "g.tar")), 3).collect()
+    assert sorted(r.chunk_id for r in stored) == sorted(r.chunk_id for r in chunks)
