@@ -10,19 +10,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from helixframe.functions import ranges
+from helixframe.sources.stored import stored
 
 # Correlations that the paper reports, by study, and their published mean.
 REPORTED = {"adkar_2012": 0.25, "chen_2020": 0.57, "firnberg_2014": 0.55, "jacquier_2013": 0.47, "kelsic_2016": 0.60, "melnikov_2014": 0.45, "rockah_shmuel_2015": 0.32, "tsuboyama_2023": 0.42, "weeks_2023": 0.50}
 REPORTED_MEAN = 0.46
 
 
-def average_ranks(rows: DataFrame, group: str, value: str, name: str, known: list | None = None) -> DataFrame:
-    """group, value, name: the rank of each distinct value (a number) in its group, ties sharing their mean rank.
+def average_ranks(rows: DataFrame, group: str, value: str, name: str, known: list | None = None, weight: str | None = None) -> DataFrame:
+    """group, value, name: the rank of each distinct value (a number) in its group, ties sharing their mean rank. weight: how many rows one stands for.
 
     Equal values are counted first. Values are cut into ranges at quantiles (known, if they are); counts are summed by range,
     so a task orders the distinct values of one range of one group, however large the group is.
     """
-    counts = rows.groupBy(group, value).agg(F.count("*").alias("__n"))
+    counts = rows.groupBy(group, value).agg((F.count("*") if weight is None else F.sum(weight)).alias("__n"))
     known = ranges.bounds(rows, value)[0] if known is None else known
     counts = counts.withColumn("__range", ranges.place(known, F.col(value)))
     before = Window.partitionBy(group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
@@ -36,17 +37,18 @@ def average_ranks(rows: DataFrame, group: str, value: str, name: str, known: lis
 def spearman(rows: DataFrame, group: str, x: str, y: str) -> DataFrame:
     """group, num_variants, spearman. Undefined (constant or single) groups give null; rows without both values don't count.
 
-    Rows are counted by (group, x, y) and ranks joined to those counts; sums are taken about the mean rank, (n + 1) / 2.
+    Rows are read once and counted by (group, x, y); quantiles, ranks and sizes come from that table. Sums are taken about the mean
+    rank, (n + 1) / 2.
     """
     rows = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(group).alias("__g"), F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
-    pairs = rows.groupBy("__g", "__x", "__y").agg(F.count("*").alias("__m"))
-    for (value, rank), known in zip((("__x", "__rx"), ("__y", "__ry")), ranges.bounds(rows, "__x", "__y")):
-        ranks = average_ranks(rows, "__g", value, rank, known).alias("r")
-        pairs = pairs.alias("p").join(ranks, F.expr(f"p.__g <=> r.__g AND p.{value} = r.{value}")).select("p.*", rank)
-    sizes = rows.groupBy("__g").agg(F.count("*").alias("n"))
-    pairs = pairs.alias("p").join(sizes.alias("s"), F.expr("p.__g <=> s.__g")).select("p.*", ((F.col("n") + 1) / 2.0).alias("__c"))
+    pairs = stored(rows.groupBy("__g", "__x", "__y").agg(F.count("*").alias("__m")), "pairs")
+    sizes, found = pairs.groupBy("__g").agg(F.sum("__m").alias("n")), pairs
+    for (value, rank), known in zip((("__x", "__rx"), ("__y", "__ry")), ranges.bounds(pairs, "__x", "__y")):
+        ranks = average_ranks(pairs, "__g", value, rank, known, "__m").alias("r")
+        found = found.alias("p").join(ranks, F.expr(f"p.__g <=> r.__g AND p.{value} = r.{value}")).select("p.*", rank)
+    found = found.alias("p").join(sizes.alias("s"), F.expr("p.__g <=> s.__g")).select("p.*", ((F.col("n") + 1) / 2.0).alias("__c"))
     m, a, b = F.col("__m"), F.col("__rx") - F.col("__c"), F.col("__ry") - F.col("__c")
-    sums = pairs.groupBy("__g").agg(F.sum("__m").alias("num_variants"), F.sum(m * a * b).alias("ab"), F.sum(m * a * a).alias("aa"), F.sum(m * b * b).alias("bb"))
+    sums = found.groupBy("__g").agg(F.sum("__m").alias("num_variants"), F.sum(m * a * b).alias("ab"), F.sum(m * a * a).alias("aa"), F.sum(m * b * b).alias("bb"))
     return sums.select(F.col("__g").alias(group), "num_variants", (F.col("ab") / F.nullif(F.sqrt(F.col("aa") * F.col("bb")), F.lit(0.0))).alias("spearman"))
 
 
@@ -116,6 +118,6 @@ def base_frequency_scorer() -> Callable[[list[str]], list[float]]:
 
 
 def input_files(rows: DataFrame, files: DataFrame) -> DataFrame:
-    """name, sha256, rows, stop_variants of each input (rows: file, mutant_aa; files: file, content)."""
+    """name, sha256, rows, stop_variants of each input (rows: file, mutant_aa; files: file, sha256)."""
     n = rows.groupBy("file").agg(F.count("*").alias("rows"), F.count_if(F.contains("mutant_aa", F.lit("*"))).alias("stop_variants"))
-    return files.select("file", F.sha2("content", 256).alias("sha256")).join(n, "file").select(F.substring_index("file", "/", -1).alias("name"), "sha256", "rows", "stop_variants")
+    return files.select("file", "sha256").join(n, "file").select(F.substring_index("file", "/", -1).alias("name"), "sha256", "rows", "stop_variants")

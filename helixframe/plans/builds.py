@@ -114,7 +114,8 @@ def evaluate(spark: SparkSession, source: str, output: str, load, studies: list[
     results = evaluation.study_correlations(done.join(rows.select("row_key").distinct(), "row_key", "left_semi"))
     out = evaluation.compared(results, reported)
     sinks.write_csv(out, f"{output}/correlations", sinks.CORRELATION_COLUMNS)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(source).select(F.col("_metadata.file_path").alias("file"), "content")
+    named = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(source).select("path", F.col("_metadata.file_path").alias("file"))
+    files = archives.file_digests(spark, [r["path"] for r in named.collect()]).withColumnRenamed("file", "path").join(named, "path")  # a row per file
     inputs = evaluation.input_files(rows.select("mutant_aa", "file"), files).orderBy("name")
     sinks.write_stats(inputs.agg(F.sum("rows").alias("input_rows"), F.collect_list(F.struct("*")).alias("input_files")), f"{output}/run_metadata.json", created_at=datetime.now(UTC).isoformat(), model=model, versions={"python": platform.python_version(), "spark": spark.version, "pandas": pd.__version__}, batch_size=batch, likelihood_reduction="mean", prediction_rows=done.count())
     return out

@@ -11,6 +11,7 @@ from __future__ import annotations
 import csv
 import fnmatch
 import gzip
+import hashlib
 import io
 import re
 import tarfile
@@ -18,6 +19,7 @@ import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -31,7 +33,7 @@ GENOME_SUFFIX = ".fna.gz"
 @contextmanager
 def opened(path: str):
     """The file at a path or URI, for reading."""
-    store, at = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    store, at = fs.FileSystem.from_uri(quote(path, safe="/:@")) if re.match("[a-z0-9]+:/", path) else (fs.LocalFileSystem(), path)
     with store.open_input_file(at) as f:
         yield f
 
@@ -343,8 +345,39 @@ class Worksheet(DataSource):
         return WorksheetReader(self.options)
 
 
+class FileDigestReader(ArchiveReader):
+    """A partition per file; files are read piece by piece."""
+
+    def partitions(self):
+        return [Part(p) for p in self.paths] or [Part("")]
+
+    def read(self, partition):
+        if not partition.path:
+            return
+        digest, size = hashlib.sha256(), 0
+        with opened(partition.path) as f:
+            while piece := f.read(BATCH_BYTES):
+                digest.update(piece)
+                size += len(piece)
+        yield partition.path, digest.hexdigest(), size
+
+
+class FileDigests(DataSource):
+    """SHA-256 and size of whole files of any size."""
+
+    @classmethod
+    def name(cls):
+        return "file_digests"
+
+    def schema(self):
+        return "file string, sha256 string, size long"
+
+    def reader(self, schema):
+        return FileDigestReader(self.options)
+
+
 def register(spark: SparkSession) -> None:
-    for source in (FastaTar, MemberBytes, MemberRows, MemberText, Worksheet):
+    for source in (FastaTar, FileDigests, MemberBytes, MemberRows, MemberText, Worksheet):
         spark.dataSource.register(source)
 
 
@@ -353,6 +386,11 @@ def load(spark: SparkSession, kind: str, paths: str | list[str], **options) -> D
     return spark.read.format(kind).options(paths="\n".join([paths] if isinstance(paths, str) else paths), **{k: str(v) for k, v in options.items()}).load()
 
 
+def file_digests(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """file, sha256, size of files, each read piece by piece."""
+    return load(spark, "file_digests", paths)
+
+
 def first_genomes(records: DataFrame, n: int) -> DataFrame:
     """Records of the first n members in archive order."""
     chosen = records.select("archive", "member_ordinal").distinct().orderBy("archive", "member_ordinal").limit(n)

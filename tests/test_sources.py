@@ -320,3 +320,19 @@ def test_stats_of_a_build_equal_those_of_records(spark, tmp_path):
     assert [r.gtdb_accession for r in stored] == sorted(r.gtdb_accession for r in stored)
     chunks = corpus.genome_chunks(archives.load(spark, "fasta_tar", str(tmp_path / "g.tar")), 3).collect()
     assert sorted(r.chunk_id for r in stored) == sorted(r.chunk_id for r in chunks)
+
+
+def test_digests_of_large_files(spark, tmp_path):
+    """A sparse file of more than 2 GB is read piece by piece."""
+    import hashlib
+
+    (tmp_path / "a b%.txt").write_bytes(b"abc")
+    with open(tmp_path / "large", "wb") as f:
+        f.truncate((2 << 30) + 5)
+    (tmp_path / "none").touch()
+    got = {r.file.rpartition("/")[2]: (r.sha256, r.size) for r in archives.file_digests(spark, [str(tmp_path / "a b%.txt"), f"file:{tmp_path}/large", f"file://{tmp_path}/none"]).collect()}
+    h, zero = hashlib.sha256(), bytes(1 << 20)
+    for _ in range(2 << 10):
+        h.update(zero)
+    h.update(bytes(5))
+    assert got == {"a b%.txt": (hashlib.sha256(b"abc").hexdigest(), 3), "large": (h.hexdigest(), (2 << 30) + 5), "none": (hashlib.sha256(b"").hexdigest(), 0)}
