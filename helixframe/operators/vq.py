@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator
 
@@ -171,3 +172,82 @@ def batch_means(rows: DataFrame, position: str, batch: int, values: dict[str, Co
 
 def rms(rows: DataFrame, values: Column, by: list[str] = []) -> DataFrame:
     return rows.select(*by, F.explode(values).alias("x")).groupBy(*by).agg(F.sqrt(F.avg(F.col("x").cast("double") * F.col("x"))).alias("rms"))
+
+
+def constant(vectors: list[list[float]]) -> Column:
+    """Vectors as a constant of the plan: Spark folds the text into one array, however many numbers it has."""
+    if sum(map(len, vectors)) > MOST_CODEBOOK_VALUES:
+        raise ValueError("the codebook is too large to be a parameter")
+    return F.from_json(F.lit(json.dumps([[float(x) for x in v] for v in vectors])), "array<array<double>>")
+
+
+def _mix(a: Column, b: Column, share: Column) -> Column:
+    """a + (b - a) * share, entry by entry."""
+    return F.zip_with(a, b, lambda x, y: x + (y - x) * share)
+
+
+def pooled(values: Column, size: int) -> Column:
+    """area_pool of an array of vectors: the mean vector of each of size bins."""
+    n = F.size(values)
+
+    def one(i: Column) -> Column:
+        lo, hi = F.floor(i * n / size).cast("int"), F.ceil((i + 1) * n / size).cast("int")
+        zero = F.transform(F.get(values, lo), lambda x: F.lit(0.0))
+        return F.aggregate(F.slice(values, lo + 1, hi - lo), zero, lambda s, v: F.zip_with(s, v, lambda x, y: x + y), lambda s: F.transform(s, lambda x: x / (hi - lo)))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), one)
+
+
+def upsampled(values: Column, size: int) -> Column:
+    """linear_upsample of an array of vectors."""
+    n = F.size(values)
+
+    def one(i: Column) -> Column:
+        at = F.greatest((i + 0.5) * n / size - 0.5, F.lit(0.0))
+        lo = F.least(F.floor(at).cast("int"), n - 1)
+        return _mix(F.get(values, lo), F.get(values, F.least(lo + 1, n - 1)), at - lo)
+
+    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), one)
+
+
+def nearest_in(vector: Column, book: Column) -> Column:
+    """The place of the closest of a constant's vectors, the first of equals."""
+    return F.array_min(F.transform(book, lambda c, i: F.struct(squared_distance(vector, c), i.alias("code"))))["code"]
+
+
+def looked_up(codes: Column, book: Column, size: int) -> Column:
+    """The vectors that codes stand for, at size positions."""
+    return upsampled(F.transform(codes, lambda c: F.get(book, c)), size)
+
+
+def _minus(a: Column, b: Column, sign: int = -1) -> Column:
+    return F.zip_with(a, b, lambda u, v: F.zip_with(u, v, lambda x, y: x + sign * y))
+
+
+def residual_codes(rows: DataFrame, id_col: str, value_col: str, size: int, books: list[tuple[int, list[list[float]]]]) -> DataFrame:
+    """id, scale, codes, mse of each row's array of size vectors, quantized scale by scale; books: bins and codebook of each scale.
+
+    What earlier scales leave is pooled into the scale's bins, each bin gets its nearest code, and the codes' vectors, up-sampled, are
+    subtracted. mse is what is left then. A row's scales follow one another in one narrow pass: nothing is shuffled.
+    """
+    rows = rows.select(F.col(id_col), F.transform(value_col, lambda v: v.cast("array<double>")).alias("__left"))
+    found = []
+    for k, (bins, vectors) in enumerate(books):
+        book = constant(vectors)
+        rows = rows.withColumn(f"__codes{k}", F.transform(pooled(F.col("__left"), bins), lambda v: nearest_in(v, book)))  # noqa: B023
+        rows = rows.withColumn("__left", _minus(F.col("__left"), looked_up(F.col(f"__codes{k}"), book, size)))
+        total = F.aggregate("__left", F.lit(0.0), lambda s, v: s + F.aggregate(v, F.lit(0.0), lambda t, x: t + x * x))
+        rows = rows.withColumn(f"__mse{k}", total / F.aggregate("__left", F.lit(0), lambda s, v: s + F.size(v)))
+        found.append(F.struct(F.lit(k).alias("scale"), F.col(f"__codes{k}").alias("codes"), F.col(f"__mse{k}").alias("mse")))
+    # The outer explode: a plain one's test for empty arrays would be pushed below and work every scale out again.
+    return rows.select(id_col, F.explode_outer(F.array(*found)).alias("x")).select(id_col, "x.*")
+
+
+def decoded(codes: DataFrame, id_col: str, size: int, books: list[tuple[int, list[list[float]]]]) -> DataFrame:
+    """id, scale, values: the sum of the codes' vectors up to each scale, from residual_codes' rows; a prefix sum per row, as long as there are scales."""
+    of = F.lit(None).cast("array<array<double>>")
+    for k, (_, vectors) in reversed(list(enumerate(books))):
+        of = F.when(F.col("scale") == k, looked_up(F.col("codes"), constant(vectors), size)).otherwise(of)
+    parts = codes.select(id_col, F.struct("scale", of.alias("part")).alias("p")).groupBy(id_col).agg(F.array_sort(F.collect_list("p")).alias("ps"))
+    sums = F.aggregate("ps", F.array().cast("array<struct<scale:int,values:array<array<double>>>>"), lambda done, p: F.concat(done, F.array(F.struct(p["scale"].alias("scale"), F.when(F.size(done) > 0, _minus(F.element_at(done, -1)["values"], p["part"], 1)).otherwise(p["part"]).alias("values")))))
+    return parts.select(id_col, F.inline(sums))

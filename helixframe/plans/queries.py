@@ -315,6 +315,55 @@ def nearest_code(spark, sf_dir):
     return _assigned(spark, sf_dir).select("vec_id", "code")
 
 
+#: Bins of the scales that embeddings, as 8 positions of 8 numbers, are quantized at; each scale's 8 codes are other vectors' beginnings.
+BINS = (1, 2, 8)
+
+
+def _books(spark, sf_dir) -> list[tuple[int, list[list[float]]]]:
+    rows = [r[0] for r in table(spark, sf_dir, "embeddings").orderBy("vec_id").limit(8 * len(BINS)).select(F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double"))).collect()]
+    return [(n, rows[8 * k : 8 * k + 8]) for k, n in enumerate(BINS)]
+
+
+def _positions(spark, sf_dir) -> DataFrame:
+    at = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda p: F.slice("embedding", p * 8 + 1, F.lit(8)))
+    return table(spark, sf_dir, "embeddings").select("vec_id", at.alias("values"))
+
+
+def _scale_sql(k: int, n: int) -> str:
+    """One scale of residual quantization: codes, what their vectors give at 8 positions, and what is left."""
+    pool = f"list_transform(range(0,{n}), lambda b: list_transform(range(1,9), lambda d: list_avg(list_transform(range((b*8)//{n}+1, -((-(b+1)*8)//{n})+1), lambda p: r[p][d]))))"
+    code = f"list_transform({pool}, lambda v: list_transform(b{k}, lambda c: list_sum(list_transform(range(1,9), lambda j: (v[j]-c[j])*(v[j]-c[j])))))"
+    at = f"greatest((p+0.5)*{n}/8-0.5, 0)"
+    lo, hi = f"least(floor({at})::INT,{n - 1})", f"least(floor({at})::INT+1,{n - 1})"
+    up = f"list_transform(range(0,8), lambda p: list_transform(range(1,9), lambda d: q[{lo}+1][d] + (q[{hi}+1][d]-q[{lo}+1][d])*({at}-{lo})))"
+    left = "list_transform(range(1,9), lambda p: list_transform(range(1,9), lambda d: r[p][d]-u[p][d]))"
+    return f"""c{k} AS (SELECT vec_id, r, list_transform({code}, lambda x: (list_position(x, list_min(x))-1)::INT) AS codes FROM r{k}, books), q{k} AS (SELECT vec_id, r, codes, list_transform(codes, lambda c: b{k}[c+1]) AS q FROM c{k}, books),
+u{k} AS (SELECT vec_id, r, codes, {up} AS u FROM q{k}), r{k + 1} AS (SELECT vec_id, codes, u, {left} AS r FROM u{k})"""
+
+
+RESIDUAL_SQL = f"""n AS (SELECT row_number() OVER (ORDER BY vec_id)-1 AS i, embedding[1:8]::DOUBLE[] AS v FROM (SELECT * FROM embeddings ORDER BY vec_id LIMIT {8 * len(BINS)})),
+books AS (SELECT {", ".join(f"list(v ORDER BY i) FILTER (i//8={k}) AS b{k}" for k in range(len(BINS)))} FROM n),
+r0 AS (SELECT vec_id, list_transform(range(0,8), lambda p: embedding[p*8+1:p*8+8]::DOUBLE[]) AS r FROM embeddings), {", ".join(_scale_sql(k, n) for k, n in enumerate(BINS))}"""
+
+
+@query(f"WITH {RESIDUAL_SQL} " + " UNION ALL ".join(f"SELECT vec_id, {k} AS scale, codes, round(list_sum(list_transform(flatten(r), lambda x: x*x))/64, 9) AS mse FROM r{k + 1}" for k in range(len(BINS))))
+def residual_codes(spark, sf_dir):
+    out = vq.residual_codes(_positions(spark, sf_dir), "vec_id", "values", 8, _books(spark, sf_dir))
+    return out.select("vec_id", "scale", "codes", F.round("mse", 9).alias("mse"))
+
+
+@query(f"WITH {RESIDUAL_SQL}, s AS (" + " UNION ALL ".join(f"SELECT vec_id, {k} AS scale, flatten(u) AS u FROM r{k + 1}" for k in range(len(BINS))) + """), e AS (SELECT vec_id, scale, i, u[i] AS x FROM (SELECT *, unnest(range(1,65)) AS i FROM s)), t AS (SELECT vec_id, scale, i, sum(x) OVER (PARTITION BY vec_id, i ORDER BY scale) AS x FROM e)
+SELECT vec_id, scale, round(sum(x*x),7) AS energy, round(sum(x*i),6) AS moment FROM t GROUP BY 1, 2""")
+def cumulative_decode(spark, sf_dir):
+    """What is decoded up to each scale, told by two sums over its numbers."""
+    books = _books(spark, sf_dir)
+    out = vq.decoded(vq.residual_codes(_positions(spark, sf_dir), "vec_id", "values", 8, books), "vec_id", 8, books)
+    flat = F.flatten("values")
+    energy = F.aggregate(flat, F.lit(0.0), lambda s, x: s + x * x)
+    moment = F.aggregate(F.transform(flat, lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+    return out.select("vec_id", "scale", F.round(energy, 7).alias("energy"), F.round(moment, 6).alias("moment"))
+
+
 @query(f"WITH {CODES_SQL} SELECT * FROM h")
 def code_histogram(spark, sf_dir):
     return vq.code_histogram(_assigned(spark, sf_dir), 16)
