@@ -10,6 +10,7 @@ from itertools import islice
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -153,35 +154,90 @@ def dealt(rows: DataFrame, world_size: int, order: str) -> DataFrame:
     return rows.withColumn("rank", F.pmod(F.col(order), F.lit(world_size)).cast("int"))
 
 
+#: Keys that rows with one frequent value are dealt over where rows are numbered.
+DEALT = 64
+
+
 def with_place(rows: DataFrame, order: str, name: str = "place") -> DataFrame:
     """rows with their dense place from 0 in the order of a number; equal ones in any order, nulls last.
 
-    Ranges between quantiles are counted and summed; a task orders one of them.
+    Ranges between quantiles are counted and summed; a task orders one of them. A value that many rows have is a quantile: such rows are
+    dealt over keys of their own, so that no task numbers all of them.
     """
     known = ranges.bounds(rows, order)[0]
     cut = rows.withColumn("__range", F.coalesce(ranges.place(known, F.col(order)), F.lit(ranges.RANGES)))
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range: 257 at most
-    starts = cut.groupBy("__range").agg(F.count("*").alias("__n")).withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    inside = Window.partitionBy("__range").orderBy(F.col(order).asc_nulls_last())
-    return cut.join(F.broadcast(starts), "__range").withColumn(name, (F.col("__start") + F.row_number().over(inside) - 1).cast("long")).drop("__range", "__start")
+    many = F.col(order).isNull() | (F.col(order).isin(known) if known else F.lit(False))
+    cut = cut.withColumn("__deal", F.when(many, F.pmod(F.xxhash64(*rows.columns), F.lit(DEALT))).otherwise(DEALT).cast("int"))
+    before = Window.orderBy("__range", "__deal").rowsBetween(Window.unboundedPreceding, -1)  # 257 * 65 rows at most
+    starts = cut.groupBy("__range", "__deal").agg(F.count("*").alias("__n")).withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    inside = Window.partitionBy("__range", "__deal").orderBy(F.col(order).asc_nulls_last())
+    return cut.join(F.broadcast(starts), ["__range", "__deal"]).withColumn(name, (F.col("__start") + F.row_number().over(inside) - 1).cast("long")).drop("__range", "__start", "__deal")
+
+
+#: Rounds of the permutation, and walks back into its domain before it gives up (each fails with a chance below a half).
+ROUNDS, WALKS = 6, 64
+
+
+def permuted(place: Column, n: int, seed: int) -> Column:
+    """A bijection of 0 .. n - 1 that depends on the seed: a Feistel network on the bits that n needs, walked until it is within.
+
+    Each number's place is worked out by itself, so an order of any number of rows needs neither a sort nor a shuffle.
+    """
+    bits = max(2, (max(n, 1) - 1).bit_length())
+    low = bits // 2
+    high = bits - low
+
+    def network(x: Column) -> Column:
+        """Halves of high and low bits; odd rounds change the one, even rounds the other, by a hash of the half that stays."""
+        pair = F.struct(F.shiftrightunsigned(x, low).alias("a"), x.bitwiseAND((1 << low) - 1).alias("b"))
+
+        def turn(p: Column, r: Column) -> Column:
+            keyed = lambda half, width: F.xxhash64(F.lit(seed), r, half).bitwiseAND((1 << width) - 1)
+            even = r % 2 == 0
+            return F.struct(F.when(even, p["a"].bitwiseXOR(keyed(p["b"], high))).otherwise(p["a"]).alias("a"), F.when(even, p["b"]).otherwise(p["b"].bitwiseXOR(keyed(p["a"], low))).alias("b"))
+
+        return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), pair, turn, lambda p: F.shiftleft(p["a"], low).bitwiseOR(p["b"]))
+
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), network(place.cast("long")), lambda x, _: F.when(x < n, x).otherwise(network(x)))
+    return F.when(walked < n, walked).otherwise(F.raise_error(F.lit("no place in the permutation: take another seed")).cast("long"))
+
+
+def numbered_windows(rows: DataFrame, window: int, sequence_col: str = "sequence") -> tuple[DataFrame, int]:
+    """(place, window) of the whole windows of every sequence, place dense from 0, and how many there are.
+
+    Partitions' windows are counted first (a row per partition); within a partition they are numbered as they pass. rows should be a
+    table: it is read twice and must come in the same partitions.
+    """
+    rows = rows.select(F.col(sequence_col).alias("sequence"))
+    part = rows.select(F.spark_partition_id().alias("part"), F.floor(F.char_length("sequence") / window).cast("long").alias("n"))
+    counts = {r["part"]: r["n"] for r in part.groupBy("part").agg(F.sum("n").alias("n")).collect()}
+    starts, total = {}, 0
+    for p in sorted(counts):
+        starts[p], total = total, total + (counts[p] or 0)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = starts.get(TaskContext.get().partitionId(), 0)
+        most = max(1, PIECE_BYTES // window)
+        found = (s[i : i + window] for b in batches for s in b.column(0).to_pylist() if s for i in range(0, len(s) - window + 1, window))
+        while some := list(islice(found, most)):
+            yield pa.RecordBatch.from_arrays([pa.array(range(at, at + len(some)), pa.int64()), pa.array(some, pa.string())], names=["place", "window"])
+            at += len(some)
+
+    return rows.mapInArrow(number, "place long, window string"), total
 
 
 def training_batches(rows: DataFrame, window: int, batch: int, seed: int, world_size: int = 1, rank: int = 0, sequence_col: str = "sequence") -> DataFrame:
     """batch_no, input_ids: a rank's batches of windows of stored sequences (one column), shuffled by seed.
 
     Every window goes to one rank; the tail of a sequence that is shorter than a window is left out, and so are a rank's last
-    windows that don't fill a batch. Windows are dealt by a hash of their text and of their number among equal ones; the
-    order within a rank is numbered range by range, so no task sees all of it.
+    windows that don't fill a batch. A keyed permutation of the windows' places gives each its rank, batch and place in the batch:
+    nothing is sorted, and equal windows are as good as any. The only shuffle brings the rows of a batch together.
     """
-    cut = rows.select(F.explode(dna.windows(F.col(sequence_col), window)).alias("window")).filter(F.char_length("window") == window)
-    cut = cut.withColumn("__copy", F.row_number().over(Window.partitionBy("window").orderBy(F.lit(0))))
-    mine = rank_split(cut, world_size, rank, "window", "__copy").withColumn("__o", F.xxhash64(F.lit(seed), "window", "__copy"))
-    mine = mine.withColumn("__range", F.shiftright("__o", 54))  # 1,024 ranges of the order
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = mine.groupBy("__range").agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    inside = Window.partitionBy("__range").orderBy("__o", "window", "__copy")
-    placed = mine.join(F.broadcast(starts), "__range").withColumn("place", F.col("start") + F.row_number().over(inside) - 1)
-    return token_batches(placed.select("window", "place"), batch, "place").filter(F.size("input_ids") == batch)
+    cut, total = numbered_windows(rows, window, sequence_col)
+    cut = cut.select("window", permuted(F.col("place"), total, seed).alias("__p"))
+    mine = cut.filter(F.col("__p") % world_size == rank).select("window", F.floor(F.col("__p") / world_size).cast("long").alias("place"))
+    whole = (total - rank + world_size - 1) // world_size // batch * batch
+    return token_batches(mine.filter(F.col("place") < whole), batch, "place")
 
 
 def first_batches(batches: DataFrame, n: int) -> DataFrame:

@@ -117,11 +117,31 @@ def write_state(df: DataFrame, path: str, step: int) -> None:
     publish(df.sparkSession, f"{path}/step-{step:09d}", lambda at: df.write.mode("overwrite").parquet(at))
 
 
+def last_step(spark: SparkSession, path: str) -> int | None:
+    """The last step whose state stands under path."""
+    p, store = _path(spark, path)
+    names = [f.getPath().getName() for f in store.listStatus(p)] if store.exists(p) else []
+    return max((int(n[5:]) for n in names if n.startswith("step-")), default=None)
+
+
+def read_step(spark: SparkSession, path: str, step: int) -> DataFrame:
+    return spark.read.parquet(f"{path}/step-{step:09d}")
+
+
 def read_state(spark: SparkSession, path: str) -> tuple[int, DataFrame]:
     """The last step written and its state."""
+    step = last_step(spark, path)
+    if step is None:
+        raise FileNotFoundError(f"no state under {path}")
+    return step, read_step(spark, path, step)
+
+
+def drop_incomplete(spark: SparkSession, path: str) -> None:
+    """Deletes what a killed write_state left under path."""
     p, store = _path(spark, path)
-    last = max(f.getPath().getName() for f in store.listStatus(p) if f.getPath().getName().startswith("step-"))
-    return int(last[5:]), spark.read.parquet(f"{path}/{last}")
+    for f in store.listStatus(p) if store.exists(p) else []:
+        if f.getPath().getName().endswith(".incomplete"):
+            store.delete(f.getPath(), True)
 
 
 def publish(spark: SparkSession, path: str, write) -> None:

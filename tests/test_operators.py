@@ -1,4 +1,5 @@
 import math
+import os
 
 import numpy as np
 import pandas as pd
@@ -389,3 +390,124 @@ def test_evaluate_on_the_command_line(spark, tmp_path, monkeypatch):
     pd.DataFrame([("weeks_2023", "a", "ACGT"[: i + 1], "M", "c.=", str(i), "1") for i in range(4)], columns=names).to_csv(tmp_path / "in" / "x.csv", index=False)
     cli.main(["evaluate", str(tmp_path / "in"), "--output", str(tmp_path / "out"), "--scorer", "helixframe.operators.evaluation:base_frequency_scorer"])
     assert '"weeks_2023"' not in (tmp_path / "out" / "run_metadata.json").read_text() and "base_frequency_scorer" in (tmp_path / "out" / "run_metadata.json").read_text()
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 1000, 4097])
+def test_permutations_are_bijections(spark, n):
+    got = [spark.range(n).select(corpus.permuted(F.col("id"), n, seed).alias("p")).toPandas().p.tolist() for seed in (1, 2)]
+    assert sorted(got[0]) == sorted(got[1]) == list(range(n))
+    if n > 50:
+        assert got[0] != got[1] and abs(np.corrcoef(got[0], range(n))[0, 1]) < 0.3
+
+
+def test_batches_of_equal_windows(spark, tmp_path):
+    """Nine of ten windows are the same text: ranks are disjoint, exhaustive and equally large, and no window is by text."""
+    texts = ["A" * 4 * 9 + "".join("ACGT"[(i >> k) & 3] for k in (0, 2, 4, 6)) for i in range(100)] + ["ACG", None, ""]
+    spark.createDataFrame([(t,) for t in texts], "sequence string").repartition(5).write.parquet(str(tmp_path / "s"))
+    df = spark.read.parquet(str(tmp_path / "s"))
+    ranks = [corpus.training_batches(df, 4, 10, 7, 3, r).collect() for r in range(3)]
+    assert [sorted(b.batch_no for b in rank) for rank in ranks] == [list(range(33))] * 3
+    assert all(len(b.input_ids) == 10 for rank in ranks for b in rank)
+    seen = sorted("".join("ACGT"[i] for i in w) for rank in ranks for b in rank for w in b.input_ids)
+    every = sorted(t[i : i + 4] for t in texts if t for i in range(0, len(t) - 3, 4))
+    assert len(seen) == 990 and len(every) == 1000
+    from collections import Counter
+
+    assert not Counter(seen) - Counter(every)
+    again = corpus.training_batches(df, 4, 10, 7, 3, 1).collect()
+    assert sorted(map(str, again)) == sorted(map(str, ranks[1]))
+
+
+def test_places_of_a_frequent_value(spark):
+    df = spark.range(10_000).select(F.when(F.col("id") % 2 == 0, 5).when(F.col("id") % 101 == 1, F.lit(None)).otherwise(F.col("id")).alias("v"), "id")
+    got = corpus.with_place(df, "v").collect()
+    assert sorted(r.place for r in got) == list(range(10_000))
+    values = [r.v for r in sorted(got, key=lambda r: r.place)]
+    assert [v for v in values if v is not None] == sorted(v for v in values if v is not None) and values[-99:] == [None] * 99 if values.count(None) == 99 else values[-1] is None
+
+
+def test_residuals_fall(spark):
+    r = np.random.default_rng(1)
+    x = r.normal(size=(40, 8, 3))
+    books = []
+    left = x.copy()
+    for bins in (1, 2, 8):
+        pool = left.reshape(40, bins, 8 // bins, 3).mean(2).reshape(-1, 3)
+        centres = pool[:6]
+        for _ in range(5):
+            near = ((pool[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+            centres = np.array([pool[near == k].mean(0) if (near == k).any() else centres[k] for k in range(6)])
+        books.append((bins, centres.tolist()))
+        left = left if bins == 8 else left - np.repeat(centres[near].reshape(40, bins, 3), 8 // bins, 1)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<array<double>>")
+    codes = vq.residual_codes(df, "id", "v", 8, books)
+    mse = {q.scale: q.m for q in codes.groupBy("scale").agg(F.avg("mse").alias("m")).collect()}
+    assert (x**2).mean() > mse[0] > mse[1] > mse[2] and mse[2] < 0.7 * mse[0]
+    last = {q.id: np.array(q.values_) for q in vq.decoded(codes, "id", 8, books).filter("scale = 2").withColumnRenamed("values", "values_").collect()}
+    error = {q.id: q.mse for q in codes.filter("scale = 2").collect()}
+    assert all(abs(((x[i] - last[i]) ** 2).mean() - error[i]) < 1e-9 for i in range(40))
+
+
+def test_a_stream_that_is_killed_ends_in_the_same_codebook(spark, tmp_path):
+    from helixframe.sources import sinks
+    from helixframe.streaming import codebooks
+
+    r = np.random.default_rng(4)
+    batches = [r.normal(size=(12, 3)) for _ in range(4)]
+    first = spark.createDataFrame([(c, d, 1.0, float(v), float(v), False) for c, vec in enumerate(batches[0][:3]) for d, v in enumerate(vec)], "code int, dim int, ema_count double, ema_sum double, value double, hit boolean")
+    state = first
+    for k, b in enumerate(batches):
+        one = spark.createDataFrame([(100 * k + i, v.tolist()) for i, v in enumerate(b)], "id long, v array<double>")
+        one.coalesce(1).write.parquet(str(tmp_path / f"part{k}"))
+        (tmp_path / "in").mkdir(exist_ok=True)
+        next((tmp_path / f"part{k}").glob("*.parquet")).rename(tmp_path / "in" / f"{k}.parquet")
+        sinks.write_state(codebooks.stepped(state, one, "id", "v", 0.9), str(tmp_path / "plain"), k)
+        state = sinks.read_step(spark, str(tmp_path / "plain"), k)
+        os.utime(tmp_path / "in" / f"{k}.parquet", (1_700_000_000 + k, 1_700_000_000 + k))
+    stream = lambda: spark.readStream.schema("id long, v array<double>").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+
+    def killed(batch_id):
+        if batch_id == 1:
+            raise RuntimeError("killed")
+
+    run = lambda after=None: codebooks.follow(stream(), first, str(tmp_path / "state"), str(tmp_path / "check"), "id", "v", 0.9, after)
+    with pytest.raises(Exception, match="killed"):
+        run(killed).awaitTermination()
+    assert sinks.last_step(spark, str(tmp_path / "state")) == 2  # the state stands, the batch doesn't count as done
+    (tmp_path / "state" / ".step-000000003.incomplete").mkdir()
+    run().awaitTermination()
+    step, got = sinks.read_state(spark, str(tmp_path / "state"))
+    assert step == 4
+    key = lambda df: sorted((x.code, x.dim, round(x.ema_count, 9), round(x.ema_sum, 9), round(x.value, 9), x.hit) for x in df.collect())
+    assert key(got) == key(state)
+
+
+def test_archives_that_arrive(spark, tmp_path):
+    import gzip
+
+    from helixframe.streaming import folders
+    from tests.test_sources import tar
+
+    (tmp_path / "in").mkdir()
+    def arrive(i, mode="w:gz"):
+        tar(tmp_path / f"x{i}", {f"d/GCA_00{i}{k}.1_genomic.fna.gz": gzip.compress(f">r\n{'ACGTN' * (i + k + 1)}\n".encode()) for k in range(3)}, mode)
+        (tmp_path / f"x{i}").rename(tmp_path / "in" / f"a{9 - i}.tar{'.gz' if mode == 'w:gz' else ''}")
+
+    def run(most=None):
+        members = folders.arriving(spark, str(tmp_path / "in"), str(tmp_path / "log" / "archives.json"), "*.fna.gz", most)
+        streaming.append_to(corpus.member_chunks(members, 3), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+
+    arrive(1)
+    arrive(2, "w")
+    (tmp_path / "in" / ".hidden.tar").write_bytes(b"x")
+    run()
+    once = spark.read.parquet(str(tmp_path / "out")).count()
+    run()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == once > 0
+    arrive(3)
+    arrive(4)
+    run(1)  # one batch of one archive; the other comes with the next run
+    run()
+    batch = corpus.member_chunks(archives.load(spark, "member_bytes", sorted(str(p) for p in (tmp_path / "in").glob("a*")), member="*.fna.gz"), 3)
+    rows = lambda df: sorted(map(str, df.select("archive_path", "record_id", "chunk_start", "sequence").collect()))
+    assert rows(spark.read.parquet(str(tmp_path / "out"))) == rows(batch)
