@@ -17,14 +17,35 @@ def seed_from_hash(digest: Column) -> Column:
     return F.conv(F.substring(digest, 1, 16), 16, 10).cast("decimal(20,0)")
 
 
+def _two_product(a: Column, b: float) -> tuple[Column, Column]:
+    """a * b as a double and the exact rest, by splitting the factors into halves (Dekker)."""
+    split = lambda x: x * 134217729.0 - (x * 134217729.0 - x)
+    product, high = a * b, split(a)
+    b_high = b * 134217729.0 - (b * 134217729.0 - b)
+    low, b_low = a - high, b - b_high
+    return product, low * b_low - (((product - high * b_high) - low * b_high) - high * b_low)
 
-def python_round(x: Column, digits: int) -> Column:
-    """Python's round(): to the nearest decimal of the exact binary value, halves to even; in Arrow batches."""
-    @F.pandas_udf("double")
-    def rounded(v: pd.Series) -> pd.Series:
-        return v.map(lambda a: None if pd.isna(a) else round(float(a), digits)).astype(float)
 
-    return rounded(x)
+def python_round(x: Column, digits: int) -> Column:
+    """Python's round(): to the nearest decimal of the exact binary value, halves to even; digits from 0 to 12.
+
+    The scaled value is kept exactly, as a double and its rest, so a half is told from what is near one. What is left is one correctly
+    rounded division, or, where the scaled value has more than 53 bits, the reading of its decimal digits.
+    """
+    if not 0 <= digits <= 12:
+        raise ValueError("digits must be from 0 to 12")
+    x = x.cast("double")
+    size = F.abs(x)
+    scaled, rest = _two_product(size, float(10**digits))
+    whole = F.floor(scaled).cast("double")
+    over = (scaled - whole - 0.5) + rest  # its sign is exact: whether the exact value lies above, at or below the half
+    near = whole + F.when((over > 0) | ((over == 0) & (F.pmod(whole, F.lit(2.0)) == 1)), 1.0).otherwise(0.0)
+    high = F.floor(scaled / 4294967296.0)
+    dec = lambda c: c.cast("bigint").cast("decimal(38,0)")
+    digits_of = (dec(high) * F.lit(4294967296).cast("decimal(38,0)") + dec(scaled - high.cast("double") * 4294967296.0) + dec(F.rint(rest))).cast("decimal(38,0)")
+    long = F.concat(digits_of.cast("string"), F.lit(f"E-{digits}")).cast("double")
+    done = F.when(scaled < float(1 << 53), near / float(10**digits)).otherwise(long)
+    return F.when((size >= float(1 << 52)) | (x == 0), x).when(x < 0, -done).otherwise(done)
 
 
 def python_text(x: Column) -> Column:

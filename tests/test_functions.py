@@ -1,5 +1,6 @@
 import random
 
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -109,3 +110,23 @@ def test_python_numbers(spark):
     rows = spark.createDataFrame([(v,) for v in x], "v double").select(scores.python_round(F.col("v"), 4).alias("r"), scores.python_text(F.col("v")).alias("t")).collect()
     assert [r["r"] for r in rows] == [None if v is None else round(v, 4) for v in x]
     assert [r["t"] for r in rows] == [None if v is None else str(v) for v in x]
+
+
+@pytest.mark.parametrize("digits", [0, 1, 3, 6, 12])
+def test_rounding_equals_pythons(spark, digits):
+    """A million doubles of all sizes, halves and what is next to them: equal to round(), bit by bit, without Python in the plan."""
+    import numpy as np
+
+    r = np.random.default_rng(digits)
+    near = r.integers(-(10**6), 10**6, 20_000) / 10**digits + r.choice([0.5, -0.5], 20_000) / 10**digits
+    some = [r.integers(0, 1 << 63, 100_000, dtype=np.uint64).view("float64") * r.choice([1, -1], 100_000), r.normal(size=50_000) * 10.0 ** r.integers(-8, 20, 50_000), near, np.nextafter(near, 0), np.nextafter(near, np.inf), np.arange(-4000, 4000) / 8]
+    x = np.concatenate([*some, [0.0, -0.0, np.inf, -np.inf, 2.675, 0.5, 1.5, 2.5, 2.0**52 + 1, 2.0**51 + 0.5, 5e-324]])
+    x = x[~np.isnan(x)]
+    df = spark.createDataFrame(pd.DataFrame({"x": x})).repartition(8)
+    out = df.select("x", scores.python_round(F.col("x"), digits).alias("y"))
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString().replace("LocalTableScan", "")
+    got = out.toPandas()
+    want = np.array([round(float(v), digits) if np.isfinite(v) else v for v in got.x])
+    bad = np.flatnonzero(got.y.to_numpy().view("int64") != want.view("int64"))
+    assert not len(bad), [(got.x[i], got.y[i], want[i]) for i in bad[:5]]
+    assert out.limit(0).count() == 0 and spark.range(1).select(scores.python_round(F.lit(None).cast("double"), digits).alias("y")).first().y is None
