@@ -68,7 +68,7 @@ def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-# What SQL can say of four results: the same operators with the same parameters, fewer columns.
+# What SQL can say of five results: the same operators with the same parameters, fewer columns.
 
 
 def base_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,6 +90,10 @@ def base_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
 
 
+def vector_deviations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_whitening(spark, sf_dir).filter("component = 1").select("vec_id", "n", "deviation")
+
+
 QUERIES: dict[str, Query] = {
     "op1_secrets": op1_secrets,
     "op2_html": op2_html,
@@ -108,6 +112,7 @@ QUERIES: dict[str, Query] = {
     "edited_texts": edited_texts,
     "mix_targets": mix_targets,
     "base_licenses": base_licenses,
+    "vector_deviations": vector_deviations,
 }
 
 _ASSIGN = r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"'']?\x20*[:=]\x20*[\"'']?)([A-Za-z0-9+/_.=-]+)"""
@@ -135,6 +140,14 @@ ORACLE: dict[str, str] = {
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.t)+1), lambda i: q.t[i]*c.t[i]))::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
 SELECT query_id, n::INT AS rank, vec_id, score FROM r WHERE n <= 5""",
+    "op5_minhash": """WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+3],' ') AS x FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w)-3,1)+1)) AS i FROM d WHERE len(w) > 0)),
+z AS (SELECT doc_id, count(*)::BIGINT AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN z x ON a = x.doc_id JOIN z y ON b = y.doc_id WHERE 100*i >= 80*(x.n+y.n-i)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS c FROM d UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.c = e.a)
+SELECT r.doc_id, coalesce(any_value(n),0)::BIGINT AS n_shingles, min(c) AS component_id, r.doc_id = min(c) AS kept FROM r LEFT JOIN z USING (doc_id) GROUP BY r.doc_id""",
     "op7_warc": """WITH p AS (SELECT page_id, url, sha256(coalesce(html,'')) AS d, octet_length(encode(coalesce(html,'')))::BIGINT AS n FROM pages),
 f AS (SELECT d, min(page_id) AS m FROM p WHERE n >= 100 GROUP BY d)
 SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN m IS NOT NULL AND page_id IS DISTINCT FROM m THEN 'revisit' ELSE 'response' END AS record_type,
@@ -159,4 +172,8 @@ h AS (SELECT doc_id, i, n, item FROM p JOIN win USING (n, x)),
 c AS (SELECT doc_id, count(DISTINCT j)::BIGINT AS n_hit FROM (SELECT doc_id, unnest(range(i, i+n)) AS j FROM h) GROUP BY 1),
 s AS (SELECT doc_id, count(*)::BIGINT AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256 FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY 1)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit,0) AS n_hit, coalesce(n_items,0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated FROM d LEFT JOIN c USING (doc_id) LEFT JOIN s USING (doc_id)""",
+    "vector_deviations": """WITH v AS (SELECT row_number() OVER () AS k, vec_id, list_transform(embedding::DOUBLE[], lambda c: floor(1024*c)::BIGINT + 100000) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+e AS (SELECT k, vec_id, i, x[i] AS x FROM (SELECT *, unnest(range(1, len(x)+1)) AS i FROM v)), s AS (SELECT i, count(*) AS n, sum(x) AS t FROM e GROUP BY 1)
+SELECT any_value(vec_id) AS vec_id, any_value(n)::BIGINT AS n, sum((n*x-t)*(n*x-t))::BIGINT AS deviation FROM e JOIN s USING (i) GROUP BY k""",
 }
