@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions import dna, hgvs
 from helixframe.functions.scores import python_round, python_text
+from helixframe.sources.stored import stored
 from helixframe.operators.corpus import keep_first
 from helixframe.sources.archives import load, named, reference_fasta
 from helixframe.sources.sinks import NCRNA_COLUMNS, VARIANT_COLUMNS, write_by_assay
@@ -254,14 +255,21 @@ def ncrna(spark: SparkSession, archive: str) -> DataFrame:
 
 
 TARGET_ORGANISM = "Escherichia coli K-12"
-_DUMP = """struct<asOf:string,experimentSets:array<struct<experiments:array<struct<scoreSets:array<struct<urn:string,metaAnalyzesScoreSetUrns:array<string>,
-targetGenes:array<struct<name:string,targetSequence:struct<sequence:string,taxonomy:struct<organismName:string>>>>>>>>>>>"""
+#: Where a dump's score sets and date stand, and what is read of a score set.
+SETS, DATE = "experimentSets[].experiments[].scoreSets[]", "asOf"
+_SET = """struct<urn:string,metaAnalyzesScoreSetUrns:array<string>,
+targetGenes:array<struct<name:string,targetSequence:struct<sequence:string,taxonomy:struct<organismName:string>>>>>"""
 
 
 def score_sets(spark: SparkSession, archive: str, organism: str = TARGET_ORGANISM) -> DataFrame:
-    """urn, target, organism, wt_nt, released of the combined score sets of one organism, in order of urn."""
-    text = load(spark, "member_text", archive, member="*/main.json").select(F.from_json("text", _DUMP, {"mode": "FAILFAST"}).alias("d"))
-    e = text.select("d.asOf", F.explode("d.experimentSets").alias("s")).select("asOf", F.explode("s.experiments").alias("e")).select("asOf", F.explode("e.scoreSets").alias("x"))
+    """urn, target, organism, wt_nt, released of the combined score sets of one organism, in order of urn.
+
+    The dump streams by once; each of its score sets is a row.
+    """
+    found = stored(load(spark, "json_values", archive, member="*/main.json", values=f"{SETS}\n{DATE}").select("path", "value"), "score-sets")
+    date = found.agg(F.max(F.when(F.col("path") == DATE, F.from_json(F.concat(F.lit('{"v":'), "value", F.lit("}")), "v string")["v"])).alias("asOf"))  # one row
+    # Parsed on its own: a filter pushed below would parse the other values too.
+    e = stored(found.filter(F.col("path") == SETS).select(F.from_json("value", _SET, {"mode": "FAILFAST"}).alias("x")), "parsed-sets").crossJoin(F.broadcast(date))
     gene = F.get("x.targetGenes", F.lit(0))
     rows = e.select(F.col("x.urn").alias("urn"), F.col("x.metaAnalyzesScoreSetUrns").alias("parts"), gene["name"].alias("target"), gene["targetSequence"].alias("t"), F.col("asOf").alias("released"))
     rows = rows.filter("t IS NOT NULL AND size(parts) > 0").filter(F.col("t.taxonomy.organismName") == organism)

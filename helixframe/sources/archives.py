@@ -13,6 +13,7 @@ import fnmatch
 import gzip
 import hashlib
 import io
+import json
 import re
 import tarfile
 import xml.etree.ElementTree as ET
@@ -230,6 +231,91 @@ class MemberText(DataSource):
         return MemberTextReader(self.options)
 
 
+#: Characters of a JSON text that are read at once.
+JSON_PIECE = 1 << 20
+_TOKEN = re.compile(r'\s*("(?:[^"\\]|\\.)*"|[{}\[\],:]|[^\s{}\[\],:"]+)', re.S)
+
+
+def json_values(read, wanted: set[str], piece: int = JSON_PIECE) -> Iterator[tuple[str, str]]:
+    """(path, text) of the values that stand at the wanted paths of a JSON text, in order, while the text streams by.
+
+    A path names the keys that lead to a value, [] for an element of an array: a.b[].c. read(n) gives the next n characters or fewer.
+    What is held is a piece of the text, or the value being read if that is longer; values within wanted ones aren't looked for.
+    """
+    path: list[str] = []  # of the value that comes next, or is open
+    kinds: list[str] = []  # { or [ of what is open
+    buffer, at, end, want_key = "", 0, False, False
+    caught: list[str] | None = None
+    inside = 0
+    more = piece
+    while True:
+        m = _TOKEN.match(buffer, at)
+        # A token that touches the end of the buffer may go on behind it.
+        if not end and (m is None or m.end() == len(buffer) and m[1] not in "{}[],:"):
+            new = read(more)
+            end, more = not new, more * 2 if m is None and len(buffer) - at > piece else piece
+            if caught is not None:
+                begun = m.start(1) if m else at
+                caught.append(buffer[at:begun])
+                at = begun
+            buffer, at = buffer[at:] + new, 0
+            continue
+        if m is None:
+            if buffer[at:].strip() or kinds:
+                raise ValueError(f"not JSON: {buffer[at : at + 40]!r}")
+            return
+        token = m[1]
+        if caught is not None:
+            caught.append(buffer[at : m.end()])
+        at = m.end()
+        if token in ",:":
+            want_key = token == "," and kinds[-1:] == ["{"]
+            continue
+        if want_key and token[0] == '"':
+            path[-1], want_key = json.loads(token), False
+            continue
+        if token in "}]":
+            if not kinds or kinds.pop() != {"}": "{", "]": "["}[token]:
+                raise ValueError(f"not JSON: {token} closes nothing")
+            path.pop()
+            want_key = False
+        else:
+            here = ".".join(path).replace(".[]", "[]")
+            if caught is None and here in wanted:
+                caught, inside = [token], len(kinds)
+            if token in "{[":
+                kinds.append(token)
+                path.append("" if token == "{" else "[]")
+                want_key = token == "{"
+                continue
+        if caught is not None and len(kinds) == inside:
+            yield ".".join(path).replace(".[]", "[]"), "".join(caught).strip()
+            caught = None
+
+
+class JsonValuesReader(ArchiveReader):
+    def read(self, partition):
+        wanted = set(self.options["values"].split("\n"))
+        for i, name, m in members(partition, self.pattern):
+            text = io.TextIOWrapper(io.BufferedReader(Forward(m)), "utf-8")
+            for k, (path, value) in enumerate(json_values(text.read, wanted)):
+                yield partition.path, name, i, k, path, value
+
+
+class JsonValues(DataSource):
+    """The values at given paths (option values, parted by line feeds) of JSON members: a row each, as text, while the member streams by."""
+
+    @classmethod
+    def name(cls):
+        return "json_values"
+
+    def schema(self):
+        return "archive string, member string, member_ordinal int, ordinal int, path string, value string"
+
+    def reader(self, schema):
+        return JsonValuesReader(self.options)
+
+
 #: Bytes of members that leave a task together, about.
 BATCH_BYTES = 8 << 20
 
@@ -377,7 +463,7 @@ class FileDigests(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    for source in (FastaTar, FileDigests, MemberBytes, MemberRows, MemberText, Worksheet):
+    for source in (FastaTar, FileDigests, JsonValues, MemberBytes, MemberRows, MemberText, Worksheet):
         spark.dataSource.register(source)
 
 

@@ -336,3 +336,48 @@ def test_digests_of_large_files(spark, tmp_path):
         h.update(zero)
     h.update(bytes(5))
     assert got == {"a b%.txt": (hashlib.sha256(b"abc").hexdigest(), 3), "large": (h.hexdigest(), (2 << 30) + 5), "none": (hashlib.sha256(b"").hexdigest(), 0)}
+
+
+@pytest.mark.parametrize("piece", [1, 2, 7, 1 << 20])
+def test_json_values_as_they_stream_by(piece):
+    import io
+    import random
+
+    r = random.Random(piece)
+
+    def thing(depth=0):
+        if depth < 3 and r.random() < 0.5:
+            return {r.choice("abc"): thing(depth + 1) for _ in range(3)} if r.random() < 0.5 else [thing(depth + 1) for _ in range(r.randint(0, 3))]
+        return r.choice([r.random() * 100, "a", 'q"uo\\te', "é\u2028{[,:]}", "", "long " * 20, None, r.randint(-9, 9), True, {}, []])
+
+    for case in range(60):
+        dump = {"asOf": "2026", "a": [{"b": [{"c": [thing() for _ in range(r.randint(0, 3))]} for _ in range(r.randint(0, 2))], "z": thing()} for _ in range(r.randint(0, 3))], "last": thing()}
+        text = json.dumps(dump, indent=r.choice([None, 2]), ensure_ascii=r.random() < 0.5)
+        got = list(archives.json_values(io.StringIO(text).read, {"a[].b[].c[]", "asOf", "a[].z"}, piece))
+        want = [("asOf", "2026")]
+        for x in dump["a"]:
+            want += [("a[].b[].c[]", v) for y in x["b"] for v in y["c"]] + [("a[].z", x["z"])]
+        assert [(p, json.loads(v)) for p, v in got] == want
+    for bad in ('{"a": [1, 2', '{"a": ]}', '"abc'):
+        with pytest.raises(ValueError):
+            list(archives.json_values(io.StringIO(bad).read, {"a"}, piece))
+
+
+def test_memory_does_not_grow_with_the_dump():
+    import tracemalloc
+
+    def dump(n):
+        yield '{"sets": ['
+        for i in range(n):
+            yield f'{"," if i else ""}{{"urn": "u{i}", "x": [{", ".join(["0.25"] * 50)}]}}'
+        yield "]}"
+
+    def peak(n):
+        pieces = dump(n)
+        tracemalloc.start()
+        assert sum(1 for _ in archives.json_values(lambda size: next(pieces, ""), {"sets[]"}, 1 << 12)) == n
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most
+
+    assert peak(4000) < 2 * peak(200)
