@@ -8,7 +8,7 @@ which gives every node's exact marginals. Text right under a node is kept if con
 than not there.
 
 Potentials are frequencies with additive smoothing, counted on the labelled pages of
-labelled_pages(): small pages of many layouts, each block marked, generated from a fixed seed.
+labelled_pages() and plain_pages(): small pages of many layouts, each block marked, generated from fixed seeds.
 """
 
 from __future__ import annotations
@@ -172,7 +172,7 @@ def parsed(html: str) -> Page:
                 continue
             words, label = attribute_words(attributes) if attributes else ((), "")
             page.parent.append(stack[-1][1])
-            page.kind.append((tag, *words))
+            page.kind.append((tag, *words) if words else (tag, "#bare"))
             page.own.append(0)
             page.linked.append(0)
             page.label.append(label)
@@ -344,9 +344,43 @@ def labelled_pages(n: int = 600, seed: int = 11) -> list[Page]:
     return out
 
 
+def plain_pages(n: int = 250, seed: int = 12) -> list[Page]:
+    """Labelled pages of the kinds that labelled_pages() lacks: articles in nested divs without a name, lists of links within articles,
+    short articles that hold comments."""
+    r = Random(seed)
+    word = lambda: "".join(r.choice("bcdfglmnprst") + r.choice("aeiou") for _ in range(r.randint(1, 4)))
+    words = lambda a, b: " ".join(word() for _ in range(r.randint(a, b)))
+    link = lambda a=1, b=2: f'<a href="/x">{words(a, b)}</a>'
+    nav = lambda: f'<nav data-label="boiler"><ul>{"".join(f"<li>{link()}</li>" for _ in range(r.randint(2, 7)))}</ul></nav>'
+    foot = lambda: f'<footer data-label="boiler">{r.choice([words(2, 12), f"<p>&copy; {words(2, 10)}</p>", f"<p>{link()} {link()}</p>"])}</footer>'
+    talk = lambda: f'<{(t := r.choice(["div", "section"]))} class="comments" data-label="boiler">{"".join(f"<div{c}><p>{words(3, 40)}</p></div>" for c in [r.choice(["", chr(32) + "class=comment"]) for _ in range(r.randint(1, 4))])}</{t}>'
+    listed = lambda: f'<{(t := r.choice(["ul", "ol"]))}>{"".join(f"<li>{link(1, 9)}{r.choice(["", " " + words(1, 8)])}</li>" for _ in range(r.randint(2, 7)))}</{t}>'
+
+    def body(short: bool) -> str:
+        parts = [f"<h{r.randint(1, 2)}>{words(1, 8)}</h1>"] * (r.random() < 0.8)
+        for _ in range(r.randint(1, 2 if short else 7)):
+            parts.append(listed() if r.random() < 0.25 else f"<p>{words(2, 12 if short else 50)}{' ' + link() if r.random() < .2 else ''}</p>")
+        return "".join(parts)
+
+    out = []
+    for _ in range(n):
+        short = r.random() < 0.5
+        inner = body(short) + talk() * (r.random() < (0.6 if short else 0.2))
+        if r.random() < 0.6:
+            for k in range(r.randint(1, 3)):
+                inner = f'<div data-label="{"mixed" if k and r.random() < 0.5 else "content"}">{inner}</div>'
+        else:
+            inner = f'<{(t := r.choice(["article", "main"]))} data-label="content">{inner}</{t}>'
+        html = nav() * (r.random() < 0.8) + inner + foot() * (r.random() < 0.8)
+        if r.random() < 0.4:
+            html = f'<div data-label="mixed">{html}</div>'
+        out.append(parsed(f'<html data-label="mixed"><head data-label="boiler"><title>{words(2, 5)}</title></head><body data-label="mixed">{html}</body></html>'))
+    return out
+
+
 @lru_cache(1)
 def model() -> Model:
-    return Model(labelled_pages())
+    return Model(labelled_pages() + plain_pages())
 
 
 def extract(htmls: list[str], m: Model | None = None) -> list[tuple[str, float]]:

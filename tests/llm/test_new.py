@@ -11,7 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from helixframe.llm import bpe, decontaminate, repair, toxicity, whitening
+from helixframe.llm import bpe, decontaminate, html_extract, repair, toxicity, whitening
+from tests.llm.pages import OPEN, PAGES
 from tests.llm.test_edges import small_corpus, tokenizer
 from tests.llm.test_llm import path
 
@@ -250,3 +251,10 @@ def test_letters_with_marks_are_encoded_as_by_the_library(spark):
     got = {x.doc_id: x.ids for x in bpe.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path()).collect()}
     for i, e in enumerate(tokenizer().encode_batch(texts, add_special_tokens=False)):
         assert got[i] == e.ids, texts[i]
+
+
+def test_pages_written_by_hand():
+    got = [t for t, _ in html_extract.extract([h for h, _ in PAGES])]
+    for i, (text, (_, blocks)) in enumerate(zip(got, PAGES)):
+        assert i in OPEN or text == "\n\n".join(blocks), i
+    assert len(PAGES) == 30
