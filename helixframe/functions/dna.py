@@ -51,7 +51,7 @@ def replace_codon(s: Column, position: Column, codon: Column) -> Column:
     return (
         F.when(s.isNull() | position.isNull() | codon.isNull(), F.lit(None).cast("string"))
         .when((position < 1) | (position * 3 > F.char_length(s)), F.raise_error(F.concat(F.lit("Codon position outside the sequence: "), position.cast("string"))))
-        .when(~F.rlike(up, F.lit(r"\A[ACGT]{3}\z")), F.raise_error(F.concat(F.lit("Unsupported codon: "), codon)))
+        .when(~F.rlike(up, F.lit(r"\A[ACGT]{3}\z")), F.raise_error(F.concat(F.lit("three of A, C, G and T make a codon, not "), codon)))
         .otherwise(F.concat(F.substring(s, F.lit(1), (position - 1) * 3), up, F.substring(s, position * 3 + 1, F.char_length(s))))
     )
 

@@ -44,14 +44,19 @@ def nearest_code(vectors: DataFrame, codebook: DataFrame, id_col: str, vector_co
 
 
 def nearest_code_blocks(vectors: DataFrame, codebook: np.ndarray, id_col: str, vector_col: str) -> DataFrame:
-    """As nearest_code, for large codebooks and vectors: a matrix product per Arrow batch."""
+    """As nearest_code, for large codebooks and vectors: a matrix product per Arrow batch finds the codes that may be nearest, and
+    where that leaves several, their differences decide, so near and exact ties end as they do there."""
     norms = (codebook**2).sum(1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             x = np.stack(b[vector_col].to_numpy()).astype(float)
             d = (x**2).sum(1, keepdims=True) + norms - 2 * x @ codebook.T
-            code = d.argmin(1)
+            near = d <= d.min(1, keepdims=True) + 1e-12 * codebook.shape[1] * ((x**2).sum(1, keepdims=True) + norms.max(initial=0.0))
+            code = near.argmax(1)
+            for i in np.flatnonzero(near.sum(1) > 1):
+                some = np.flatnonzero(near[i])
+                code[i] = some[((x[i] - codebook[some]) ** 2).sum(1).argmin()]
             yield pd.DataFrame({id_col: b[id_col], "code": code.astype("int32"), "distance": ((x - codebook[code]) ** 2).sum(1)})
 
     kind = vectors.schema[id_col].dataType.simpleString()

@@ -131,7 +131,7 @@ def kelsic(spark: SparkSession, source: str) -> DataFrame:
 def melnikov(spark: SparkSession, source: str) -> DataFrame:
     book, archive = f"{source}/supp_gku511_nar-01049-met-h-2014-File006.xlsx", f"{source}/supp_gku511_nar-01049-met-h-2014-File007.zip"
     cell = lambda i: F.get("cells", F.lit(i))
-    wt = load(spark, "worksheet", book, sheet="Primers_etc").filter(cell(0) == "KKA2_KLEPN_opt").agg(F.min_by(cell(2), "row_no").alias("s")).select(_checked(F.col("s").isNotNull(), dna.ascii_upper(F.col("s")), "KKA2_KLEPN_opt was not found").alias("wt_nt"))
+    wt = load(spark, "worksheet", book, sheet="Primers_etc").filter(cell(0) == "KKA2_KLEPN_opt").agg(F.min_by(cell(2), "row_no").alias("s")).select(_checked(F.col("s").isNotNull(), dna.ascii_upper(F.col("s")), "no row of the worksheet holds the wild type KKA2_KLEPN_opt").alias("wt_nt"))
     sheets = [load(spark, "worksheet", book, sheet=s, min_row=6, max_col=2).withColumn("sheet_no", F.lit(i)) for i, s in enumerate(("OLS_A", "OLS_B"))]
     rx = r"\A(KKA2_KLEPN_[AB]\d+)_(\d+)_(wt|[ACDEFGHIKLMNPQRSTVWY])\z"
     oligos = sheets[0].unionByName(sheets[1]).select("sheet_no", "row_no", cell(0).alias("id"), dna.ascii_upper(cell(1)).alias("tile")).filter(F.rlike("id", F.lit(rx)))
