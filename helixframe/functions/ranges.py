@@ -6,6 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RANGES = 256
+#: Rows that make a range worth its comparisons.
+RANGE_ROWS = 1 << 16
+
+
+def enough(rows: int) -> int:
+    """Ranges for so many rows: fewer for small tables, RANGES at most."""
+    return min(RANGES, max(2, rows // RANGE_ROWS))
 
 
 def bounds(rows: DataFrame, *columns: str, ranges: int = RANGES) -> list[list]:

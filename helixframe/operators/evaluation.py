@@ -43,7 +43,7 @@ def spearman(rows: DataFrame, group: str, x: str, y: str) -> DataFrame:
     rows = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(group).alias("__g"), F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
     pairs = stored(rows.groupBy("__g", "__x", "__y").agg(F.count("*").alias("__m")), "pairs")
     sizes, found = pairs.groupBy("__g").agg(F.sum("__m").alias("n")), pairs
-    for (value, rank), known in zip((("__x", "__rx"), ("__y", "__ry")), ranges.bounds(pairs, "__x", "__y")):
+    for (value, rank), known in zip((("__x", "__rx"), ("__y", "__ry")), ranges.bounds(pairs, "__x", "__y", ranges=ranges.enough(pairs.count()))):
         ranks = average_ranks(pairs, "__g", value, rank, known, "__m").alias("r")
         found = found.alias("p").join(ranks, F.expr(f"p.__g <=> r.__g AND p.{value} = r.{value}")).select("p.*", rank)
     found = found.alias("p").join(sizes.alias("s"), F.expr("p.__g <=> s.__g")).select("p.*", ((F.col("n") + 1) / 2.0).alias("__c"))
