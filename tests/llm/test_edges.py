@@ -235,12 +235,16 @@ def test_pipeline_of_empty_tables(spark, tmp_path):
 
 
 def test_registered_queries(spark):
-    """Every query of the ten by its registered name, over the smallest tables."""
+    """Every numbered query by its registered name, over the smallest tables: a row per row of its table, or as many as its contract says."""
     sf = "/root/testdata/sf0.001"
     if not Path(sf).exists():
         pytest.skip("needs the given tables")
     queries = __spark_entry__.queries()
-    tables = {k: "pages" if k in ("op2_html", "op7_warc") else "documents" for k in queries if re.match(r"op\d", k) and k != "op3_topk"}
-    assert len(tables) == 9 and "pipeline" in queries
+    tables = {k: "pages" if k in ("op2_html", "op7_warc") else "documents" for k in queries if re.match(r"op\d", k) and k not in ("op3_topk", "op11_repair", "op12_whitening")}
+    assert len(tables) == 10 and "pipeline" in queries
+    given = lambda t: spark.read.parquet(f"{sf}/{t}.parquet")
+    assert queries["op3_topk"](spark, sf).count() == 5 * given("embeddings").filter("vec_id % 50 = 0").count()
+    assert queries["op11_repair"](spark, sf).count() == given("conversations").select("conv_id").distinct().count()
+    assert queries["op12_whitening"](spark, sf).count() == 8 * given("embeddings").count()
     for name, t in tables.items():
         assert queries[name](spark, sf).count() == spark.read.parquet(f"{sf}/{t}.parquet").count(), name
