@@ -16,6 +16,9 @@ from helixframe.sources.stored import stored
 REPORTED = {"adkar_2012": 0.25, "chen_2020": 0.57, "firnberg_2014": 0.55, "jacquier_2013": 0.47, "kelsic_2016": 0.60, "melnikov_2014": 0.45, "rockah_shmuel_2015": 0.32, "tsuboyama_2023": 0.42, "weeks_2023": 0.50}
 REPORTED_MEAN = 0.46
 
+#: Distinct pairs of values, in all groups together, that one task may order.
+FEW_PAIRS = 1 << 20
+
 
 def average_ranks(rows: DataFrame, group: str, value: str, name: str, known: list | None = None, weight: str | None = None) -> DataFrame:
     """group, value, name: the rank of each distinct value (a number) in its group, ties sharing their mean rank. weight: how many rows one stands for.
@@ -34,19 +37,37 @@ def average_ranks(rows: DataFrame, group: str, value: str, name: str, known: lis
     return joined.withColumn(name, rank).select(group, value, name)
 
 
-def spearman(rows: DataFrame, group: str, x: str, y: str) -> DataFrame:
+def ordered_ranks(pairs: DataFrame, group: str, value: str, name: str, weight: str) -> DataFrame:
+    """pairs with name: as average_ranks(), but a task orders a whole group, so pairs must be few. Several of them share one shuffle by group."""
+    upto, ties = Window.partitionBy(group).orderBy(value), Window.partitionBy(group, value)
+    return pairs.withColumn(name, F.sum(weight).over(upto) - (F.sum(weight).over(ties) - 1) / 2.0)
+
+
+def ranked_pairs(pairs: DataFrame, few: int) -> DataFrame:
+    """pairs (__g, __x, __y and how often, __m) with __rx, __ry and the mean rank __c of each group.
+
+    Up to few pairs (they are counted) are ordered group by group after one shuffle; more are ranked range by range and joined.
+    """
+    n = pairs.count()
+    if n <= few:
+        found = ordered_ranks(ordered_ranks(pairs, "__g", "__x", "__rx", "__m"), "__g", "__y", "__ry", "__m")
+        return found.withColumn("__c", (F.sum("__m").over(Window.partitionBy("__g")) + 1) / 2.0)
+    sizes, found = pairs.groupBy("__g").agg(F.sum("__m").alias("n")), pairs
+    for (value, rank), known in zip((("__x", "__rx"), ("__y", "__ry")), ranges.bounds(pairs, "__x", "__y", ranges=ranges.enough(n))):
+        ranks = average_ranks(pairs, "__g", value, rank, known, "__m").alias("r")
+        found = found.alias("p").join(ranks, F.expr(f"p.__g <=> r.__g AND p.{value} = r.{value}")).select("p.*", rank)
+    return found.alias("p").join(sizes.alias("s"), F.expr("p.__g <=> s.__g")).select("p.*", ((F.col("n") + 1) / 2.0).alias("__c"))
+
+
+def spearman(rows: DataFrame, group: str, x: str, y: str, few: int = FEW_PAIRS) -> DataFrame:
     """group, num_variants, spearman. Undefined (constant or single) groups give null; rows without both values don't count.
 
-    Rows are read once and counted by (group, x, y); quantiles, ranks and sizes come from that table. Sums are taken about the mean
+    Rows are read once and counted by (group, x, y); ranks and sizes come from that table. Sums are taken about the mean
     rank, (n + 1) / 2.
     """
     rows = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(group).alias("__g"), F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
     pairs = stored(rows.groupBy("__g", "__x", "__y").agg(F.count("*").alias("__m")), "pairs")
-    sizes, found = pairs.groupBy("__g").agg(F.sum("__m").alias("n")), pairs
-    for (value, rank), known in zip((("__x", "__rx"), ("__y", "__ry")), ranges.bounds(pairs, "__x", "__y", ranges=ranges.enough(pairs.count()))):
-        ranks = average_ranks(pairs, "__g", value, rank, known, "__m").alias("r")
-        found = found.alias("p").join(ranks, F.expr(f"p.__g <=> r.__g AND p.{value} = r.{value}")).select("p.*", rank)
-    found = found.alias("p").join(sizes.alias("s"), F.expr("p.__g <=> s.__g")).select("p.*", ((F.col("n") + 1) / 2.0).alias("__c"))
+    found = ranked_pairs(pairs, few)
     m, a, b = F.col("__m"), F.col("__rx") - F.col("__c"), F.col("__ry") - F.col("__c")
     sums = found.groupBy("__g").agg(F.sum("__m").alias("num_variants"), F.sum(m * a * b).alias("ab"), F.sum(m * a * a).alias("aa"), F.sum(m * b * b).alias("bb"))
     return sums.select(F.col("__g").alias(group), "num_variants", (F.col("ab") / F.nullif(F.sqrt(F.col("aa") * F.col("bb")), F.lit(0.0))).alias("spearman"))

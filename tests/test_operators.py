@@ -189,6 +189,16 @@ def test_spearman(spark):
     assert got["c"] is None and got["d"] is None
 
 
+def test_spearman_ranks_by_group_and_by_range_alike(spark):
+    r = np.random.default_rng(5)
+    df = pd.DataFrame({"g": r.choice(["a", "b", None], 3000, p=[0.7, 0.2, 0.1]), "x": r.integers(0, 40, 3000).astype(float), "y": r.integers(0, 300, 3000) / 7.0})
+    rows = spark.createDataFrame(list(df.itertuples(index=False, name=None)), "g string, x double, y double")
+    by_group, by_range = ({x.g: (x.num_variants, round(x.spearman, 12)) for x in evaluation.spearman(rows, "g", "x", "y", few).collect()} for few in (1 << 20, 0))
+    assert by_group == by_range and len(by_group) == 3
+    plan = evaluation.spearman(rows, "g", "x", "y")._jdf.queryExecution().toString()
+    assert plan.split("Physical Plan")[1].count("Exchange hashpartitioning") == 1
+
+
 def test_comparison_adds_the_mean_only_when_all_are_there(spark):
     rows = spark.createDataFrame([(s, 10, 0.5) for s in evaluation.REPORTED], "study_id string, num_variants long, spearman double")
     out = {r.study_id: r for r in evaluation.compared(rows).collect()}
