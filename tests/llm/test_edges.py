@@ -1,5 +1,6 @@
 """Odd inputs of each operator, registered queries, recall, and the pipeline against a plain version."""
 
+import collections
 import hashlib
 import random
 import re
@@ -64,6 +65,45 @@ def plain_print(text):
     return [[hashlib.sha256(p.encode()).hexdigest()[: merkle.SHORT] for p in re.findall(merkle.PHRASES, line)] for line in re.split(r"\n", text)]
 
 
+def test_changes_follow_nodes_that_moved_along(spark):
+    cases = {
+        ("b one.\nc two.\nd three.\ne four.", "a new.\nb one.\nc two.\nd three.\ne four."): ["+0:0"],
+        ("a\nb\nc", "a\nc"): ["-0:1"],
+        ("a\nb\nc", "a\nx\nc"): ["=0:1"],
+        ("a\nb\nc", "b\nc\na"): ["~0:1"],
+        ("a\nb\n\nc\nd\n\ne", "new\n\na\nb\n\nc\ny\n\ne"): ["+0:-1", "=1:1"],
+        ("a\n\nb\n\nc", "a\n\nc\n\nb"): ["~2:-1"],
+        ("a\na\na", "a\na"): ["-0:2"],
+        ("", "a"): ["=0:0"],
+        ("a", "a"): [""],
+        ("\n\n", "\n\n\n\n"): ["+2:-1"],
+    }
+    texts = [x for pair in cases for x in pair]
+    f = {x.doc_id: x.fingerprint for x in merkle.fingerprints(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()}
+    df = spark.createDataFrame([(i, f[2 * i], f[2 * i + 1]) for i in range(len(cases))], "i int, a string, b string")
+    got = {x.i: x.e for x in df.select("i", merkle.told(merkle.changes(F.col("a"), F.col("b"))).alias("e")).collect()}
+    for i, (pair, want) in enumerate(cases.items()):
+        assert sorted(got[i].split(",")) == sorted(want), pair
+
+
+def test_changes_rebuild_the_other_text(spark):
+    """Removing, adding and replacing what changes() tells turns one text into the other, but for the order where something moved."""
+    r = random.Random(8)
+    texts = ["\n\n".join("\n".join(r.choice("abcdefg") * r.randint(1, 2) for _ in range(r.randint(1, 5))) for _ in range(r.randint(1, 5))) for _ in range(120)]
+    f = {x.doc_id: x.fingerprint for x in merkle.fingerprints(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()}
+    df = spark.createDataFrame([(i, f[i], f[i + 1]) for i in range(len(texts) - 1)], "i int, a string, b string")
+    for row in df.select("i", merkle.changes(F.col("a"), F.col("b")).alias("c")).collect():
+        old, new = ([s.split("\n") for s in t.split("\n\n")] for t in texts[row.i : row.i + 2])
+        left = collections.Counter(p for s in old for p in s)
+        for c in row.c:
+            if c.kind != "moved" and c.section is not None:
+                left.subtract(old[c.section] if c.paragraph == -1 else [old[c.section][c.paragraph]])
+            if c.kind != "moved" and c.to_section is not None:
+                left.update(new[c.to_section] if c.to_paragraph == -1 else [new[c.to_section][c.to_paragraph]])
+        assert +left == collections.Counter(p for s in new for p in s) and min(left.values()) >= 0
+        assert bool(row.c) == (old != new)
+
+
 def test_likeness_equals_a_plain_comparison(spark):
     r = random.Random(4)
     base = ["\n".join(words(30, r) + "." for _ in range(6)) for _ in range(6)]
