@@ -45,8 +45,9 @@ TAG = "spdx license identifier"
 # Identifiers (lower case) whose terms let a text be trained on.
 OPEN = {"mit", "isc", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "bsl-1.0", "cc0-1.0", "cc-by-4.0", "cc-by-3.0", "unlicense", "zlib", "0bsd", "psf-2.0"}
 
-#: A tag and what follows it up to the end of its line or the line's next tag.
-TAG_LINE = re.compile(r"spdx-license-identifier:[ \t]*([^\r\ns]*+(?:s(?!pdx-license-identifier:)[^\r\ns]*+)*+)")
+#: The tag as a text must write it, and what ends its expression besides the next tag.
+WRITTEN, LINE_END = b"spdx-license-identifier", re.compile(rb"[\r\n]")
+WORD = re.compile(rb"[^ ]+")
 TOKEN = re.compile(r"[()]|[a-z0-9][a-z0-9.+:-]*")
 RANK = {"or": 1, "and": 2, "with": 3}
 
@@ -55,15 +56,22 @@ WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122
 
 
 def postfix(expression: str) -> list[str] | None:
-    """The expression's tokens with operators after their operands, by shunting-yard; None if it isn't well formed.
+    """The expression's tokens with operators after their operands, by shunting-yard; None if it isn't well formed."""
+    return parsed(expression)[0]
+
+
+def parsed(expression: str) -> tuple[list[str] | None, str]:
+    """postfix() and what wasn't read: the whole of a malformed expression, else what follows from where reading stopped.
 
     with binds tightest, then and, then or; all associate to the left. Reading stops where an
-    operator or the end should come and something else does (such as the end of a comment).
+    operator or the end should come and something else does (such as a comment, or the second name in MIT/Apache-2.0).
+    Characters that stand in no token (such as the end of a comment) are passed over.
     """
     out: list[str] = []
     stack: list[str] = []
-    operand, depth = True, 0
-    for t in TOKEN.findall(expression.lower()):
+    operand, depth, rest, expression = True, 0, "", expression.lower().strip()
+    for m in TOKEN.finditer(expression):
+        t = m[0]
         if operand and t == "(":
             stack.append(t)
             depth += 1
@@ -81,10 +89,11 @@ def postfix(expression: str) -> list[str] | None:
             stack.append(t)
             operand = True
         elif operand:
-            return None
+            return None, expression
         else:
+            rest = expression[m.start() :]
             break
-    return None if operand or depth or not out else out + stack[::-1]
+    return (None, expression) if operand or depth or not out else (out + stack[::-1], rest)
 
 
 def evaluated(tokens: list[str], allowed: set[str]) -> tuple[bool, set[str]]:
@@ -122,13 +131,30 @@ def automaton() -> ahocorasick.Automaton:
     return a
 
 
+def tag_expressions(raw: bytes, spaced: bytes, first_words: list[int]) -> Iterator[str]:
+    """What follows each tag up to the end of its line or the next tag, given the numbers of tags' first words, ascending.
+
+    spaced is raw with WORDS: its words stand where raw's do, so numbers become offsets by walking along to the last tag. What has the
+    tag's words without being written as one isn't a tag.
+    """
+    wanted, at = set(first_words), []
+    for no, m in zip(range(first_words[-1] + 1), WORD.finditer(spaced)):
+        end = m.start() + len(WRITTEN)
+        if no in wanted and raw[m.start() : end].lower() == WRITTEN and raw[end : end + 1] == b":":
+            at.append((m.start(), end + 1))
+    for (_, start), (after, _) in zip(at, [*at[1:], (len(raw), 0)]):
+        line = LINE_END.search(raw, start, after)
+        yield raw[start : line.start() if line else after].decode()
+
+
 def scan(text: str, a: ahocorasick.Automaton, allowed: set[str]) -> tuple:
-    """n_words, n_base, first_word, last_word, base_labels, labels, score, expressions, permitted."""
+    """n_words, n_base, first_word, last_word, base_labels, labels, score, expressions, permitted, unread."""
     raw = text.encode()
-    words = raw.translate(WORDS).split(b" ")
+    spaced = raw.translate(WORDS)
+    words = spaced.split(b" ")
     words = [w for w in words if w] if b"" in words else words
     line = f" {b' '.join(words).decode()} "
-    n, base, more, places, score, tagged = 0, set(), set(), [], 0.0, False
+    n, base, more, places, score, tags = 0, set(), set(), [], 0.0, []
     for end, (length, what) in a.iter(line):
         for kind, label, sure in what:
             score = max(score, sure)
@@ -139,11 +165,18 @@ def scan(text: str, a: ahocorasick.Automaton, allowed: set[str]) -> tuple:
             elif kind == "more":
                 more.add(label)
             else:
-                tagged = True
-    expressions, permitted = [], None
-    if tagged:
-        for m in TAG_LINE.finditer(raw.lower().decode()):
-            tokens = postfix(m[1])
+                tags.append(end - length + 1)
+    expressions, unread, permitted = [], [], None
+    if tags:
+        numbers, upto, no = [], 0, -1
+        for p in tags:  # counted from tag to tag, so that many tags in a long text stay linear
+            no += line.count(" ", upto, p + 1)
+            upto = p + 1
+            numbers.append(no)
+        for expression in tag_expressions(raw, spaced, numbers):
+            tokens, rest = parsed(expression)
+            if rest:
+                unread.append(rest)
             if tokens is not None:
                 fine, names = evaluated(tokens, allowed)
                 permitted = fine if permitted is None else permitted and fine
@@ -151,10 +184,10 @@ def scan(text: str, a: ahocorasick.Automaton, allowed: set[str]) -> tuple:
                 more |= {f"spdx:{x}" for x in names}
                 score = 1.0
     first, last = (line.count(" ", 0, p + 1) - 1 for p in (min(places), max(places))) if places else (None, None)
-    return len(words), n, first, last, ",".join(sorted(base)), ",".join(sorted(base | more)), score, expressions, permitted
+    return len(words), n, first, last, ",".join(sorted(base)), ",".join(sorted(base | more)), score, expressions, permitted, unread
 
 
-SCAN = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expressions array<string>, permitted boolean"
+SCAN = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expressions array<string>, permitted boolean, unread array<string>"
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allowed: set[str] = OPEN) -> DataFrame:
@@ -162,13 +195,14 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     score: how surely the text tells of a licence (1: a well-formed identifier tag; 0: nothing
     found). expressions: those of the identifier tags, in postfix order; permitted: whether all of
-    them can be met with allowed licences, null without any. Null or empty text: no words, labels
+    them can be met with allowed licences, null without any; unread: what of the tags' expressions wasn't
+    understood (malformed ones whole, such as "(MIT"; of "MIT/Apache-2.0" the second name) and has no part in permitted. Null or empty text: no words, labels
     empty, score 0. Rows are independent: repeated rows repeat, null ids stay, columns other than
     id and text are left out.
     """
     prepare(docs.sparkSession)
     allowed = frozenset(allowed)
-    fields = [("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("expressions", pa.list_(pa.string())), ("permitted", pa.bool_())]
+    fields = [("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("expressions", pa.list_(pa.string())), ("permitted", pa.bool_()), ("unread", pa.list_(pa.string()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = automaton()

@@ -489,6 +489,26 @@ def test_long_expressions_are_read_whole(spark):
     assert {f"spdx:{x}" for x in [*many, "mit"]} == set(got[1].labels.split(","))
 
 
+def test_tags_are_read_where_the_automaton_finds_them(spark):
+    texts = [
+        "// SPDX-License-Identifier: MIT/Apache-2.0",
+        "# spdx-license-identifier: (MIT\nSPDX-License-Identifier: ISC -->",
+        "spdx license identifier: mit, and SPDX-License-Identifier gpl; xspdx-license-identifier: isc",
+        "é ü\u2028 all rights reserved\tİ SPDX-License-Identifier:0BSD*/\n" * 3,
+        "SPDX-License-Identifier:\r\nMIT",
+        "words " * 5000 + "SPDX-License-Identifier: mit or x-1 SPDX-License-Identifier: gpl-2.0",
+    ]
+    got = {g.doc_id: g for g in licenses.license_scan(docs(spark, texts)).collect()}
+    assert [(got[i].expressions, got[i].unread, got[i].permitted) for i in range(6)] == [
+        (["mit"], ["apache-2.0"], True),
+        (["isc"], ["(mit"], True),
+        ([], [], None),
+        (["0bsd"] * 3, [], True),
+        ([], [], None),
+        (["mit x-1 or", "gpl-2.0"], [], False),
+    ]
+
+
 # 9 toxicity ----------------------------------------------------------------------------------
 
 
