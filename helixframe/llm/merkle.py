@@ -76,7 +76,7 @@ def likeness(a: Column, b: Column) -> Column:
     Trees are compared from above: a paragraph that both have counts with all its phrases; phrases are compared only
     between the paragraphs that differ, each once.
     """
-    part = lambda f: F.array_distinct(F.filter(F.split(F.substring_index(f, ":", -1), rf"\|?[0-9a-f]{{{NODE}}}=|/", -1), lambda p: p != ""))
+    part = lambda f: F.array_distinct(F.transform(F.split(F.translate(F.substring_index(f, ":", -1), "|", "/"), "/", -1), lambda p: F.substring_index(p, "=", -1)))
     numbers = F.struct(part(a).alias("a"), part(b).alias("b"))
     numbers = F.transform(F.array(numbers), lambda t: F.struct(F.array_intersect(t["a"], t["b"]).alias("both"), phrases_of(F.array_except(t["a"], t["b"])).alias("x"), phrases_of(F.array_except(t["b"], t["a"])).alias("y")))
     same = lambda t: F.aggregate(t["both"], F.lit(0), lambda n, p: n + F.size(F.split(p, " ", -1)) - 1)
