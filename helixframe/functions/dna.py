@@ -1,12 +1,19 @@
-"""Column functions over DNA text. All stay inside the JVM; a precondition that fails raises an error."""
+"""Column functions over DNA text; a precondition that fails raises an error.
+
+What looks at each base of long texts runs on Arrow batches as NumPy arrays; the rest stays inside the JVM.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from helixframe.functions.batches import bounded, flat
+
 BASES = "ACGT"
 # The standard genetic code, codons in TCAG order, stop as *.
 CODE_ORDER = "TCAG"
@@ -44,6 +51,30 @@ def translate_dna(s: Column) -> Column:
     )
 
 
+def difference_ends(a: Column, b: Column) -> Column:
+    """struct<first, last, first_back, last_back>: places from 0 of the first and last difference of two strings, told from their
+    beginnings, and from their ends backwards; null where there is none. Of strings of unequal length the shorter one's length counts."""
+    bounded()
+    names = ("first", "last", "first_back", "last_back")
+
+    @F.arrow_udf(", ".join(f"{n} int" for n in names))
+    def ends(a: pa.Array, b: pa.Array) -> pa.Array:
+        (starts, x), (others, y) = flat(a), flat(b)
+        out = []
+        for i in range(len(a)):
+            u, v = x[starts[i] : starts[i + 1]], y[others[i] : others[i + 1]]
+            if len(u) and len(v) and max(u.max(), v.max()) >= 128:
+                u, v = (np.frombuffer(t.tobytes().decode().encode("utf-32-le"), np.uint32) for t in (u, v))
+            n = min(len(u), len(v))
+            at = np.flatnonzero(u[:n] != v[:n])
+            back = at if len(u) == len(v) else np.flatnonzero(u[len(u) - n :] != v[len(v) - n :])
+            out.append((at[0], at[-1]) if len(at) else (None, None))
+            out[-1] += (n - 1 - back[-1], n - 1 - back[0]) if len(back) else (None, None)
+        return pa.StructArray.from_arrays([pa.array([r[k] for r in out], pa.int32()) for k in range(4)], names=list(names))
+
+    return ends(a, b)
+
+
 def replace_codon(s: Column, position: Column, codon: Column) -> Column:
     """s with the codon at a 1-based position replaced (in upper case)."""
     up = ascii_upper(codon)

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from helixframe.functions import dna, hgvs, scores
+from helixframe.functions.batches import bounded, flat, texts, whole_codons
 from helixframe.operators import corpus, evaluation, sampling, vq
 from helixframe.sources.stored import stored
 
@@ -479,11 +485,26 @@ def rms_by_group(spark, sf_dir):
 TEXT_MUTANT = BASES[:7] + "A" + BASES[8:]
 
 
-def _text_dna(spark, sf_dir) -> DataFrame:
-    """doc_id, wt, mutant of the whole text; mutant has A where the text's hexadecimal digit is 7."""
-    h = F.hex(F.col("text").cast("binary"))
-    seq = lambda bases: F.translate(F.substring(h, F.lit(1), F.length(h) - F.length(h) % 3), HEX.upper(), bases)
-    return table(spark, sf_dir, "documents").select("doc_id", seq(BASES).alias("wt"), seq(TEXT_MUTANT).alias("mutant"))
+def _text_dna(spark, sf_dir, *names: str) -> DataFrame:
+    """doc_id and of wt and mutant those named (both, if none is) of the whole text; mutant has A where the text's hexadecimal digit is 7.
+
+    A byte's two bases are looked up on Arrow batches: column functions look at each digit several times as long, and Spark
+    would work them out again wherever a sequence is read.
+    """
+    bounded(spark)
+    names = names or ("wt", "mutant")
+    digits = [np.frombuffer({"wt": BASES, "mutant": TEXT_MUTANT}[n].encode(), np.uint8) for n in names]
+    pairs = [np.stack([np.repeat(d, 16), np.tile(d, 16)], 1) for d in digits]
+
+    def bases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, data = flat(b.column(1))
+            n = 2 * np.diff(at)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(texts(whole_codons(p[data].ravel(), n), n - n % 3, b.column(1).is_valid()) for p in pairs)], names=["doc_id", *names])
+
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
+    schema = StructType([rows.schema["doc_id"], *(StructField(n, StringType()) for n in names)])
+    return rows.mapInArrow(bases, schema)
 
 
 _TRIMMED_SQL = "left(hex(text),length(hex(text))-length(hex(text))%3)"
@@ -508,12 +529,12 @@ def aa_changes_text(spark, sf_dir):
 
 @query(f"SELECT doc_id, reverse(translate(wt,'ACGT','TGCA')) AS rc FROM {TEXT_DNA_SQL}")
 def revcomp_text(spark, sf_dir):
-    return _text_dna(spark, sf_dir).select("doc_id", dna.reverse_complement(F.col("wt")).alias("rc"))
+    return _text_dna(spark, sf_dir, "wt").select("doc_id", dna.reverse_complement(F.col("wt")).alias("rc"))
 
 
 def _coding(spark, sf_dir) -> DataFrame:
     """_text_dna's rows with a codon at least, and n, their length."""
-    return _text_dna(spark, sf_dir).withColumn("n", F.length("wt")).filter("n > 0")
+    return _text_dna(spark, sf_dir, "wt").withColumn("n", F.length("wt")).filter("n > 0")
 
 
 @query()
@@ -550,7 +571,7 @@ def designed_codon_text(spark, sf_dir):
 
 
 def _text_windows(spark, sf_dir) -> DataFrame:
-    return corpus.sequence_windows(_text_dna(spark, sf_dir).select("doc_id", F.col("wt").alias("sequence")), corpus.CHUNK)
+    return corpus.sequence_windows(_text_dna(spark, sf_dir, "wt").select("doc_id", F.col("wt").alias("sequence")), corpus.CHUNK)
 
 
 @query(f"SELECT doc_id, (o//{corpus.CHUNK})::INT AS window_no, substring(wt, o+1, {corpus.CHUNK}) AS \"window\" FROM (SELECT doc_id, wt, unnest(range(0,length(wt),{corpus.CHUNK})) AS o FROM {TEXT_DNA_SQL})")
@@ -560,7 +581,7 @@ def window_split_text(spark, sf_dir):
 
 @query(f"SELECT doc_id, list_transform(regexp_extract_all(wt,'.'), lambda c: (instr('ACGT',c)-1)::BIGINT) AS input_ids FROM {TEXT_DNA_SQL}")
 def tokenize_text(spark, sf_dir):
-    return _text_dna(spark, sf_dir).select("doc_id", dna.tokens(F.col("wt")).alias("input_ids"))
+    return _text_dna(spark, sf_dir, "wt").select("doc_id", dna.tokens(F.col("wt")).alias("input_ids"))
 
 
 @query()
@@ -572,4 +593,4 @@ def token_batches_text(spark, sf_dir):
 
 @query(f"""SELECT doc_id, CASE WHEN n=0 THEN 0.0 ELSE round(list_sum(list_transform(['A','C','G','T'], lambda b: CASE WHEN contains(wt,b) THEN (n-length(replace(wt,b,'')))*ln((n-length(replace(wt,b,'')))/n::DOUBLE) ELSE 0 END))/n,9) END AS evo_log_likelihood FROM (SELECT *, length(wt) AS n FROM {TEXT_DNA_SQL})""")
 def model_scores_text(spark, sf_dir):
-    return evaluation.scored(_text_dna(spark, sf_dir).select("doc_id", "wt"), "wt", evaluation.base_frequency_scorer).select("doc_id", F.round("evo_log_likelihood", 9).alias("evo_log_likelihood"))
+    return evaluation.scored(_text_dna(spark, sf_dir, "wt"), "wt", evaluation.base_frequency_scorer).select("doc_id", F.round("evo_log_likelihood", 9).alias("evo_log_likelihood"))

@@ -88,6 +88,17 @@ def test_describe_and_apply_agree(spark):
     assert all(x.mutant == x.got and x.wt == x.same for x in back)
 
 
+def test_long_tiles(spark):
+    """Differences of long tiles are found without an array of their characters, in both orientations."""
+    n = 3_000_000
+    wt = F.concat(F.repeat(F.lit("ACG"), n), F.lit("CTG"), F.repeat(F.lit("CAT"), n))
+    mutant = F.concat(F.repeat(F.lit("ACG"), n), F.lit("TTC"), F.repeat(F.lit("CAT"), n))
+    rows = spark.range(2).select(F.when(F.col("id") == 1, dna.reverse_complement(wt)).otherwise(wt).alias("w"), F.when(F.col("id") == 1, dna.reverse_complement(mutant)).otherwise(mutant).alias("m"))
+    out = rows.select(hgvs.mutant_codon(F.col("w"), F.col("m"), *lit("CTG", "F")).alias("c"))
+    assert "split(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.c for r in out.collect()] == ["TTC", "TTC"]
+
+
 @settings(max_examples=15, deadline=None)
 @given(st.lists(st.text("ACGTNacgtnß", max_size=60), min_size=1, max_size=20))
 def test_segments(spark, texts):
