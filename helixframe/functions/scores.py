@@ -48,6 +48,15 @@ def python_round(x: Column, digits: int) -> Column:
     return F.when((size >= float(1 << 52)) | (x == 0), x).when(x < 0, -done).otherwise(done)
 
 
+def sql_round(x: Column | str, digits: int) -> Column:
+    """The double x * 10**digits rounded, halves away from zero, over 10**digits: round() of SQL engines that round as C does. What
+    becomes zero keeps its sign (Spark's own round() drops it), and so do infinities; where the product has no size, x stays."""
+    x = (F.col(x) if isinstance(x, str) else x).cast("double")
+    scaled = F.abs(x) * float(10**digits)
+    size = F.round(scaled) / float(10**digits)
+    return F.when((x == 0) | (scaled == float("inf")), x).when(x < 0, -size).otherwise(size)
+
+
 def python_text(x: Column) -> Column:
     """str(float) as Python writes it (5e-05, 10000000.0), for the edge where numbers become text."""
     @F.pandas_udf("string")

@@ -238,7 +238,7 @@ def replicate_mean(spark, sf_dir):
     kinds = e.agg(F.min("event_type"), F.max("event_type")).first()
     both = e.filter(F.col("event_type").isin(*kinds)).groupBy("user_id").agg(F.count_distinct("event_type").alias("n")).filter("n = 2")
     one = lambda t: e.join(both, "user_id", "left_semi").filter(F.col("event_type") == t).groupBy("user_id").agg(F.avg("value").alias("v"))
-    return corpus.replicate_mean(one(kinds[0]), one(kinds[1]), "user_id", "v").withColumn("score", F.round("score", 6))
+    return corpus.replicate_mean(one(kinds[0]), one(kinds[1]), "user_id", "v").withColumn("score", scores.sql_round("score", 6))
 
 
 @query("SELECT * FROM (UNPIVOT (SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem) ON l_quantity, l_extendedprice, l_discount, l_tax INTO NAME position VALUE score)")
@@ -254,13 +254,13 @@ def _spearman_sql(t: str, g: str, x: str, y: str) -> str:
 @query(f"SELECT l_returnflag, num_variants, round(rho,9) AS spearman FROM ({_spearman_sql('lineitem', 'l_returnflag', 'l_quantity', 'l_extendedprice')})")
 def spearman_by_group(spark, sf_dir):
     r = evaluation.spearman(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_quantity", "l_extendedprice")
-    return r.withColumn("spearman", F.round("spearman", 9))
+    return r.withColumn("spearman", scores.sql_round("spearman", 9))
 
 
 @query(f"SELECT count(*)::BIGINT AS num_studies, sum(num_variants)::BIGINT AS num_variants, round(avg(rho),9) AS spearman FROM ({_spearman_sql('orders', 'o_orderpriority', 'o_totalprice', 'o_custkey')})")
 def macro_average(spark, sf_dir):
     r = evaluation.spearman(table(spark, sf_dir, "orders"), "o_orderpriority", "o_totalprice", "o_custkey")
-    return evaluation.macro_average(r).withColumn("spearman", F.round("spearman", 9))
+    return evaluation.macro_average(r).withColumn("spearman", scores.sql_round("spearman", 9))
 
 
 @query()
@@ -268,7 +268,7 @@ def reported_comparison(spark, sf_dir):
     r = evaluation.spearman(table(spark, sf_dir, "orders"), "o_orderpriority", "o_totalprice", "o_custkey")
     names = sorted(x[0] for x in table(spark, sf_dir, "orders").select("o_orderpriority").distinct().collect())
     out = evaluation.compared(r, {n: round(0.1 * (i + 1), 1) for i, n in enumerate(names)}, 0.3, "o_orderpriority")
-    return out.select("o_orderpriority", "num_variants", F.round("spearman", 9).alias("spearman"), "reported_spearman", F.round("difference", 9).alias("difference"))
+    return out.select("o_orderpriority", "num_variants", scores.sql_round("spearman", 9).alias("spearman"), "reported_spearman", scores.sql_round("difference", 9).alias("difference"))
 
 
 ORACLE["reported_comparison"] = f"""WITH r AS ({_spearman_sql('orders', 'o_orderpriority', 'o_totalprice', 'o_custkey')}), p AS (SELECT o_orderpriority, round(0.1*row_number() OVER (ORDER BY o_orderpriority),1)::DOUBLE AS rep FROM r)
@@ -355,7 +355,7 @@ r0 AS (SELECT vec_id, list_transform(range(0,8), lambda p: embedding[p*8+1:p*8+8
 @query(f"WITH {RESIDUAL_SQL} " + " UNION ALL ".join(f"SELECT vec_id, {k} AS scale, codes, round(list_sum(list_transform(flatten(r), lambda x: x*x))/64, 9) AS mse FROM r{k + 1}" for k in range(len(BINS))))
 def residual_codes(spark, sf_dir):
     out = vq.residual_codes(_positions(spark, sf_dir), "vec_id", "values", 8, _books(spark, sf_dir))
-    return out.select("vec_id", "scale", "codes", F.round("mse", 9).alias("mse"))
+    return out.select("vec_id", "scale", "codes", scores.sql_round("mse", 9).alias("mse"))
 
 
 @query(f"WITH {RESIDUAL_SQL}, s AS (" + " UNION ALL ".join(f"SELECT vec_id, {k} AS scale, flatten(u) AS u FROM r{k + 1}" for k in range(len(BINS))) + """), e AS (SELECT vec_id, scale, i, u[i] AS x FROM (SELECT *, unnest(range(1,65)) AS i FROM s)), t AS (SELECT vec_id, scale, i, sum(x) OVER (PARTITION BY vec_id, i ORDER BY scale) AS x FROM e)
@@ -367,7 +367,7 @@ def cumulative_decode(spark, sf_dir):
     flat = F.flatten("values")
     energy = F.aggregate(flat, F.lit(0.0), lambda s, x: s + x * x)
     moment = F.aggregate(F.transform(flat, lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x)
-    return out.select("vec_id", "scale", F.round(energy, 7).alias("energy"), F.round(moment, 6).alias("moment"))
+    return out.select("vec_id", "scale", scores.sql_round(energy, 7).alias("energy"), scores.sql_round(moment, 6).alias("moment"))
 
 
 @query(f"WITH {CODES_SQL} SELECT * FROM h")
@@ -377,7 +377,7 @@ def code_histogram(spark, sf_dir):
 
 @query(f"WITH {CODES_SQL} SELECT round(exp(-sum(p*ln(p))),6) AS perplexity FROM (SELECT n/(SELECT sum(n) FROM h) AS p FROM h WHERE n>0)")
 def perplexity(spark, sf_dir):
-    return vq.perplexity(vq.code_histogram(_assigned(spark, sf_dir), 16)).select(F.round("perplexity", 6).alias("perplexity"))
+    return vq.perplexity(vq.code_histogram(_assigned(spark, sf_dir), 16)).select(scores.sql_round("perplexity", 6).alias("perplexity"))
 
 
 @query(f"WITH {CODES_SQL} SELECT (count(*) FILTER (n>0))::DOUBLE/count(*) AS utilization, (count(*) FILTER (n>0))::BIGINT AS codes_used FROM h")
@@ -396,12 +396,12 @@ def ema_update(spark, sf_dir):
     a = vq.nearest_code(v, book, "vec_id", "embedding")
     state = book.select("code", F.posexplode(F.col("vector").cast("array<double>")).alias("dim", "ema_sum")).select("code", "dim", F.lit(1.0).alias("ema_count"), "ema_sum", F.lit(True).alias("hit"))
     out = vq.ema_update(state, vq.code_histogram(a, 16), vq.vector_sums(v.join(a, "vec_id"), "embedding"), 0.99)
-    return out.select("code", "dim", F.round("ema_count", 6).alias("ema_count"), F.round("value", 6).alias("value"), "hit")
+    return out.select("code", "dim", scores.sql_round("ema_count", 6).alias("ema_count"), scores.sql_round("value", 6).alias("value"), "hit")
 
 
 @query("SELECT vec_id, list_transform(range(0,12), lambda i: round(list_avg(e[i*64//12+1:((i+1)*64+11)//12]),6)) AS pooled FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)")
 def area_pool(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(vq.area_pool(F.col("embedding"), 12), lambda x: F.round(x, 6)).alias("pooled"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(vq.area_pool(F.col("embedding"), 12), lambda x: scores.sql_round(x, 6)).alias("pooled"))
 
 
 @query("""WITH p AS (SELECT i, greatest((i+0.5::DOUBLE)*64/100-0.5::DOUBLE,0::DOUBLE) AS t FROM range(0,100) r(i)), q AS (SELECT list(floor(t)::INT ORDER BY i) AS lo, list(least(floor(t)::INT+1,63) ORDER BY i) AS hi, list(t-floor(t) ORDER BY i) AS w FROM p)
@@ -414,12 +414,12 @@ def linear_upsample(spark, sf_dir):
 
 @query("SELECT vec_id, list_transform(e, lambda x: round((x-list_avg(e))/sqrt(list_var_pop(e)+1e-5),5)) AS norm FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)")
 def layer_norm(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(vq.layer_norm(F.col("embedding")), lambda x: F.round(x, 5)).alias("norm"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(vq.layer_norm(F.col("embedding")), lambda x: scores.sql_round(x, 5)).alias("norm"))
 
 
 @query("""SELECT s::BIGINT AS step, round(3e-4*CASE WHEN s<10 THEN (s+1)/11.0 WHEN s>=100 THEN 0.1 ELSE 0.1+0.5*(1+cos(pi()*(s-10)/90.0))*0.9 END,12) AS lr FROM range(0,120) t(s)""")
 def lr_schedule(spark, sf_dir):
-    return spark.range(120).select(F.col("id").alias("step"), F.round(vq.learning_rate(F.col("id"), 10, 100, 3e-4, 3e-5), 12).alias("lr"))
+    return spark.range(120).select(F.col("id").alias("step"), scores.sql_round(vq.learning_rate(F.col("id"), 10, 100, 3e-4, 3e-5), 12).alias("lr"))
 
 
 @query(f"WITH {CODES_SQL} SELECT vec_id, a.code::INT AS code, v AS vector FROM a JOIN b ON a.code = b.code")
@@ -435,12 +435,12 @@ def _batch_sql(first: str) -> str:
 @query(_batch_sql(""))
 def batch_losses(spark, sf_dir):
     """The mean over batches of 64 orders, not over rows."""
-    return vq.batch_means(table(spark, sf_dir, "lineitem"), "l_orderkey", 64, {"loss": F.col("l_discount") * F.col("l_discount")}, ["l_returnflag"]).withColumn("loss", F.round("loss", 9))
+    return vq.batch_means(table(spark, sf_dir, "lineitem"), "l_orderkey", 64, {"loss": F.col("l_discount") * F.col("l_discount")}, ["l_returnflag"]).withColumn("loss", scores.sql_round("loss", 9))
 
 
 @query(_batch_sql("WHERE l_orderkey//64 < 5"))
 def first_batch_losses(spark, sf_dir):
-    return vq.batch_means(table(spark, sf_dir, "lineitem"), "l_orderkey", 64, {"loss": F.col("l_discount") * F.col("l_discount")}, ["l_returnflag"], 5).withColumn("loss", F.round("loss", 9))
+    return vq.batch_means(table(spark, sf_dir, "lineitem"), "l_orderkey", 64, {"loss": F.col("l_discount") * F.col("l_discount")}, ["l_returnflag"], 5).withColumn("loss", scores.sql_round("loss", 9))
 
 
 @query("SELECT l_linestatus, count(*)::BIGINT AS n, avg(CASE WHEN (l_quantity >= 25) = (l_returnflag = 'N') THEN 1.0 ELSE 0.0 END)::DOUBLE AS accuracy FROM lineitem GROUP BY 1")
@@ -456,7 +456,7 @@ def cumulative_errors(spark, sf_dir):
     """Parts of 1, 3, 5 and 7 sixteenths of each component: what is left shrinks to nothing at the last scale."""
     x = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("dim", "x"))
     parts = x.withColumn("scale", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("part", F.col("x") * (2 * F.col("scale") + 1) / 16)
-    return vq.cumulative_errors(parts, ["vec_id", "dim"], "scale", "x", "part").withColumn("mse", F.round("mse", 9))
+    return vq.cumulative_errors(parts, ["vec_id", "dim"], "scale", "x", "part").withColumn("mse", scores.sql_round("mse", 9))
 
 
 @query("SELECT doc_id, (row_number() OVER (ORDER BY doc_id)-1)::BIGINT AS place, ((row_number() OVER (ORDER BY doc_id)-1)%4)::INT AS rank FROM documents")
@@ -467,7 +467,7 @@ def rank_split(spark, sf_dir):
 
 @query(f"""SELECT doc_id, round(list_sum(list_transform(['A','C','G','T'], lambda b: CASE WHEN wt LIKE '%'||b||'%' THEN (30-length(replace(wt,b,'')))*ln((30-length(replace(wt,b,'')))/30.0) ELSE 0 END))/30,9) AS evo_log_likelihood FROM {DNA_SQL}""")
 def model_scores(spark, sf_dir):
-    return evaluation.scored(_dna(spark, sf_dir).select("doc_id", "wt"), "wt", evaluation.base_frequency_scorer).select("doc_id", F.round("evo_log_likelihood", 9).alias("evo_log_likelihood"))
+    return evaluation.scored(_dna(spark, sf_dir).select("doc_id", "wt"), "wt", evaluation.base_frequency_scorer).select("doc_id", scores.sql_round("evo_log_likelihood", 9).alias("evo_log_likelihood"))
 
 
 @query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id=d.doc_id)")
@@ -477,7 +477,7 @@ def pending_rows(spark, sf_dir):
 
 @query("SELECT l_returnflag, sqrt(avg(l_discount*l_discount)) AS rms FROM lineitem GROUP BY 1".replace("sqrt(avg(l_discount*l_discount))", "round(sqrt(avg(l_discount*l_discount)),9)"))
 def rms_by_group(spark, sf_dir):
-    return vq.rms(table(spark, sf_dir, "lineitem"), F.array("l_discount"), ["l_returnflag"]).withColumn("rms", F.round("rms", 9))
+    return vq.rms(table(spark, sf_dir, "lineitem"), F.array("l_discount"), ["l_returnflag"]).withColumn("rms", scores.sql_round("rms", 9))
 
 
 # The operators on DNA text over whole texts: two bases a byte, trimmed to whole codons. The queries above keep the 30 bases
@@ -593,4 +593,4 @@ def token_batches_text(spark, sf_dir):
 
 @query(f"""SELECT doc_id, CASE WHEN n=0 THEN 0.0 ELSE round(list_sum(list_transform(['A','C','G','T'], lambda b: CASE WHEN contains(wt,b) THEN (n-length(replace(wt,b,'')))*ln((n-length(replace(wt,b,'')))/n::DOUBLE) ELSE 0 END))/n,9) END AS evo_log_likelihood FROM (SELECT *, length(wt) AS n FROM {TEXT_DNA_SQL})""")
 def model_scores_text(spark, sf_dir):
-    return evaluation.scored(_text_dna(spark, sf_dir, "wt"), "wt", evaluation.base_frequency_scorer).select("doc_id", F.round("evo_log_likelihood", 9).alias("evo_log_likelihood"))
+    return evaluation.scored(_text_dna(spark, sf_dir, "wt"), "wt", evaluation.base_frequency_scorer).select("doc_id", scores.sql_round("evo_log_likelihood", 9).alias("evo_log_likelihood"))

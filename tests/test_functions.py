@@ -99,6 +99,25 @@ def test_long_tiles(spark):
     assert [r.c for r in out.collect()] == ["TTC", "TTC"]
 
 
+@pytest.mark.parametrize("query, value", [("area_pool", "pooled"), ("layer_norm", "norm")])
+def test_rounding_equals_sqls(spark, tmp_path, query, value):
+    """Bit by bit: halves, numbers that are rounded to zero from below, zeros."""
+    import duckdb
+
+    from helixframe.plans.queries import ORACLE, QUERIES
+
+    r = random.Random(9)
+    rows = [(i, [r.choice([-1e-7, 1e-7, -0.0, 0.5, -0.5, 2.5e-6, -2.5e-6, 1.5e-6, r.gauss(0, 1), r.gauss(0, 1e-6)]) if i % 2 else r.gauss(0, 0.1) for _ in range(64)]) for i in range(2000)]
+    rows += [(2000 + i, [x] * 64) for i, x in enumerate([-1e-7, -0.0, 0.0, 5e-7, -5e-7])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    bits = lambda v: [float(x).hex() for x in v]
+    want = {i: bits(v) for i, v in db.execute(ORACLE[query]).fetchall()}
+    got = {x.vec_id: bits(x[value]) for x in QUERIES[query](spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and not [(i, got[i], want[i]) for i in want if got[i] != want[i]][:1]
+
+
 @settings(max_examples=15, deadline=None)
 @given(st.lists(st.text("ACGTNacgtnß", max_size=60), min_size=1, max_size=20))
 def test_segments(spark, texts):
