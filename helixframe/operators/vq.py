@@ -135,12 +135,22 @@ def linear_upsample(values: Column, size: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), one)
 
 
+def variance(values: Column) -> Column:
+    """The population variance of an array of doubles by Welford's update, the arithmetic of SQL engines: equal to theirs to the last bit."""
+    none = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("squares"))
+
+    def step(s: Column, x: Column) -> Column:
+        mean = s["mean"] + (x - s["mean"]) / (s["n"] + 1)
+        return F.struct((s["n"] + 1).alias("n"), mean.alias("mean"), (s["squares"] + (x - mean) * (x - s["mean"])).alias("squares"))
+
+    return F.aggregate(values, none, step, lambda s: s["squares"] / s["n"])
+
+
 def layer_norm(values: Column, eps: float = 1e-5) -> Column:
     """(x - mean) / sqrt(variance + eps), without learned scale."""
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    centred = lambda x: let(total(x) / F.size(x), lambda m: F.transform(x, lambda v: v - m))
-    scaled = lambda c: let(F.sqrt(total(F.transform(c, lambda v: v * v)) / F.size(c) + eps), lambda d: F.transform(c, lambda v: v / d))
-    return let(let(values.cast("array<double>"), centred), scaled)
+    mean = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / F.size(x)
+    known = lambda x: F.struct(mean(x).alias("mean"), F.sqrt(variance(x) + eps).alias("by"))
+    return let(values.cast("array<double>"), lambda x: let(known(x), lambda k: F.transform(x, lambda v: (v - k["mean"]) / k["by"])))
 
 
 def learning_rate(step: Column, warmup: int, decay_end: int, top: float, floor: float) -> Column:

@@ -118,6 +118,18 @@ def test_rounding_equals_sqls(spark, tmp_path, query, value):
     assert got.keys() == want.keys() and not [(i, got[i], want[i]) for i in want if got[i] != want[i]][:1]
 
 
+def test_variance_equals_sqls(spark):
+    """Bit by bit; deviations from the mean, squared, give other last bits."""
+    import duckdb
+
+    from helixframe.operators import vq
+
+    r = random.Random(4)
+    rows = [[r.gauss(0.3, 0.1) for _ in range(64)] for _ in range(300)]
+    got = [x.v for x in spark.createDataFrame([(x,) for x in rows], "x array<double>").select(vq.variance(F.col("x")).alias("v")).collect()]
+    assert got == [duckdb.execute("SELECT list_var_pop($1::DOUBLE[])", [x]).fetchone()[0] for x in rows]
+
+
 @settings(max_examples=15, deadline=None)
 @given(st.lists(st.text("ACGTNacgtnß", max_size=60), min_size=1, max_size=20))
 def test_segments(spark, texts):
