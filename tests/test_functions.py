@@ -130,6 +130,17 @@ def test_variance_equals_sqls(spark):
     assert got == [duckdb.execute("SELECT list_var_pop($1::DOUBLE[])", [x]).fetchone()[0] for x in rows]
 
 
+def test_long_sequences_are_translated_without_arrays(spark):
+    """Codons of long sequences don't become an array each; rows of all kinds may share a batch."""
+    rows = [(i, s) for i, s in enumerate(["", None, "atgTAA", "GGG" * 100_000, "TTT", "ACG" * 7])]
+    out = spark.createDataFrame(rows, "i int, s string").select("i", dna.translate_dna(F.col("s")).alias("aa"))
+    assert "regexp_extract_all" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {x.i: x.aa for x in out.coalesce(1).collect()} == {0: "", 1: None, 2: "M*", 3: "G" * 100_000, 4: "F", 5: "T" * 7}
+    for bad in ("ATGé", "ATGAN", "ATNATG"):
+        with pytest.raises(Exception):
+            spark.createDataFrame([("ATG",), (bad,), ("TTT",)], "s string").coalesce(1).select(dna.translate_dna(F.col("s")).alias("aa")).collect()
+
+
 @settings(max_examples=15, deadline=None)
 @given(st.lists(st.text("ACGTNacgtnß", max_size=60), min_size=1, max_size=20))
 def test_segments(spark, texts):
