@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -106,24 +107,47 @@ def replace_codon(s: Column, position: Column, codon: Column) -> Column:
     )
 
 
-def _differences(a: Column, b: Column, one) -> Column:
-    """one(position, x, y) of each place where strings of one length differ."""
-    at = F.arrays_zip(F.split(a, "").alias("x"), F.split(b, "").alias("y"))
-    return F.array_compact(F.transform(at, lambda p, i: F.when(p["x"] != p["y"], one((i + 1).cast("string"), p["x"], p["y"]))))
+def _listed(a: Column, b: Column, order: str, none: str, one: tuple[str, str], several: tuple[str, str], comma: str, upper: bool = False) -> Column:
+    """Where strings of one length differ, in words: each place as position (from 1), x and y put into order, all joined and put between
+    the two parts of one or several; none if there is no place. upper: a to z count as A to Z."""
+    bounded()
+    case = np.arange(256, dtype=np.uint8)
+    if upper:
+        case[97:123] -= 32
+
+    @F.arrow_udf("string")
+    def listed(a: pa.Array, b: pa.Array) -> pa.Array:
+        ends, out = (flat(a), flat(b)), []
+        for i in range(len(a)):  # a text at a time, so that few places are held
+            u, v = (case[x[at[i] : at[i + 1]]] for at, x in ends)
+            if len(u) and len(v) and max(u.max(), v.max()) >= 128:
+                u, v = (np.frombuffer(t.tobytes().decode().encode("utf-32-le"), np.uint32) for t in (u, v))
+            places = np.flatnonzero(u != v) if len(u) == len(v) else np.empty(0, np.int64)
+            if not len(places):
+                out.append(none)
+                continue
+            letter = lambda x: pa.array(np.ascontiguousarray(x[places], np.uint32).view("U1"), pa.string())  # noqa: B023, E731
+            parts = {"i": pc.cast(pa.array(places + 1), pa.string()), "x": letter(u), "y": letter(v)}
+            words = pc.binary_join_element_wise(*[parts.get(c, c) for c in order], "")
+            before, after = one if len(places) == 1 else several
+            out.append(before + pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), comma)[0].as_py() + after)
+        return pa.array(out, pa.string())
+
+    return listed(a, b)
+
+
+def _by_length(wt: Column, mutant: Column, same: Column) -> Column:
+    return F.when(F.char_length(mutant) > F.char_length(wt), F.lit("insertion")).when(F.char_length(mutant) < F.char_length(wt), F.lit("deletion")).when(wt.isNotNull() & mutant.isNotNull(), same)
 
 
 def describe_coding_edit(wt: Column, mutant: Column) -> Column:
     """c.=, c.6T>C, c.[4G>T;6T>G], insertion or deletion (by length)."""
-    found = _differences(ascii_upper(wt), ascii_upper(mutant), lambda i, x, y: F.concat(i, x, F.lit(">"), y))
-    same = let(found, lambda d: F.when(F.size(d) == 0, F.lit("c.=")).when(F.size(d) == 1, F.concat(F.lit("c."), d[0])).otherwise(F.concat(F.lit("c.["), F.array_join(d, ";"), F.lit("]"))))
-    return F.when(F.char_length(mutant) > F.char_length(wt), F.lit("insertion")).when(F.char_length(mutant) < F.char_length(wt), F.lit("deletion")).when(wt.isNotNull() & mutant.isNotNull(), same)
+    return _by_length(wt, mutant, _listed(wt, mutant, "ix>y", "c.=", ("c.", ""), ("c.[", "]"), ";", upper=True))
 
 
 def describe_residue_changes(wt: Column, mutant: Column) -> Column:
     """p.=, M1I:A2V, insertion or deletion (by length)."""
-    found = _differences(wt, mutant, lambda i, x, y: F.concat(x, i, y))
-    same = let(found, lambda d: F.when(F.size(d) == 0, F.lit("p.=")).otherwise(F.array_join(d, ":")))
-    return F.when(F.char_length(mutant) > F.char_length(wt), F.lit("insertion")).when(F.char_length(mutant) < F.char_length(wt), F.lit("deletion")).when(wt.isNotNull() & mutant.isNotNull(), same)
+    return _by_length(wt, mutant, _listed(wt, mutant, "xiy", "p.=", ("", ""), ("", ""), ":"))
 
 
 def reverse_complement(s: Column) -> Column:

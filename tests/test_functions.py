@@ -141,6 +141,27 @@ def test_long_sequences_are_translated_without_arrays(spark):
             spark.createDataFrame([("ATG",), (bad,), ("TTT",)], "s string").coalesce(1).select(dna.translate_dna(F.col("s")).alias("aa")).collect()
 
 
+def test_long_differences_without_arrays(spark):
+    """Texts of all kinds in one batch; no array of their characters is made."""
+    r = random.Random(8)
+    pairs = [("", ""), (None, "A"), ("A", None), ("ACG", "AC"), ("é", "AC"), ("aéc", "aéG"), ("日本T", "日T本"), ("acgt", "ACGT"), ("A" * 200_000, "A" * 199_999 + "C")]
+    pairs += [("".join(r.choices("ACGTacgt", k=50)), "".join(r.choices("ACGT", k=50))) for _ in range(50)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string").coalesce(1)
+    out = df.select("i", dna.describe_coding_edit(F.col("a"), F.col("b")).alias("nt"), dna.describe_residue_changes(F.col("a"), F.col("b")).alias("aa"))
+    assert "split(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    upper = str.maketrans("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    for x in out.collect():
+        a, b = pairs[x.i]
+        if a is None or b is None:
+            assert x.nt is None and x.aa is None
+        elif len(a) != len(b):
+            assert x.nt == x.aa == ("insertion" if len(b) > len(a) else "deletion")
+        else:
+            d = [f"{k}{u}>{v}" for k, (u, v) in enumerate(zip(a.translate(upper), b.translate(upper)), 1) if u != v]
+            assert x.nt == ("c.=" if not d else f"c.{d[0]}" if len(d) == 1 else f"c.[{';'.join(d)}]")
+            assert x.aa == (":".join(f"{u}{k}{v}" for k, (u, v) in enumerate(zip(a, b), 1) if u != v) or "p.=")
+
+
 @settings(max_examples=15, deadline=None)
 @given(st.lists(st.text("ACGTNacgtnß", max_size=60), min_size=1, max_size=20))
 def test_segments(spark, texts):
