@@ -253,11 +253,14 @@ def replicate_mean(one: DataFrame, two: DataFrame, key: str, value: str, name: s
 
 
 def token_batches(rows: DataFrame, batch: int, position: str, sequence_col: str = "window") -> DataFrame:
-    """batch_no, input_ids: token ids of batch rows each by position (from 0); rows of one batch must be equally long."""
-    ids = rows.select(F.floor(F.col(position) / batch).alias("batch_no"), F.struct(F.col(position).alias("p"), dna.tokens(F.col(sequence_col)).alias("t")).alias("x"))
-    out = ids.groupBy("batch_no").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    same = F.forall("xs", lambda x: F.size(x["t"]) == F.size(F.col("xs")[0]["t"]))
-    return out.select("batch_no", F.when(same, F.transform("xs", lambda x: x["t"])).otherwise(F.raise_error(F.lit("sequences of one batch differ in length"))).alias("input_ids"))
+    """batch_no, input_ids: token ids of batch rows each by position (from 0); rows of one batch must be equally long.
+
+    Sequences are shuffled as text and become ids, eight bytes a base, behind the shuffle.
+    """
+    cut = rows.select(F.floor(F.col(position) / batch).alias("batch_no"), F.struct(F.col(position).alias("p"), F.col(sequence_col).alias("s")).alias("x"))
+    out = cut.groupBy("batch_no").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    same = F.forall("xs", lambda x: F.char_length(x["s"]) == F.char_length(F.col("xs")[0]["s"]))
+    return out.select("batch_no", F.when(same, F.transform("xs", lambda x: dna.tokens(x["s"]))).otherwise(F.raise_error(F.lit("sequences of one batch differ in length"))).alias("input_ids"))
 
 
 def keep_first(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -162,6 +162,37 @@ def test_long_differences_without_arrays(spark):
             assert x.aa == (":".join(f"{u}{k}{v}" for k, (u, v) in enumerate(zip(a, b), 1) if u != v) or "p.=")
 
 
+def test_scorers_see_bounded_batches(spark):
+    """A batch holds about 4 MB, however many rows a task has and whatever else ran before in the session."""
+    from helixframe.functions.batches import BATCH
+    from helixframe.operators import evaluation
+
+    before = {k: spark.conf.get(k) for k in BATCH if k in spark.conf.getAll}
+    for k in BATCH:
+        spark.conf.unset(k)
+    try:
+        rows = spark.range(4000, numPartitions=1).select("id", F.repeat(F.lit("ACGT"), 2500).alias("s"))
+        rows = evaluation.scored(rows, "s", lambda: lambda sequences: [float(len(sequences))] * len(sequences), batch=1 << 20, name="n")
+        assert max(x.n for x in rows.select("n").collect()) <= 500
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_batches_shuffle_text(spark):
+    """Ids, eight bytes a base, are made behind the shuffle."""
+    from helixframe.operators import corpus
+
+    rows = spark.createDataFrame([(i, "ACGT"[i % 4] * 3) for i in range(20)], "place long, window string")
+    out = corpus.token_batches(rows, 8, "place")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.rindex("regexp_extract_all") < plan.index("Aggregate")
+    assert [x.input_ids for x in out.orderBy("batch_no").collect()] == [[[i % 4] * 3 for i in range(k, min(k + 8, 20))] for k in (0, 8, 16)]
+    for bad in (["ACG", "AC"], ["ACG", "acg"]):
+        with pytest.raises(Exception):
+            corpus.token_batches(spark.createDataFrame(list(enumerate(bad)), "place long, window string"), 8, "place").collect()
+
+
 @settings(max_examples=15, deadline=None)
 @given(st.lists(st.text("ACGTNacgtnß", max_size=60), min_size=1, max_size=20))
 def test_segments(spark, texts):
