@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from helixframe.functions import ranges
+from helixframe.functions.batches import bounded
 from helixframe.sources.stored import stored
 
 # Correlations that the paper reports, by study, and their published mean.
@@ -113,7 +114,10 @@ def pending(source: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def scored(rows: DataFrame, sequence_col: str, load: Callable[[], Callable[[list[str]], list[float]]], batch: int = 8, name: str = "evo_log_likelihood") -> DataFrame:
-    """rows with a model's score of each sequence; load() makes the scorer once per task."""
+    """rows with a model's score of each sequence; load() makes the scorer once per task. Arrow batches are bounded in bytes, so that a
+    task's memory doesn't grow with its rows."""
+    bounded(rows.sparkSession)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         score = None
         for b in batches:
